@@ -18,9 +18,9 @@ U64 = np.uint64
 _DROP = re.compile(r"[\W_]+")
 _HASHES: dict[str, int] = {}
 #: Entries the per-worker cache of word hashes may hold before it is emptied.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Bytes of text handled at once; bounds a worker's memory whatever a batch holds.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 3_000_000
 
 
 def normal(word: str) -> str:
