@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, toxicity
+from . import jaccard, mixing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.curriculum(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op6_toxicity": op6_toxicity,
+    "op9_curriculum_mix": op9_curriculum_mix,
 }
 
 WORDS = r"list_filter(list_transform(string_split_regex(text, '\s+'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}]+', '', 'g')), lambda x: x <> '')"
@@ -40,4 +45,24 @@ SELECT docs AS docs_a, docs AS docs_b, 1.0::DOUBLE AS jaccard FROM s WHERE len(d
 UNION ALL
 SELECT least(a.docs, b.docs), greatest(a.docs, b.docs), n / (len(a.gs) + len(b.gs) - n)
 FROM k JOIN s a ON a.id = x JOIN s b ON b.id = y WHERE n / (len(a.gs) + len(b.gs) - n) >= 0.5""",
+    "op9_curriculum_mix": r"""
+WITH r AS (SELECT doc_id, coalesce(source, '') AS src, md5(coalesce(doc_id::VARCHAR, '')) AS key, md5(coalesce(text, '')) AS tie,
+        coalesce(len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')), 0)::BIGINT AS n FROM documents),
+b AS (SELECT *, ('0x' || key[1:8])::BIGINT % 1024 AS bucket FROM r),
+c AS (SELECT *, (sum(n) OVER (PARTITION BY src ORDER BY bucket, key, tie ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS c FROM b),
+tot AS (SELECT src, sum(n)::BIGINT AS total FROM r GROUP BY src),
+p AS (SELECT src, total, CASE WHEN total > 0 THEN round(pow(total::DOUBLE, 0.85), 6) ELSE 0 END AS p0,
+        CASE WHEN total > 0 THEN round(pow(total::DOUBLE, 0.9), 6) ELSE 0 END AS p1,
+        CASE WHEN total > 0 THEN round(pow(total::DOUBLE, 1.0), 6) ELSE 0 END AS p2 FROM tot),
+s AS (SELECT sum(p0::DECIMAL(38, 6))::DOUBLE AS s0, sum(p1::DECIMAL(38, 6))::DOUBLE AS s1, sum(p2::DECIMAL(38, 6))::DOUBLE AS s2 FROM p),
+w AS (SELECT src, total, CASE WHEN s0 > 0 THEN p0 / s0 ELSE 0 END AS w0, CASE WHEN s1 > 0 THEN p1 / s1 ELSE 0 END AS w1, CASE WHEN s2 > 0 THEN p2 / s2 ELSE 0 END AS w2 FROM p, s),
+a AS (SELECT *, (w0 + w1) / 2 * 0.5::DOUBLE AS a0, (w1 + w2) / 2 * 0.5::DOUBLE AS a1 FROM w),
+d AS (SELECT *, max(CASE WHEN a0 + a1 > 0 THEN total / (a0 + a1) END) OVER () AS t FROM a),
+e AS (SELECT c.*, d.*  EXCLUDE (src), unnest(range(0, 1 + CASE WHEN total > 0 THEN greatest(floor((coalesce(t * (a0 + a1), 0) * (1 - 1e-12::DOUBLE) - c) / total), 0) ELSE 0 END::BIGINT)) AS copy FROM c JOIN d ON c.src = d.src),
+f AS (SELECT *, CASE WHEN t > 0 THEN (c + copy * total) / t ELSE 0 END AS pos FROM e),
+g AS (SELECT *, CASE WHEN pos >= a0 THEN 0.5 ELSE 0.0 END::DOUBLE AS t0, CASE WHEN pos >= a0 THEN pos - a0 ELSE pos END AS need,
+        CASE WHEN pos >= a0 THEN w1 ELSE w0 END AS u, CASE WHEN pos >= a0 THEN w2 ELSE w1 END AS v FROM f),
+h AS (SELECT *, sqrt(greatest(u * u + 2 * ((v - u) / 0.5::DOUBLE) * need, 0)) AS root FROM g)
+SELECT doc_id, src AS source, copy::INTEGER AS copy, n AS tokens,
+    round(t0 + least(CASE WHEN u + root > 0 THEN 2 * need / (u + root) ELSE 0 END, 0.5::DOUBLE), 9) AS position FROM h""",
 }
