@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, toxicity
+from . import jaccard, mixing, token_output, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,17 +17,27 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_output(_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op4_token_output": op4_token_output,
     "op6_toxicity": op6_toxicity,
+    "op7_token_counts": op7_token_counts,
     "op9_curriculum_mix": op9_curriculum_mix,
 }
 
