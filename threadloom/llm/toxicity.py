@@ -19,6 +19,7 @@ scored alike. Every column of the input is kept, whatever its name.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 from . import _text as T
 from ._spark import only
 
-SAMPLE = 20_000
+SAMPLE = 10_000
 DIM, FILTERS, WIDTHS, PREFIX, LEAST = 8, 8, (1, 2, 3), 4, 3
 EPOCHS, RATE, BATCH = 3, 0.1, 32
 PAD = max(WIDTHS) - 1
@@ -75,11 +76,12 @@ def word_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word numbers of all texts with PAD empty places after each; the two hashes of each number (the last
     is the empty place); offsets."""
     ids, vocabulary, offsets = T.split(texts)
-    table = np.array([*map(keys, vocabulary), (0, 0)], T.U64).reshape(-1, 2)
-    mask = (table[:-1, 0] != 0)[ids] if len(vocabulary) else np.zeros(0, bool)
+    table = np.fromiter(itertools.chain(itertools.chain.from_iterable(map(keys, vocabulary)), (0, 0)), T.U64, 2 * len(vocabulary) + 2).reshape(-1, 2)
+    del vocabulary
+    mask = (table[:-1, 0] != 0)[ids] if len(table) > 1 else np.zeros(0, bool)
     ids, offsets = T.keep(ids, offsets, mask)
     n = len(offsets) - 1
-    padded = np.full(len(ids) + PAD * n, len(table) - 1)
+    padded = np.full(len(ids) + PAD * n, len(table) - 1, np.int32)
     padded[np.arange(len(ids)) + PAD * np.repeat(np.arange(n), np.diff(offsets))] = ids
     return padded, table, offsets + PAD * np.arange(n + 1)
 
