@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language, mixing, token_output, toxicity
+from . import decontaminate, embeddings, jaccard, language, licenses, mixing, token_output, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
@@ -41,14 +45,20 @@ def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(_table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.dedup(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_token_output": op4_token_output,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op9_curriculum_mix": op9_curriculum_mix,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 WORDS = r"list_filter(list_transform(string_split_regex(text, '\s+'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}]+', '', 'g')), lambda x: x <> '')"
@@ -65,6 +75,7 @@ SELECT docs AS docs_a, docs AS docs_b, 1.0::DOUBLE AS jaccard FROM s WHERE len(d
 UNION ALL
 SELECT least(a.docs, b.docs), greatest(a.docs, b.docs), n / (len(a.gs) + len(b.gs) - n)
 FROM k JOIN s a ON a.id = x JOIN s b ON b.id = y WHERE n / (len(a.gs) + len(b.gs) - n) >= 0.5""",
+    "op2_license_scan": licenses.oracle(WORDS),
     "op9_curriculum_mix": r"""
 WITH r AS (SELECT doc_id, coalesce(source, '') AS src, md5(coalesce(doc_id::VARCHAR, '')) AS key, md5(coalesce(text, '')) AS tie,
         coalesce(len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')), 0)::BIGINT AS n FROM documents),
