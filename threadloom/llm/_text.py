@@ -1,12 +1,11 @@
 """Vectorised text primitives shared by the corpus operators.
 
 Everything here works on whole Arrow batches: Arrow splits and dictionary-encodes the
-words, Python touches each *distinct* word of a slice once, and numpy does the rest.
+words, each *distinct* word of a slice is normalised and hashed once, and numpy does the rest.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,32 +14,42 @@ import pyarrow.compute as pc
 import xxhash
 
 U64 = np.uint64
-_DROP = re.compile(r"[\W_]+")
-_HASHES: dict[str, int] = {}
-#: Entries the per-worker cache of word hashes may hold before it is emptied.
-CACHE_WORDS = 250_000
 #: Bytes of text handled at once; bounds a worker's memory whatever a batch holds.
 SLICE_BYTES = 3_000_000
 
 
-def normal(word: str) -> str:
-    """A word as the corpus operators compare it: lower case, letters and digits only."""
-    return _DROP.sub("", word.lower())
+_RANDOM = np.random.default_rng(20_201)
+_BYTES = _RANDOM.integers(0, 1 << 64, 256, U64)
+_PLACES = _RANDOM.integers(0, 1 << 64, 1 << 12, U64) | U64(1)
 
 
-def _hash(word: str) -> int:
-    key = normal(word)
-    return xxhash.xxh64_intdigest(key) if key else 0
+def normal(words: pa.Array) -> pa.Array:
+    """Words as the corpus operators compare them: lower case, letters and digits only."""
+    return pc.replace_substring_regex(pc.utf8_lower(words), r"[^\pL\pN]+", "")
 
 
-def word_hash(word: str) -> int:
-    """64-bit hash of a word's normal form; 0 for a word without letters or digits."""
-    got = _HASHES.get(word)
-    if got is None:
-        if len(_HASHES) >= CACHE_WORDS:
-            _HASHES.clear()
-        got = _HASHES[word] = _hash(word)
-    return got
+def hash_strings(strings: pa.Array) -> np.ndarray:
+    """64-bit hashes (sum over bytes of a random number for the byte times one for its place, then
+    mixed); 0 for an empty string. Strings of over 4096 bytes are hashed one by one."""
+    strings = strings.cast(pa.large_string())
+    n = len(strings)
+    if n == 0:
+        return np.zeros(0, U64)
+    at = np.frombuffer(strings.buffers()[1], np.int64, n + 1, strings.offset * 8)
+    size = np.diff(at)
+    raw = strings.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None else np.zeros(0, np.uint8)
+    starts = at[:-1] - at[0]
+    place = np.arange(len(data)) - np.repeat(starts, size)
+    out = np.zeros(n, U64)
+    some = size > 0
+    with np.errstate(over="ignore"):
+        if some.any():
+            out[some] = np.add.reduceat(_BYTES[data] * _PLACES[place & 4095], starts[some])
+        out = mix(out + size.astype(U64) * U64(0x9E3779B97F4A7C15))
+    for k in np.flatnonzero(size > 4096):
+        out[k] = xxhash.xxh64_intdigest(data[starts[k] : starts[k] + size[k]].tobytes())
+    return np.where(some, np.maximum(out, U64(1)), U64(0))
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int | None = None) -> Iterator[pa.RecordBatch]:
@@ -55,7 +64,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int | None = None)
         start = end
 
 
-def split(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words between white space, of all texts in order, as indices into their distinct
     words, and where each text begins and ends among them. A null text has no word."""
     parts = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
@@ -63,7 +72,7 @@ def split(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     encoded = flat.dictionary_encode()
     ids = encoded.indices.to_numpy(zero_copy_only=False)
     ends = np.asarray(parts.offsets)[: len(texts) + 1].astype(np.int64)
-    return ids, encoded.dictionary.to_pylist(), ends - ends[0]
+    return ids, encoded.dictionary, ends - ends[0]
 
 
 def keep(ids: np.ndarray, offsets: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +85,7 @@ def keep(ids: np.ndarray, offsets: np.ndarray, mask: np.ndarray) -> tuple[np.nda
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words that have letters or digits, and each text's offsets."""
     ids, vocabulary, offsets = split(texts)
-    table = np.fromiter(map(word_hash, vocabulary), U64, len(vocabulary))
+    table = hash_strings(normal(vocabulary))
     hashes = table[ids] if len(table) else np.zeros(0, U64)
     return keep(hashes, offsets, hashes != 0)
 

@@ -44,9 +44,9 @@ N, THRESHOLD = 3, 0.5
 #: Smallest hashes that key cells; hashes kept of each set for bounds; sets that share a hash before it
 #: keys cells only together with another; sets in a group of the token-group matrix.
 KEYS, SKETCH, HOT, GROUP = 8, 32, 200, 16
-#: Least share of sketch hashes, of the threshold, that a pair must have in common to be verified. The
-#: estimate's standard deviation at 0.5 is 0.09 with 32 hashes, so this lies over 2.5 of them lower.
-SLACK = 0.5
+#: Standard deviations by which the agreement of two sketches may fall short of what the threshold leads to expect
+#: (0.6 % of pairs just at the threshold fall short of it, far fewer above).
+SLACK = 2.5
 
 SETS = "doc_id long, size int, whole long, sketch array<long>"
 
@@ -99,21 +99,47 @@ def needed(a: np.ndarray, b: np.ndarray | int, threshold: float) -> np.ndarray:
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
 
-def cell_pairs(sizes: np.ndarray, sketches: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a cell's members whose sketches agree well enough, by the token-group matrix."""
+def least(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Least number of common sketch hashes of sets of sizes x and y. Exact where sketches hold the sets whole;
+    else the larger set's sketch reaches as far as SKETCH of its hashes, and each of those is common with
+    the chance that the least overlap gives, less SLACK standard deviations."""
+    low, high = np.minimum(x, y), np.maximum(x, y)
+    mean = np.minimum(SKETCH * threshold / (1 + threshold) * (1 + low / high), SKETCH)
+    return np.where(high <= SKETCH, needed(x, y, threshold), np.maximum(1, np.ceil(mean - SLACK * np.sqrt(mean * (1 - mean / SKETCH)))))
+
+
+def cell_pairs(sizes: np.ndarray, sketches: list[np.ndarray], greater: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a cell's members whose sketches agree well enough, by the token-group matrix, and that
+    share none of the cells listed in ``greater``: those pairs are found there."""
     m = len(sizes)
     order = np.array(sorted(range(m), key=lambda k: sketches[k].tobytes()))
     flat = np.concatenate([sketches[k] for k in order])
     tokens, column = np.unique(flat, return_inverse=True)
     row = np.repeat(np.arange(m), [len(sketches[k]) for k in order])
     size = sizes[order].astype(np.float64)
-    # Least agreement: exact for sets that the sketch holds whole, else the slackened estimate. A larger
-    # set's hashes reach less far, so the smaller of two sets may show the rest of its sketch unmatched.
-    least = lambda x, y: np.where(np.maximum(x, y) <= SKETCH, needed(x, y, threshold), np.maximum(1, np.floor(SLACK * threshold * SKETCH * np.minimum(x, y) / np.maximum(x, y))))
     low, high = np.floor(size * threshold), np.ceil(size / threshold)
     group = np.arange(m) // GROUP
     starts = np.flatnonzero(np.r_[True, np.diff(group) > 0])
     smallest, largest = np.minimum.reduceat(size, starts), np.maximum.reduceat(size, starts)
+    cells, other = np.unique(np.concatenate([greater[k] for k in order]), return_inverse=True)
+    others = np.cumsum([0, *(len(greater[k]) for k in order)])
+
+    def elsewhere(i: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Whether rows i and members a..b have a greater cell in common."""
+        theirs = np.unique(other[others[a] : others[b]])
+        where = np.full(len(cells) + 1, -1)
+        where[theirs] = np.arange(len(theirs))
+
+        def matrix(rows: np.ndarray) -> np.ndarray:
+            count = others[rows + 1] - others[rows]
+            at = np.repeat(others[rows] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            r, c = np.repeat(np.arange(len(rows)), count), where[other[at]]
+            out = np.zeros((len(rows), len(theirs)), np.float32)
+            out[r[c >= 0], c[c >= 0]] = 1
+            return out
+
+        return matrix(i) @ matrix(np.arange(a, b)).T > 0
+
     left, right = [], []
     bounds = np.searchsorted(row, np.arange(m + 1))
     for g0 in range(0, len(starts), 64):  # blocks of groups keep the matrices small
@@ -133,15 +159,17 @@ def cell_pairs(sizes: np.ndarray, sketches: list[np.ndarray], threshold: float)
             query[row[part][hit] - q0, where[column[part][hit]]] = 1
             bound = query @ union.T
             x, lo, hi = size[q0:q1, None], smallest[None, g0 : g0 + 64], largest[None, g0 : g0 + 64]
-            nearest = np.clip(x, lo, hi)  # the size in the group's range that asks for least can't lie beyond these
-            ask = np.minimum(np.minimum(least(x, lo + 0 * x), least(x, hi + 0 * x)), least(x, nearest))
+            ask = np.minimum(least(x, lo, threshold), least(x, hi, threshold))  # sizes between ask for no less
             can = (bound >= ask) & (hi >= low[q0:q1, None]) & (lo <= high[q0:q1, None])
             for g in np.flatnonzero(can.any(axis=0)):
                 a, b = starts[g0 + g], starts[g0 + g + 1] if g0 + g + 1 < len(starts) else m
                 qs = np.flatnonzero(can[:, g])
                 overlap = query[qs] @ members[a - gs.start : b - gs.start].T
                 y = size[None, a:b]
-                ok = (overlap >= least(size[q0 + qs, None], y)) & (y >= low[q0 + qs, None]) & (y <= high[q0 + qs, None]) & (q0 + qs[:, None] < np.arange(a, b)[None, :])
+                ok = (overlap >= least(size[q0 + qs, None], y, threshold)) & (y >= low[q0 + qs, None]) & (y <= high[q0 + qs, None]) & (q0 + qs[:, None] < np.arange(a, b)[None, :])
+                if ok.any() and len(cells):
+                    some = np.flatnonzero(ok.any(axis=1))
+                    ok[some] &= ~elsewhere(q0 + qs[some], a, b)
                 i, j = np.nonzero(ok)
                 left.append(order[q0 + qs[i]])
                 right.append(order[a + j])
@@ -159,10 +187,15 @@ def open_cells(threshold: float):
                 values, at = lists.flatten().to_numpy(), np.asarray(lists.offsets)
                 at = at - at[0]
                 sketches = [values[a:b].view(T.U64) for a, b in zip(at[:-1], at[1:], strict=True)]
-                i, j = cell_pairs(members.field("size").to_numpy(), sketches, threshold)
+                own = batch["cell"][k].as_py()
+                lists = members.field("cells")
+                values, at = lists.flatten().to_numpy(), np.asarray(lists.offsets)
+                at = at - at[0]
+                greater = [x[x > own] for x in (values[a:b] for a, b in zip(at[:-1], at[1:], strict=True))]
+                i, j = cell_pairs(members.field("size").to_numpy(), sketches, greater, threshold)
                 if len(i):
                     a, b = np.minimum(reps[i], reps[j]), np.maximum(reps[i], reps[j])
-                    yield pa.record_batch([pa.array(a), pa.array(b), pa.array(np.repeat(batch["cell"][k].as_py(), len(a)), pa.int64())], ["a", "b", "cell"])
+                    yield pa.record_batch([pa.array(a), pa.array(b), pa.array(np.repeat(own, len(a)), pa.int64())], ["a", "b", "cell"])
 
     return run
 
@@ -175,6 +208,7 @@ def verify(threshold: float):
             for k in range(batch.num_rows):
                 members, pairs = batch["members"][k].values, batch["pairs"][k].values
                 reps, lists = members.field("doc_id").to_numpy(), members.field("grams")
+                docs = members.field("docs")
                 values, at = lists.flatten().to_numpy(), np.asarray(lists.offsets)
                 at = at - at[0]
                 place = {r: n for n, r in enumerate(reps.tolist())}
@@ -197,14 +231,15 @@ def verify(threshold: float):
                     sim[p] = both / (len(sets[x]) + len(sets[y]) - both)
                 ok = sim >= threshold
                 if ok.any():
-                    yield pa.record_batch([pa.array(a[ok]), pa.array(b[ok]), pa.array(sim[ok])], ["doc_a", "doc_b", "jaccard"])
+                    left, right = (docs.take(pa.array([place[x] for x in side[ok].tolist()])) for side in (a, b))
+                    yield pa.record_batch([pa.array(a[ok]), pa.array(b[ok]), pa.array(sim[ok]), left, right], ["a", "b", "jaccard", "x", "y"])
 
     return run
 
 
 def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(copies, pairs): copies has doc_id and the representative ``rep`` of its set; pairs has the
-    representatives doc_a < doc_b of two different sets and their Jaccard similarity."""
+    """(sets, pairs): sets has every set's number ``whole`` and its documents ``docs``; pairs has the numbers
+    a and b of two different sets, their Jaccard similarity, and their documents x and y."""
     docs = only(docs, doc_id="long", text="string").where("doc_id is not null")
     signed = durable(docs.mapInArrow(signatures(n), SETS).groupBy("whole", "size").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"), F.first("sketch").alias("sketch")), "sets")
     # A doc_id with several rows may head several sets: a set is known by its own number.
@@ -215,18 +250,23 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
     pairs_of = F.flatten(F.transform("hot", lambda x, i: F.transform(F.slice("hot", i + 2, KEYS), lambda y: F.xxhash64(x, y))))
     lone = F.when((F.size("single") == 0) & (F.size("hot") == 1), F.col("hot")).otherwise(F.array().cast("array<long>"))
     keyed = shared.select("whole", F.explode(F.array_distinct(F.concat("single", pairs_of, lone))).alias("cell"))
-    cells = keyed.join(sets, "whole").groupBy("cell").agg(F.collect_list(F.struct(F.col("whole").alias("doc_id"), "size", "sketch")).alias("members")).where(F.size("members") > 1)
-    found = cells.mapInArrow(open_cells(threshold), "a long, b long, cell long").groupBy("a", "b").agg(F.min("cell").alias("cell"))
-    found = durable(found, "candidates")
+    # A cell's number begins with its size: a pair is looked for in the greatest cell that both have, so that
+    # similar sets come together in few cells.
+    numbered = keyed.groupBy("cell").agg(F.collect_list("whole").alias("wholes")).where(F.size("wholes") > 1)
+    numbered = numbered.select(F.shiftleft(F.size("wholes").cast("long"), 34).bitwiseOR(F.col("cell").bitwiseAND(F.lit((1 << 34) - 1))).alias("cell"), F.explode("wholes").alias("whole"))
+    numbered = numbered.groupBy("whole").agg(F.collect_set("cell").alias("cells")).join(sets, "whole")
+    cells = numbered.select(F.explode("cells").alias("cell"), F.struct(F.col("whole").alias("doc_id"), "size", "sketch", "cells").alias("member"))
+    cells = cells.groupBy("cell").agg(F.collect_list("member").alias("members"))
+    found = durable(cells.mapInArrow(open_cells(threshold), "a long, b long, cell long"), "candidates")
     member = found.select("cell", F.explode(F.array("a", "b")).alias("whole")).distinct()
-    wanted = durable(signed.join(found.select(F.explode(F.array("a", "b")).alias("whole")).distinct(), "whole", "left_semi").select(F.col("docs")[0].alias("doc_id"), "whole"), "wanted")
+    wanted = durable(signed.join(found.select(F.explode(F.array("a", "b")).alias("whole")).distinct(), "whole", "left_semi").select(F.col("docs")[0].alias("doc_id"), "whole", "docs"), "wanted")
     texts = by_key(docs, wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     texts = texts.mapInArrow(gram_sets(n), "doc_id long, whole long, grams array<long>")
-    grams = texts.join(wanted, ["doc_id", "whole"]).groupBy("whole").agg(F.first("grams").alias("grams"))
-    full = member.join(grams, "whole").groupBy("cell").agg(F.collect_list(F.struct(F.col("whole").alias("doc_id"), "grams")).alias("members"))
+    grams = texts.join(wanted, ["doc_id", "whole"]).groupBy("whole").agg(F.first("grams").alias("grams"), F.first("docs").alias("docs"))
+    full = member.join(grams, "whole").groupBy("cell").agg(F.collect_list(F.struct(F.col("whole").alias("doc_id"), "grams", "docs")).alias("members"))
     listed = found.groupBy("cell").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    near = full.join(listed, "cell").select("members", "pairs").mapInArrow(verify(threshold), "doc_a long, doc_b long, jaccard double")
-    return signed, durable(near, "near")
+    near = full.join(listed, "cell").select("members", "pairs").mapInArrow(verify(threshold), "a long, b long, jaccard double, x array<long>, y array<long>")
+    return signed, near
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -234,11 +274,8 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> D
     document of ``docs_b``. Exact copies are the rows whose two lists are equal (similarity 1). Lists
     are sorted; docs_a comes before docs_b."""
     sets, near = similar_sets(docs, n, threshold)
-    ids = sets.select("whole", "docs")
-    twin = ids.where(F.size("docs") > 1).select(F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"), F.lit(1.0).alias("jaccard"))
-    a = ids.select(F.col("whole").alias("doc_a"), F.col("docs").alias("x"))
-    b = ids.select(F.col("whole").alias("doc_b"), F.col("docs").alias("y"))
-    cross = near.join(a, "doc_a").join(b, "doc_b").select(F.least("x", "y").alias("docs_a"), F.greatest("x", "y").alias("docs_b"), "jaccard")
+    twin = sets.where(F.size("docs") > 1).select(F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"), F.lit(1.0).alias("jaccard"))
+    cross = near.select(F.least("x", "y").alias("docs_a"), F.greatest("x", "y").alias("docs_b"), "jaccard")
     return twin.unionByName(cross)
 
 
@@ -246,7 +283,7 @@ def near_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Da
     """doc_id, keep: of every group that the pairs connect, the least doc_id is kept. Documents
     without a partner aren't listed."""
     sets, near = similar_sets(docs, n, threshold)
-    label = groups(near.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
+    label = groups(near.select("a", "b"))
     grouped = sets.select("whole", "docs").join(label, F.col("whole") == F.col("node"), "left").select(F.coalesce("label", "whole").alias("label"), F.explode("docs").alias("doc_id"))
     grouped = grouped.groupBy("label").agg(F.collect_set("doc_id").alias("docs"), F.min("doc_id").alias("keep")).where(F.size("docs") > 1)
     return durable(grouped.select(F.explode("docs").alias("doc_id"), "keep").groupBy("doc_id").agg(F.min("keep").alias("keep")), "groups")

@@ -19,11 +19,11 @@ scored alike. Every column of the input is kept, whatever its name.
 
 from __future__ import annotations
 
-import itertools
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,21 +39,6 @@ PAD = max(WIDTHS) - 1
 #: Held-out toxic rows of a language from which it gets a threshold of its own.
 OWN_THRESHOLD = 15
 
-_KEYS: dict[str, tuple[int, int]] = {}
-
-
-def keys(word: str) -> tuple[int, int]:
-    """Hashes of a word and of its first letters; 0, 0 where it has no letter or digit."""
-    got = _KEYS.get(word)
-    if got is None:
-        if len(_KEYS) >= T.CACHE_WORDS:
-            _KEYS.clear()
-        form = T.normal(word)
-        got = (xxhash.xxh64_intdigest(form), xxhash.xxh64_intdigest("^" + form[:PREFIX]) if len(form) > PREFIX else 0) if form else (0, 0)
-        _KEYS[word] = got
-    return got
-
-
 @dataclass
 class Model:
     known: np.ndarray  #: sorted hashes that have an embedding; row k + 1 is that of known[k], row 0 is zero
@@ -76,8 +61,10 @@ def word_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word numbers of all texts with PAD empty places after each; the two hashes of each number (the last
     is the empty place); offsets."""
     ids, vocabulary, offsets = T.split(texts)
-    table = np.fromiter(itertools.chain(itertools.chain.from_iterable(map(keys, vocabulary)), (0, 0)), T.U64, 2 * len(vocabulary) + 2).reshape(-1, 2)
-    del vocabulary
+    form = T.normal(vocabulary)
+    prefix = pc.if_else(pc.greater(pc.utf8_length(form), PREFIX), pc.binary_join_element_wise("^", pc.utf8_slice_codeunits(form, 0, PREFIX), ""), "")
+    table = np.zeros((len(vocabulary) + 1, 2), T.U64)
+    table[:-1, 0], table[:-1, 1] = T.hash_strings(form), T.hash_strings(prefix)
     mask = (table[:-1, 0] != 0)[ids] if len(table) > 1 else np.zeros(0, bool)
     ids, offsets = T.keep(ids, offsets, mask)
     n = len(offsets) - 1
