@@ -82,12 +82,20 @@ def keep(ids: np.ndarray, offsets: np.ndarray, mask: np.ndarray) -> tuple[np.nda
     return ids[mask], count[offsets]
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words that have letters or digits, and each text's offsets."""
+def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words that have letters or digits, as indices into hashes of the distinct ones; those hashes; each
+    text's offsets."""
     ids, vocabulary, offsets = split(texts)
     table = hash_strings(normal(vocabulary))
-    hashes = table[ids] if len(table) else np.zeros(0, U64)
-    return keep(hashes, offsets, hashes != 0)
+    mask = table[ids] != 0 if len(table) else np.zeros(0, bool)
+    ids, offsets = keep(ids, offsets, mask)
+    return ids, table, offsets
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words that have letters or digits, and each text's offsets."""
+    ids, table, offsets = word_table(texts)
+    return (table[ids] if len(table) else np.zeros(0, U64)), offsets
 
 
 def mix(x: np.ndarray) -> np.ndarray:

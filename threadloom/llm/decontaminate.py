@@ -1,15 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Terms: each word of the benchmark has a place of its own; all other words share ``OTHER`` hashed places.
-2. One pass over the corpus counts in how many passages (blocks of ``BLOCK`` words) each place occurs.
+1. Terms are the benchmark's words. One pass turns every text into the terms of its words (a mark for any other word)
+   and keeps them, two bytes a word, in the shared folder; all later passes read only those.
+2. A pass counts in how many passages (blocks of ``BLOCK`` words) each term occurs.
 3. Another gives the product A'(A W) of the TF-IDF matrix A of all passages with a random matrix W: each task
    sends one small dense sum, and the sums are added in a streaming reduction. The leading right singular vectors and
    values follow from it by the Nyström form of the randomised decomposition.
 4. Items and windows are compared by the cosine of their latent coordinates (scaled to unit variance). A window is about as
    long as its items (the next power of two, half overlapping), over the whole of every text. Every window is a
-   query against every item of its length.
-5. A candidate whose span lacks so many of the item's words that the required longest common subsequence
-   is impossible is dropped; for the others the subsequence is computed. A document leaks an item if the
+   query against every item of its length. Pairs that can't hold the required common subsequence aren't multiplied: of
+   the item's rarest words, more than it may lack, ``SURPLUS`` must be in the span. This bound is exact.
+5. For candidates the longest common subsequence is computed. A document leaks an item if the
    subsequence holds ``LCS`` of the item's words, and ``ANSWER`` of those of its answer (the last sentence
    of three words or more, at most the last ``TAIL`` words).
 
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._spark import by_key, durable, only
 
-BLOCK, OTHER, RANK, EXTRA, CHUNKS = 32, 4096, 40, 8, 16
-COSINE, LCS, ANSWER, TAIL, SHORTEST = 0.35, 0.6, 0.5, 12, 16
+BLOCK, RANK, EXTRA, CHUNKS = 32, 40, 8, 16
+COSINE, LCS, ANSWER, TAIL, SHORTEST, SURPLUS = 0.35, 0.6, 0.5, 12, 16, 3
 
 
 class Items:
@@ -42,7 +43,8 @@ class Items:
         rows = sorted({(k, t) for k, t in rows if k is not None and t})
         hashes, offsets = T.words(pa.array([t for _, t in rows], pa.string()))
         self.known = np.unique(hashes)
-        self.places = len(self.known) + OTHER
+        self.places = len(self.known)
+        self.kind = np.uint16 if self.places < 1 << 16 else np.uint32
         self.ids, self.words, self.answers = [], [], []
         for (k, text), a, b in zip(rows, offsets[:-1], offsets[1:], strict=True):
             if b > a:
@@ -53,11 +55,32 @@ class Items:
                 self.answers.append(int(min(max(tail, 1), TAIL, b - a)))
         self.scale = [max(SHORTEST, 1 << int(np.ceil(np.log2(len(w))))) for w in self.words]
 
-    def place(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.known, hashes)
+    def place(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Term of every word (``places`` for a word that isn't the benchmark's), and each text's offsets."""
+        ids, table, offsets = T.word_table(texts)
+        at = np.searchsorted(self.known, table)
         at[at == len(self.known)] = 0
-        other = len(self.known) + (hashes % T.U64(OTHER)).astype(np.int64)
-        return np.where(self.known[at] == hashes, at, other).astype(np.uint16 if self.places <= 1 << 16 else np.int32)
+        places = np.where(self.known[at] == table, at, self.places).astype(self.kind)
+        return (places[ids] if len(places) else np.zeros(0, self.kind)), offsets
+
+    def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and offsets from a kept column."""
+        size = np.dtype(self.kind).itemsize
+        at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+        data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+        return np.frombuffer(data.tobytes(), self.kind), ((at - at[0]) // size).astype(np.int64)
+
+
+def kept(docs: DataFrame, items: Items) -> DataFrame:
+    """doc_id and terms (binary) of every text with words, in the shared folder."""
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        places, offsets = items.place(batch["text"].cast(pa.string()))
+        data = pa.py_buffer(places.tobytes())
+        ends = pa.py_buffer((offsets * places.itemsize).astype(np.int32).tobytes())
+        return pa.record_batch([batch["doc_id"], pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, ends, data])], ["doc_id", "terms"])
+
+    return durable(docs.mapInArrow(T.per_slice(fn), "doc_id long, terms binary"), "terms")
 
 
 def passages(offsets: np.ndarray) -> tuple[np.ndarray, int]:
@@ -69,19 +92,17 @@ def passages(offsets: np.ndarray) -> tuple[np.ndarray, int]:
     return np.repeat(first, size) + inside // BLOCK, int(blocks.sum())
 
 
-def _sum_pass(docs: DataFrame, shape: tuple[int, ...], add) -> np.ndarray:
-    """Sum over the corpus of what ``add`` adds to an array for each slice of text; one
+def _sum_pass(terms: DataFrame, items: Items, shape: tuple[int, ...], add) -> np.ndarray:
+    """Sum over the corpus of what ``add`` adds to an array for each slice of texts; one
     array from each task, reduced chunk by chunk in a stream."""
+    kind = np.float32 if len(shape) > 1 else np.float64
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for batch in batches:
-            for part in T.slices(batch):
-                add(total, *T.words(part["text"].cast(pa.string())))
-        pieces = np.array_split(total, CHUNKS)
-        yield pa.record_batch([pa.array(range(CHUNKS), pa.int32()), pa.array([x.astype(np.float32 if total.ndim > 1 else np.float64).tobytes() for x in pieces], pa.binary())], ["chunk", "part"])
-
-    kind = np.float32 if len(shape) > 1 else np.float64
+            for part in T.slices(batch, "terms", 2_000_000):
+                add(total, *items.read(part["terms"]))
+        yield pa.record_batch([pa.array(range(CHUNKS), pa.int32()), pa.array([x.astype(kind).tobytes() for x in np.array_split(total, CHUNKS)], pa.binary())], ["chunk", "part"])
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -92,41 +113,46 @@ def _sum_pass(docs: DataFrame, shape: tuple[int, ...], add) -> np.ndarray:
         if sums:
             yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "part"])
 
-    parts = docs.select("text").mapInArrow(local, "chunk int, part binary").repartition("chunk").mapInArrow(reduce, "chunk int, part binary")
+    parts = terms.select("terms").mapInArrow(local, "chunk int, part binary").repartition("chunk").mapInArrow(reduce, "chunk int, part binary")
     found = {r["chunk"]: np.frombuffer(r["part"]) for r in parts.collect()}
     flat = np.concatenate([found[k] for k in range(CHUNKS)]) if found else np.zeros(int(np.prod(shape)))
     return flat.reshape(shape)
 
 
-def latent(docs: DataFrame, items: Items, seed: int = 0) -> np.ndarray:
-    """places x RANK: what each word of a text adds to its latent coordinates."""
+def latent(terms: DataFrame, items: Items, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """places + 1 x RANK: what each word of a text adds to its latent coordinates (nothing for other words);
+    and in how many passages each term occurs."""
     width = items.places
 
-    def count(total: np.ndarray, hashes: np.ndarray, offsets: np.ndarray) -> None:
+    def count(total: np.ndarray, place: np.ndarray, offsets: np.ndarray) -> None:
         where, n = passages(offsets)
-        pairs = np.unique(where * width + items.place(hashes))
+        mine = place < width
+        pairs = np.sort(where[mine] * width + place[mine])
+        pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
         total[:width] += np.bincount(pairs % width, minlength=width)
         total[width] += n
 
-    df = _sum_pass(docs, (width + 1,), count)
+    df = _sum_pass(terms, items, (width + 1,), count)
     idf = np.log((df[width] + 1) / (df[:width] + 1)) + 0.1
     W = np.random.default_rng(seed).normal(size=(width, RANK + EXTRA))
     projected = (idf[:, None] * W).astype(np.float32)
 
-    def multiply(total: np.ndarray, hashes: np.ndarray, offsets: np.ndarray) -> None:
-        place = items.place(hashes)
+    def multiply(total: np.ndarray, place: np.ndarray, offsets: np.ndarray) -> None:
         where, n = passages(offsets)
+        mine = place < width
+        place, where = place[mine], where[mine]
         if not len(place):
             return
-        starts = np.searchsorted(where, np.arange(n))
-        norm = np.sqrt(np.add.reduceat((idf**2)[place], starts))
-        y = np.add.reduceat(projected[place], starts, axis=0) / (norm**2)[:, None].astype(np.float32)
+        starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+        which = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(where)]))
+        norm = np.add.reduceat((idf**2)[place], starts).astype(np.float32)
+        y = np.add.reduceat(projected[place], starts, axis=0) / norm[:, None]
         order = np.argsort(place, kind="stable")
         ordered = place[order]
         begins = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        total[ordered[begins]] += np.add.reduceat(y[where[order]], begins, axis=0)
+        total[ordered[begins]] += np.add.reduceat(y[which[order]], begins, axis=0)
 
-    Y = _sum_pass(docs, (width, RANK + EXTRA), multiply) * idf[:, None]
+    Y = _sum_pass(terms, items, (width, RANK + EXTRA), multiply) * idf[:, None]
     core = W.T @ Y
     core = (core + core.T) / 2
     value, vector = np.linalg.eigh(core)
@@ -134,25 +160,43 @@ def latent(docs: DataFrame, items: Items, seed: int = 0) -> np.ndarray:
     factor = Y @ (vector / np.sqrt(value))
     left, sigma, _ = np.linalg.svd(factor, full_matrices=False)
     keep = sigma[:RANK] > 1e-6 * max(sigma[0], 1e-12)
-    return (idf[:, None] * left[:, :RANK][:, keep] / sigma[:RANK][keep]).astype(np.float32)
+    table = idf[:, None] * left[:, :RANK][:, keep] / sigma[:RANK][keep]
+    return np.concatenate([table, np.zeros((1, table.shape[1]))]).astype(np.float32), df[:width]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def search(items: Items, table: np.ndarray, cosine: float):
+def rarest(items: Items, df: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By scale, for the exact bound: where each term's entries begin, the items and weights of the entries (places among the item's rarest
+    words), and the weight that each item needs."""
+    out = {}
+    for s in set(items.scale):
+        entries, need = [], np.zeros(len(items.ids))
+        for k, w in enumerate(items.words):
+            if items.scale[k] == s:
+                lacking = len(w) - int(np.ceil(LCS * len(w) - 1e-9))
+                rare = w[np.argsort(df[w], kind="stable")][: lacking + SURPLUS]
+                need[k] = len(rare) - lacking
+                terms, weight = np.unique(rare, return_counts=True)
+                entries += [(t, k, c) for t, c in zip(terms.tolist(), weight.tolist(), strict=True)]
+        table = np.array(sorted(entries))
+        out[s] = (np.searchsorted(table[:, 0], np.arange(items.places + 2)), table[:, 1], table[:, 2], need)
+    return out
+
+
+def search(items: Items, table: np.ndarray, df: np.ndarray, cosine: float):
     scales = sorted(set(items.scale))
-    by_scale = {s: np.array([k for k, x in enumerate(items.scale) if x == s]) for s in scales}
-    vectors = {s: unit(np.stack([table[items.words[k]].sum(0) for k in ks])) for s, ks in by_scale.items()}
-    sets = [set(w.tolist()) for w in items.words]
-    least = [len(s) - (len(w) - np.ceil(LCS * len(w))) for s, w in zip(sets, items.words, strict=True)]
+    vectors = unit(np.stack([table[w].sum(0) for w in items.words]))
+    bounds = rarest(items, df)
+    words = [w.tolist() for w in items.words]
+    n_items = len(words)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        hashes, offsets = T.words(batch["text"].cast(pa.string()))
-        if not len(hashes):
+        place, offsets = items.read(batch["terms"])
+        if not len(place):
             return None
-        place = items.place(hashes)
         half = scales[0] // 2
         # Sums over half windows of the least scale, aligned to each text; larger windows are sums of those.
         size = np.diff(offsets)
@@ -160,32 +204,53 @@ def search(items: Items, table: np.ndarray, cosine: float):
         base = np.concatenate([[0], np.cumsum(cells)])
         starts = np.repeat(offsets[:-1], cells) + half * (np.arange(base[-1]) - np.repeat(base[:-1], cells))
         sums = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(np.add.reduceat(table[place], starts, axis=0), axis=0, dtype=np.float64)])
+        owner = np.repeat(np.arange(len(size)), size)
         best: dict[tuple[int, int], tuple] = {}
         for s in scales:
             step = (s // 2) // half
             count = np.maximum(1, -(-(cells - step) // step)) * (cells > 0)
-            doc = np.repeat(np.arange(len(size)), count)
-            k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            a = base[doc] + k * step
+            first = np.cumsum(count) - count
+            begin, which, weight, need = bounds[s]
+            # Entries of every rare word, in the four windows whose spans (a half window more on both sides) hold it.
+            many = (begin[1:] - begin[:-1])[place]
+            hit = np.flatnonzero(many)
+            many = many[hit]
+            entry = np.repeat(begin[place[hit]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            hit = np.repeat(hit, many)
+            doc = owner[hit]
+            block = (hit - offsets[doc]) // (s // 2)
+            window = (block[:, None] + np.arange(-2, 2)).reshape(-1)
+            doc, entry = np.repeat(doc, 4), np.repeat(entry, 4)
+            ok = (window >= 0) & (window < count[doc])
+            key = np.sort((first[doc[ok]] + window[ok]) * len(which) + entry[ok])
+            key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+            entry = key % len(which)
+            key = key // len(which) * n_items + which[entry]
+            order = np.argsort(key, kind="stable")
+            key, entry = key[order], entry[order]
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            if not len(at):
+                continue
+            got = np.add.reduceat(weight[entry], at)
+            key = key[at][got >= need[key[at] % n_items]]
+            window, item = key // n_items, key % n_items
+            doc = np.searchsorted(first + count, window, side="right")
+            a = base[doc] + (window - first[doc]) * step
             b = np.minimum(a + 2 * step, base[doc + 1])
-            near = unit((sums[b] - sums[a]).astype(np.float32)) @ vectors[s].T
-            for w, i in zip(*(x.tolist() for x in np.nonzero(near >= cosine)), strict=True):
-                item = int(by_scale[s][i])
-                d, m = int(doc[w]), len(items.words[item])
-                x = max(int(starts[a[w]]) - s // 2, int(offsets[d]))
-                y = min(int(starts[a[w]]) + s + s // 2, int(offsets[d + 1]))
+            near = np.einsum("ij,ij->i", unit((sums[b] - sums[a]).astype(np.float32)), vectors[item])
+            keep = np.flatnonzero(near >= cosine)
+            for w, i, d, c, x in zip(window[keep].tolist(), item[keep].tolist(), doc[keep].tolist(), near[keep].tolist(), starts[a[keep]].tolist(), strict=True):
+                m, begins = len(words[i]), int(offsets[d])
+                x, y = max(x - s // 2, begins), min(x + s + s // 2, int(offsets[d + 1]))
                 span = place[x:y].tolist()
-                if len(sets[item].intersection(span)) < least[item]:
-                    continue
-                words = items.words[item].tolist()
-                length = T.lcs(words, span)
+                length = T.lcs(words[i], span)
                 if length < LCS * m - 1e-9:
                     continue
-                tail = words[-items.answers[item] :]
+                tail = words[i][-items.answers[i] :]
                 answer = T.lcs(tail, span) / len(tail)
-                key, row = (d, item), (length / m, answer, float(near[w, i]), x - int(offsets[d]))
-                if answer >= ANSWER - 1e-9 and (key not in best or row[:2] > best[key][:2]):
-                    best[key] = row
+                row = (length / m, answer, c, x - begins)
+                if answer >= ANSWER - 1e-9 and ((d, i) not in best or row[:2] > best[d, i][:2]):
+                    best[d, i] = row
         if not best:
             return None
         found = list(best.items())
@@ -195,7 +260,7 @@ def search(items: Items, table: np.ndarray, cosine: float):
             ["doc_id", "item_id", "lcs", "answer", "cosine", "word"],
         )
 
-    return T.per_slice(fn)
+    return T.per_slice(fn, "terms", 2_000_000)
 
 
 SCHEMA = "doc_id long, item_id long, lcs double, answer double, cosine double, word long"
@@ -207,7 +272,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> Data
     items = Items([tuple(r) for r in only(benchmark, item_id="long", text="string").collect()])
     if not items.ids:
         return docs.sparkSession.createDataFrame([], SCHEMA)
-    return docs.mapInArrow(search(items, latent(docs, items), cosine), SCHEMA).distinct()
+    terms = kept(docs, items)
+    return terms.mapInArrow(search(items, *latent(terms, items), cosine), SCHEMA).distinct()
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
