@@ -89,6 +89,27 @@ def test_labelled_failures_are_rows(spark):
     assert r["recommendations"] is None and r["error"].startswith("TimeoutError")
 
 
+def test_teacher_retries():
+    from threadloom.sources import teacher
+
+    waits, calls = [], []
+
+    def post(url, body, timeout):
+        calls.append(body)
+        if len(calls) < 3:
+            raise TimeoutError
+        return {"choices": [{"message": {"content": "ok"}}]}
+
+    assert teacher.server("http://x", "m", "s", workers=1, post=post, wait=waits.append)(["p"]) == ["ok"] and waits == [2, 4]
+    assert teacher.server("http://x", "m", "s", post=lambda *_: {}, wait=waits.append)(["p", "q"]) == [None, None]
+
+
+def test_verdicts(spark):
+    raw = ['```json\n{"verdict": "fail", "violations": [{"which": "1", "rule": "voice", "detail": "d"}]}\n```', "no", None]
+    got = prompts.verdicts(spark.createDataFrame([(k, r) for k, r in enumerate(raw)], "id int, raw string")).orderBy("id").collect()
+    assert [(r["verdict"], r["rule"]) for r in got] == [("fail", "voice"), ("error", None), ("error", None)]
+
+
 def test_files(spark, tmp_path):
     d = tmp_path / "sms"
     d.mkdir()

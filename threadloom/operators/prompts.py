@@ -51,6 +51,21 @@ def prompt_conversation() -> Column:
     )
 
 
+def prompt_judge() -> Column:
+    """Context, situation and the numbered suggestions for a strict reviewer."""
+    listed = F.transform("recommendations", lambda r, i: F.concat((i + 1).cast("string"), F.lit(". ("), F.coalesce(r["confidence"], F.lit("?")), F.lit(") "), F.coalesce(r["suggested_message"], F.lit(""))))
+    return F.concat_ws(
+        "\n", context_block(title="CONTEXT"), F.when(F.coalesce("directive", F.lit("")) != "", F.concat(F.lit("\n"), F.col("directive"))), F.lit("\n--- SUGGESTIONS ---"), F.array_join(listed, "\n"),
+        F.lit('\nTASK: do the suggestions follow every rule of voice, stage and safety? Return only JSON: {"verdict": "pass|fail", "violations": [{"which": "1|2|3|all", "rule": str, "detail": str}], "summary": str}'),
+    )
+
+
+def verdicts(answers: DataFrame, key: str = "id") -> DataFrame:
+    """key, verdict, rule (of the first violation) from a judge's raw answers; verdict error where there is none."""
+    parsed = F.from_json(json_object(F.col("raw")), "verdict string, violations array<struct<which:string,rule:string,detail:string>>, summary string")
+    return answers.select(key, F.coalesce(parsed["verdict"], F.lit("error")).alias("verdict"), F.get(parsed["violations"], F.lit(0))["rule"].alias("rule"))
+
+
 def within_budget(tasks: DataFrame, prompt: Column, longest: int, answer: int = 700, slack: int = 256, count: Callable[[list[str]], list[int]] | None = None) -> DataFrame:
     """Tasks whose prompt fits. ``count`` gives the tokens of a batch of texts; without it a token is four characters."""
     room = longest - answer - slack

@@ -341,6 +341,14 @@ def prompt_texts(spark, sf_dir) -> DataFrame:
     return records(spark, sf_dir).select("id", prompts.prompt_scenario().alias("prompt"))
 
 
+_JUDGE = "concat_ws(chr(10), replace(" + _CTX + ", 'CURRENT CONTEXT', 'CONTEXT'), CASE WHEN directive <> '' THEN chr(10) || directive END, chr(10) || '--- SUGGESTIONS ---', '1. (' || c1 || ') ' || s1, '2. (' || c2 || ') ' || s2, '3. (' || c3 || ') ' || s3)"
+
+
+@query(f"WITH {RECORDS} SELECT id, {_JUDGE} AS prompt FROM records")
+def judge_render(spark, sf_dir):
+    return records(spark, sf_dir).select("id", F.substring_index(prompts.prompt_judge(), "\n\nTASK: ", 1).alias("prompt"))
+
+
 _TASK = bank.quote("\n".join(["", "TASK: write exactly 3 suggested messages for this context.", prompts.NO_TOKENS, prompts.NO_NODS, prompts.ASK]))
 
 
