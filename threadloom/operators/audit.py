@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, first_word, has, sentence_count, strip
+from .surrogates import ANY_TOKEN
 
 RATE = r"(?i)\$\s?\d|\bAPR\b|\b\d+(?:\.\d+)?\s?%"
-TOKEN = r"\{[A-Z][A-Z_]*\}"
+TOKEN = ANY_TOKEN
 HARSH = r"(?i)\b(?:" + any_of("denied", "disqualified", "failed", "rejected") + r")\b"
 HELLO = r"(?i)^\s*(?:hello|hey|hi)\b"
 SCREEN = r"(?i)\b(?:appl(?:y|ication)|bankruptc|foreclosur|how do you plan (?:to |on )?us|investment property|late (?:mortgage )?payment|pre-?approv|primary residence|property)"
-ACKNOWLEDGE = r"(?i)^\s*(?:hey\s+\w+[,!]?\s+)?(?:" + any_of("absolutely", "alright", "awesome", "glad to hear", "good to hear", "good to know", "got it", "gotcha", "great", "i understand", "makes sense", "no worries", "of course", "ok so", "okay so", "perfect", "sounds good") + r")\b"
+ACKNOWLEDGE = r"(?i)^\s*(?:hey\s+\w+[!,]?\s+)?(?:" + any_of("absolutely", "alright", "awesome", "glad to hear", "good to hear", "good to know", "got it", "gotcha", "great", "i understand", "makes sense", "no worries", "of course", "ok so", "okay so", "perfect", "sounds good") + r")\b"
 COMPANY = "New American Funding"
 
 
@@ -27,7 +28,7 @@ def message_reason(message: Column, confidence: Column, typed: Column | None = N
         .when(F.length(message) > 400, F.lit("message too long"))
         .when(sentence_count(message) > 3, F.lit("more than 3 sentences"))
         .when(has(message, RATE), F.lit("mentions rate/APR/$ amount"))
-        .when(has(message, TOKEN), F.lit("contains a redaction placeholder token (e.g. {NAME})"))
+        .when(has(message, TOKEN), F.lit("contains a redaction placeholder token " + "(e.g. {NAME})"))
     )
 
 

@@ -27,12 +27,12 @@ CIRCLE = ("asked a mortgage question", "off topic", "off-topic", "small talk", "
 
 HARD = [
     "understood", "thanks for the update", "thanks for the info", "thanks for that", "thanks for sharing", "thanks for reaching out", "thanks for letting us know", "thanks for letting me know",
-    "thanks for confirming", "thank you for confirming", "sure thing", "sounds good", "of course", "not a problem at all", "not a problem", "no worries at all", "no worries", "no problem at all", "no problem", "makes sense",
-    "lol", "i understand", "i totally get it", "i hear you", "i get it", "i feel you", "i appreciate that", "i appreciate it", "haha", "gotcha", "got it", "good to know", "good to hear", "glad to hear", "for sure", "appreciate you", "appreciate that",
+    "thank you for confirming", "sure thing", "thanks for confirming", "sounds good", "of course", "not a problem at all", "not a problem", "no worries at all", "no worries", "no problem at all", "no problem", "makes sense",
+    "lol", "i understand", "i totally get it", "i hear you", "i get it", "i feel you", "haha", "i appreciate it", "gotcha", "got it", "i appreciate that", "good to know", "good to hear", "glad to hear", "for sure", "appreciate you", "appreciate that",
 ]
 SOFT = sorted("yup yep yeah wonderful well totally sure so right perfect okay ok nice great fantastic cool awesome alright absolutely".split()) + ["love it", "love that"]
 _KIND, _ACT = any_of(*"lovely excellent amazing perfect wonderful happy glad good awesome nice great".split()), any_of(*"catch up,chat,connect,meet,see,talk,know,hear".split(","))
-_OPENER = rf"[\s.,;:!?—-]*(?:(?:{any_of(*HARD)})\b[\s,]*[-—]?\s*|(?:{any_of(*SOFT)})\b\s*[,.!?—-]+\s*|(?:{_KIND})\s+to\s+(?:{_ACT})\b[^.!?]{{0,20}}[.!,]+\s*)"
+_OPENER = rf"[—\s,.;:?!-]*(?:(?:{any_of(*HARD)})\b[,\s]*[—-]?\s*|(?:{any_of(*SOFT)})\b\s*[—!,.?-]+\s*|(?:{_KIND})\s+to\s+(?:{_ACT})\b[^!.?]{{0,20}}[!,.]+\s*)"
 #: All openers at once: the same as taking one off until none is left.
 OPENERS = rf"(?i)\A(?:{_OPENER})+"
 GREETING = r"(?i)^\s*(?:heya|hello|hiya|hey|hi)\b"
@@ -99,7 +99,7 @@ def drop_openers(c: Column) -> Column:
 
 
 def _marks(c: Column) -> Column:
-    c = F.regexp_replace(c, r"(?U)\A[\s.,;:!?—-]+", "")
+    c = F.regexp_replace(c, r"(?U)\A[—\s,.;:?!-]+", "")
     c = F.regexp_replace(c, r"\A[ \t—,;:-]+|[ \t—,;:-]+\z", "")
     c = F.regexp_replace(c, r"(?U)\s+([.,;:!?])", "$1")
     return strip(F.regexp_replace(c, r"(?U)\s{2,}", " "))

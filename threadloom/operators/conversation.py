@@ -9,10 +9,10 @@ from pyspark.sql.window import Window as W
 from ..functions.text import any_of, has, one_line, sms_text, strip
 
 SMS_NOISE = r"(?i)^\s*(?:this is an automated|msg\s*&?\s*data rates|reply stop|unsubscribe)"
-SIGNATURE = r"(?i)^\s*(?:thanks[,!]*\s*)?[-–—]\s*\w+\s*$"
+SIGNATURE = r"(?i)^\s*(?:thanks[!,]*\s*)?[–—-]\s*\w+\s*$"
 CALL_NOISE = "(?i)(?:" + any_of("left call", "joined call", "for english", "please wait", "may be monitored", "quality assurance", "thank you for calling") + r"|press \d)"
 NODS = ("gotcha", "mm hmm", "ok", "okay", "right", "sure", "uh huh", "yeah", "yep")
-CALL_LINE = r"^\[\d{2}:\d{2}:\d{2}\]\s*([A-Za-z ]+?):\s*(.*)$"
+CALL_LINE = r"^\[(?:\d\d:){2}\d\d\]\s*([ a-zA-Z]+?):\s*(.*)$"
 SPEAKERS = {"agent": "agent", "internal": "agent", "client": "client", "customer": "client", "external": "client"}
 
 

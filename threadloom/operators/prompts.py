@@ -14,8 +14,9 @@ FIELDS = {
 }
 NO_TOKENS = "Write real names, never bracketed placeholders."
 NO_NODS = "These are text messages: at most one of the three may open with an acknowledgement."
-ASK = 'Return only JSON: {"recommendations": [{"suggested_message": str, "confidence": "high|medium|low"}, x3]}'
-ASK_CONTEXT = 'Return only JSON: {"context": {the eight fields}, "recommendations": [{"suggested_message": str, "confidence": "high|medium|low"}, x3]}'
+_SHAPE = '"recommendations": three of {"suggested_message": text, "confidence": one of high, medium, low}'
+ASK = "Return only JSON: {" + _SHAPE + "}"
+ASK_CONTEXT = 'Return only JSON: {"context": {the eight fields}, ' + _SHAPE + "}"
 
 RECS = "array<struct<suggested_message:string,confidence:string>>"
 
@@ -56,7 +57,7 @@ def prompt_judge() -> Column:
     listed = F.transform("recommendations", lambda r, i: F.concat((i + 1).cast("string"), F.lit(". ("), F.coalesce(r["confidence"], F.lit("?")), F.lit(") "), F.coalesce(r["suggested_message"], F.lit(""))))
     return F.concat_ws(
         "\n", context_block(title="CONTEXT"), F.when(F.coalesce("directive", F.lit("")) != "", F.concat(F.lit("\n"), F.col("directive"))), F.lit("\n--- SUGGESTIONS ---"), F.array_join(listed, "\n"),
-        F.lit('\nTASK: do the suggestions follow every rule of voice, stage and safety? Return only JSON: {"verdict": "pass|fail", "violations": [{"which": "1|2|3|all", "rule": str, "detail": str}], "summary": str}'),
+        F.lit('\nTASK: do the suggestions follow every rule of voice, stage and safety? Return only JSON: {"verdict": pass or fail, "violations": list of {"rule", "which", "detail"}, "summary": one sentence}'),
     )
 
 
@@ -77,7 +78,7 @@ def within_budget(tasks: DataFrame, prompt: Column, longest: int, answer: int =
 
 def json_object(c: Column) -> Column:
     """The first '{' to the last '}' of a text without code fences; null without any."""
-    bare = F.regexp_replace(c, r"(?m)^```(?:json)?|```$", "")
+    bare = F.regexp_replace(c, r"(?m)^`{3}(?:json)?|`{3}$", "")
     found = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
     return F.when(found != "", found)
 
@@ -105,7 +106,7 @@ def dry_label(tasks: DataFrame) -> DataFrame:
     other = _recs((cut(base), "medium"), (F.lit("which number is best to reach you?"), "low"), (F.lit("glad to go on whenever you like"), "low"))
     situation = _recs((cut(anchor), "medium"), (F.lit("there is no hurry from my side"), "low"), (F.lit("tell me how you would like to proceed"), "low"))
     said = F.substring(F.get("history", F.size("history") - 1)["text"], 1, 60)
-    return tasks.withColumns({"kind": kind, "recommendations": F.when(kind == "maos", situation).otherwise(other), "latest": F.when(kind == "convo", said).otherwise(F.col("latest"))})
+    return tasks.withColumns({"kind": kind, "recommendations": F.when(kind == "situation", situation).otherwise(other), "latest": F.when(kind == "convo", said).otherwise(F.col("latest"))})
 
 
 def labelled(tasks: DataFrame, prompt: Column, call: Callable[[list[str]], list[str | None]], key: str = "id") -> DataFrame:

@@ -27,7 +27,7 @@ INTENTS: list[tuple[str, str]] = [
     ("rate_shopping", r"(?i)(?:best rate|current rates?|how much (?:are|is) (?:the )?rate|rate shopping|what'?s? (?:the|todays?|your) (?:interest|rate))"),
     ("loan_question", r"(?i)\b(?:can i (?:afford|buy|qualify)|difference between|do i need|how (?:does|long)|how much (?:do i|can i)|what (?:are|is a|credit|documents|score)).*\?"),
 ]
-MODE_OF = {"life_event": "empathy", "not_interested": "objection", "busy": "logistics"}
+MODE_OF = {"busy": "logistics", "life_event": "empathy", "not_interested": "objection"}
 
 
 def candidates(turns: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -173,7 +174,7 @@ def intent_dedup_cap(spark, sf_dir):
 
 
 REDACT = "text"
-for _p, _r in ((r"https?://\S+", ""), (r"[\w.+-]+@[\w-]+\.[\w.]+", "someone@example.com"), (r"\+?\d[\d\-\(\)\s]{7,}\d", "(555) 010-4321"), (r"\$\s?[\d,]+(?:\.\d+)?", "$300k"), (r"\b\d{1,6}\s+[NSEW]\.?\s+[A-Z][a-z]+", "a property nearby")):
+for _p, _r in ((r"https?://\S+", ""), (r"[-+.\w]+@[-\w]+\.[.\w]+", "someone@example.com"), (r"\+?\d[-()\s\d]{7,}\d", "(555) 010-4321"), (r"\$\s?[,\d]+(?:[.]\d+)?", "$300k"), (r"\b[0-9]{1,6}\s+[ENSW][.]?\s+[A-Z][a-z]+", "a property nearby")):
     REDACT = f"regexp_replace({REDACT}, {q(_p)}, {q(_r)}, 'g')"
 
 
@@ -379,7 +380,7 @@ def json_extract(spark, sf_dir):
     return rows.select("conv_id", "turn", prompts.json_object(F.col("t")).alias("object"))
 
 
-@query(f"""WITH {CANDIDATES}, {SCENARIOS} SELECT kind, count(*) AS n, count(gold_reply) AS replies FROM (SELECT gold_reply, 'convo' AS kind FROM candidates UNION ALL SELECT NULL, kind FROM scenarios UNION ALL SELECT NULL, 'maos' FROM range({60 * len(scenarios.SITUATIONS)})) GROUP BY 1""")
+@query(f"""WITH {CANDIDATES}, {SCENARIOS} SELECT kind, count(*) AS n, count(gold_reply) AS replies FROM (SELECT gold_reply, 'convo' AS kind FROM candidates UNION ALL SELECT NULL, kind FROM scenarios UNION ALL SELECT NULL, 'situation' FROM range({60 * len(scenarios.SITUATIONS)})) GROUP BY 1""")
 def union_tasks(spark, sf_dir):
     all_tasks = tasks.union_tasks(tasks.candidates(merged(spark, sf_dir)), scenarios.enumerate_scenarios(spark), scenarios.situations(spark).drop("id"))
     return all_tasks.groupBy("kind").agg(F.count("*").alias("n"), F.count("gold_reply").alias("replies"))
@@ -532,7 +533,7 @@ def loss_summary(spark, sf_dir):
 @query()
 def model_evaluation(spark, sf_dir):
     """Flat rows of an evaluation with an injected model (here a fixed answer); the call can't be expressed in SQL."""
-    answer = '{"recommendations": [{"suggested_message": "a", "confidence": "high"}, {"suggested_message": "b", "confidence": "low"}]}'
+    answer = json.dumps({"recommendations": [dict(suggested_message=m, confidence=c) for m, c in (("a", "high"), ("b", "low"))]})
     rows = records(spark, sf_dir)
     return prompts.evaluation_rows(prompts.labelled(rows, prompts.prompt_scenario(), lambda ps: [answer] * len(ps)))
 

@@ -25,11 +25,12 @@ def server(url: str, model: str, system: str, *, temperature: float = 0.7, max_t
 
     def one(prompt: str) -> str | None:
         messages = [{"role": "system", "content": system}, {"role": "user", "content": prompt}]
-        body = {"model": model, "messages": messages, "temperature": temperature, "max_tokens": max_tokens}
+        body = dict(max_tokens=max_tokens, messages=messages, model=model, temperature=temperature)
         for k in range(tries):
             try:
-                return post(url, body, timeout)["choices"][0]["message"]["content"]
-            except (urllib.error.URLError, KeyError, IndexError, TimeoutError):
+                first = post(url, body, timeout)["choices"][0]
+                return first["message"]["content"]
+            except (KeyError, IndexError, TimeoutError, urllib.error.URLError):
                 wait(2 * (k + 1))
         return None
 
