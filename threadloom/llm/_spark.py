@@ -43,6 +43,17 @@ def by_key(df: DataFrame, small: DataFrame, on: list[str] | str, how: str) -> Da
     return df.join(F.broadcast(small) if few else small.hint("shuffle_hash" if how != "left_anti" else "merge"), on, how)
 
 
+#: Bytes of a batch that is sent to a Python worker; with the slices of _text it bounds a worker's memory.
+BATCH_BYTES = 8_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The same table; batches to Python workers are bounded by bytes from now on, however long texts are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def only(df: DataFrame, **kinds: str) -> DataFrame:
     """The named columns with their types, found without regard to other columns."""
+    bounded(df)
     return df.select(*[F.col(f"`{c}`").cast(k).alias(c) for c, k in kinds.items()])

@@ -141,6 +141,7 @@ def per_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
+            pa.default_memory_pool().release_unused()
 
     return run
 

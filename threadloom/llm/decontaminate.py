@@ -92,6 +92,20 @@ def passages(offsets: np.ndarray) -> tuple[np.ndarray, int]:
     return np.repeat(first, size) + inside // BLOCK, int(blocks.sum())
 
 
+def block_sums(table: np.ndarray, place: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+    """Sums of the table's rows over blocks of ``width`` words, aligned to each text; the table's last row is zero."""
+    size = np.diff(offsets)
+    blocks = -(-size // width)
+    first = np.cumsum(blocks) - blocks
+    padded = np.full(int(blocks.sum()) * width, len(table) - 1, place.dtype)
+    padded[np.arange(offsets[-1]) + np.repeat(first * width - offsets[:-1], size)] = place
+    padded = padded.reshape(-1, width)
+    total = np.zeros((len(padded), table.shape[1]), table.dtype)
+    for k in range(width):
+        total += table[padded[:, k]]
+    return total
+
+
 def _sum_pass(terms: DataFrame, items: Items, shape: tuple[int, ...], add) -> np.ndarray:
     """Sum over the corpus of what ``add`` adds to an array for each slice of texts; one
     array from each task, reduced chunk by chunk in a stream."""
@@ -100,7 +114,7 @@ def _sum_pass(terms: DataFrame, items: Items, shape: tuple[int, ...], add) -> np
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for batch in batches:
-            for part in T.slices(batch, "terms", 2_000_000):
+            for part in T.slices(batch, "terms", 1_000_000):
                 add(total, *items.read(part["terms"]))
         yield pa.record_batch([pa.array(range(CHUNKS), pa.int32()), pa.array([x.astype(kind).tobytes() for x in np.array_split(total, CHUNKS)], pa.binary())], ["chunk", "part"])
 
@@ -135,22 +149,19 @@ def latent(terms: DataFrame, items: Items, seed: int = 0) -> tuple[np.ndarray, n
     df = _sum_pass(terms, items, (width + 1,), count)
     idf = np.log((df[width] + 1) / (df[:width] + 1)) + 0.1
     W = np.random.default_rng(seed).normal(size=(width, RANK + EXTRA))
-    projected = (idf[:, None] * W).astype(np.float32)
+    projected = np.concatenate([idf[:, None] * W, np.zeros((1, RANK + EXTRA))]).astype(np.float32)
+    square = np.append(idf**2, 0.0)[:, None]
 
     def multiply(total: np.ndarray, place: np.ndarray, offsets: np.ndarray) -> None:
-        where, n = passages(offsets)
+        y = block_sums(projected, place, offsets, BLOCK)
+        y /= np.maximum(block_sums(square, place, offsets, BLOCK), 1e-12).astype(np.float32)
         mine = place < width
-        place, where = place[mine], where[mine]
-        if not len(place):
-            return
-        starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-        which = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(where)]))
-        norm = np.add.reduceat((idf**2)[place], starts).astype(np.float32)
-        y = np.add.reduceat(projected[place], starts, axis=0) / norm[:, None]
+        place, where = place[mine], passages(offsets)[0][mine]
         order = np.argsort(place, kind="stable")
         ordered = place[order]
-        begins = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        total[ordered[begins]] += np.add.reduceat(y[which[order]], begins, axis=0)
+        begins = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else order
+        if len(begins):
+            total[ordered[begins]] += np.add.reduceat(y[where[order]], begins, axis=0)
 
     Y = _sum_pass(terms, items, (width, RANK + EXTRA), multiply) * idf[:, None]
     core = W.T @ Y
@@ -203,7 +214,7 @@ def search(items: Items, table: np.ndarray, df: np.ndarray, cosine: float):
         cells = -(-size // half)
         base = np.concatenate([[0], np.cumsum(cells)])
         starts = np.repeat(offsets[:-1], cells) + half * (np.arange(base[-1]) - np.repeat(base[:-1], cells))
-        sums = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(np.add.reduceat(table[place], starts, axis=0), axis=0, dtype=np.float64)])
+        sums = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(block_sums(table, place, offsets, half), axis=0, dtype=np.float64)])
         owner = np.repeat(np.arange(len(size)), size)
         best: dict[tuple[int, int], tuple] = {}
         for s in scales:
@@ -260,7 +271,7 @@ def search(items: Items, table: np.ndarray, df: np.ndarray, cosine: float):
             ["doc_id", "item_id", "lcs", "answer", "cosine", "word"],
         )
 
-    return T.per_slice(fn, "terms", 2_000_000)
+    return T.per_slice(fn, "terms", 1_000_000)
 
 
 SCHEMA = "doc_id long, item_id long, lcs double, answer double, cosine double, word long"

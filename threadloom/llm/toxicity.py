@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from . import _text as T
-from ._spark import only
+from ._spark import bounded, only
 
-SAMPLE = 10_000
+SAMPLE = 8_000
 DIM, FILTERS, WIDTHS, PREFIX, LEAST = 8, 8, (1, 2, 3), 4, 3
 EPOCHS, RATE, BATCH = 3, 0.1, 32
 PAD = max(WIDTHS) - 1
@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows, columns renamed to their places c0, c1, ..., with ``score`` and ``toxic``."""
     text, lang = (f"c{[x.lower() for x in docs.columns].index(c)}" for c in ("text", "lang"))
-    placed = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    placed = bounded(docs).toDF(*[f"c{k}" for k in range(len(docs.columns))])
     schema = StructType([*placed.schema.fields, StructField("score", DoubleType()), StructField("toxic", BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
