@@ -538,6 +538,14 @@ def model_evaluation(spark, sf_dir):
     return prompts.evaluation_rows(prompts.labelled(rows, prompts.prompt_scenario(), lambda ps: [answer] * len(ps)))
 
 
+@query(
+    f"""WITH {CANDIDATES}, picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY head DESC, md5('0|' || conv_id || '|' || turn_idx), turn_idx) AS pick
+FROM (SELECT *, turn_idx = min(turn_idx) OVER (PARTITION BY conv_id) AS head FROM candidates)) WHERE pick <= 6),
+dry AS (SELECT p.conv_id, turn_idx, m.text[1:60] AS latest, gold_reply[1:160] AS s1, 'which number is best to reach you?' AS s2, 'glad to go on whenever you like' AS s3, 'medium' AS c1, 'low' AS c2, 'low' AS c3,
+'qualifying' AS stage, 'N/A' AS next_key, 'there' AS client, CASE WHEN is_first THEN 'yes' ELSE 'no' END AS is_first, NULL::VARCHAR AS mode, '' AS directive FROM picked p JOIN merged m ON m.conv_id = p.conv_id AND m.turn = turn_idx - 1),
+passed AS (SELECT *, {USER} AS usr FROM dry WHERE {REASON} IS NULL)
+SELECT conv_id, turn_idx, CASE WHEN row_number() OVER (ORDER BY md5('0|' || conv_id || '-' || turn_idx)) <= greatest(1, floor(count(*) OVER () * 0.03)) THEN 'val' ELSE 'train' END AS split, usr AS user, [{_strip('s1')}, s2, s3] AS suggestions FROM passed"""
+)
 def conversations_to_chat(spark, sf_dir) -> DataFrame:
     """Flagship: conversations cleaned and merged, tasks built and capped, labelled by the dry labeler, audited, rendered, split."""
     m = merged(spark, sf_dir)
@@ -545,7 +553,5 @@ def conversations_to_chat(spark, sf_dir) -> DataFrame:
     dry = prompts.dry_label(tasks.with_history(capped, conversation.fold(m), last=30))
     ctx = dry.withColumns({"stage": F.lit("qualifying"), "next_key": F.lit("N/A"), "answers": F.lit("N/A"), "reason": F.lit("N/A"), "agent": F.lit("Alex"), "client": F.lit("there"), "is_first": F.when(F.col("is_first"), "yes").otherwise("no"), "mode": F.lit(None).cast("string"), "directive": F.lit(None).cast("string")})
     passed = audit.audited(ctx).where("reject_reason IS NULL")
-    return sft.split(sft.chat(passed, "Follow the rules."), F.concat_ws("-", "conv_id", "turn_idx")).select("conv_id", "turn_idx", "split", "user", "reply")
-
-
-QUERIES["conversations_to_chat"] = conversations_to_chat
+    rows = sft.split(sft.chat(passed, "Follow the rules."), F.concat_ws("-", "conv_id", "turn_idx"))
+    return rows.select("conv_id", "turn_idx", "split", "user", prompts.recommendations(F.col("reply"))["suggested_message"].alias("suggestions"))
