@@ -40,7 +40,7 @@ def by_key(df: DataFrame, small: DataFrame, on: list[str] | str, how: str) -> Da
     """Join a large table to a narrow one (already durable, so counting is cheap):
     broadcast within BROADCAST_ROWS, shuffled beyond."""
     few = small.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(small) if few else small.hint("shuffle_hash" if how != "left_anti" else "merge"), on, how)
+    return df.join(F.broadcast(small) if few else small, on, how)
 
 
 #: Bytes of a batch that is sent to a Python worker; with the slices of _text it bounds a worker's memory.

@@ -10,7 +10,8 @@ T is the least number of tokens at which every source is used up once or more, s
 lost; a source whose tokens fall short of its demand starts over (``copy`` counts from 0).
 
 Documents of a source come in the order of a hash of doc_id. The running total of tokens is
-built from totals of hash buckets, so that a hot source is spread over many tasks.
+built from totals of ranges of hashes; their number grows with the table, so that a hot source is spread over
+many tasks of the same size. The order doesn't depend on it.
 
 Defined results. A null source is a source of its own, named ''. Null or empty text counts 0
 tokens and is placed where the next document of its source begins, once in every pass. A null doc_id hashes
@@ -24,13 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._spark import BROADCAST_ROWS, durable
+from ._spark import by_key, durable
 
 #: Powers of a source's share of all tokens that give its weight at the knots: training begins flatter and
 #: ends nearer to the natural mixture.
 KNOTS = ((0.0, 0.85), (0.5, 0.9), (1.0, 1.0))
-#: Hash buckets of a source: enough that one bucket's rows fit in a task however large a source is.
-BUCKETS = 1024
+#: Rows of the whole table for one range of hashes.
+RANGE_ROWS = 20_000
 
 
 def tokens(text: Column) -> Column:
@@ -54,11 +55,12 @@ def positions(docs: DataFrame, carried: list[str], schedule: DataFrame | None =
 
     ``schedule`` has src, segment (0, 1, ...), t0, t1, w0, w1 for every source; default_schedule
     if None."""
+    bits = min(24, max(2, (docs.count() // RANGE_ROWS).bit_length()))
     key = F.md5(F.coalesce(F.col("`doc_id`").cast("string"), F.lit("")))
     text = F.coalesce(F.col("`text`"), F.lit(""))
     rows = docs.select(
         F.coalesce(F.col("`source`").cast("string"), F.lit("")).alias("src"), key.alias("key"), F.md5(text).alias("tie"), tokens(F.col("`text`")).alias("n"), F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row")
-    ).withColumn("bucket", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % BUCKETS).cast("int"))
+    ).withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - bits).cast("int"))
     sums = durable(rows.groupBy("src", "bucket").agg(F.sum("n").alias("n")), "buckets")
     before = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select("src", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
@@ -71,11 +73,10 @@ def positions(docs: DataFrame, carried: list[str], schedule: DataFrame | None =
     demand = totals.join(whole, "src")
     scale = demand.where("share > 0").agg(F.max(F.col("total") / F.col("share")).alias("T"))
     demand = durable(demand.crossJoin(F.broadcast(scale)), "demand")
-    offsets = durable(starts.join(demand, "src", "left"), "offsets")
     order = W.partitionBy("src", "bucket").orderBy("key", "tie")
     placed = rows.withColumn("c", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
-    few = offsets.count() <= BROADCAST_ROWS // 10
-    placed = placed.join(F.broadcast(offsets) if few else offsets, ["src", "bucket"]).withColumn("c", F.col("c") + F.col("start"))
+    placed = by_key(placed, durable(starts, "starts"), ["src", "bucket"], "inner").withColumn("c", F.col("c") + F.col("start"))
+    placed = by_key(placed, demand, "src", "left")
     # Copies of a document: all passes over its source in which its first token is still in demand.
     wanted = F.coalesce(F.col("T") * F.col("share"), F.lit(0.0))
     passes = F.when(F.col("total") > 0, F.greatest(F.floor((wanted * (1 - 1e-12) - F.col("c")) / F.col("total")), F.lit(0))).otherwise(0)

@@ -84,8 +84,7 @@ FROM k JOIN s a ON a.id = x JOIN s b ON b.id = y WHERE n / (len(a.gs) + len(b.gs
     "op9_curriculum_mix": r"""
 WITH r AS (SELECT doc_id, coalesce(source, '') AS src, md5(coalesce(doc_id::VARCHAR, '')) AS key, md5(coalesce(text, '')) AS tie,
         coalesce(len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')), 0)::BIGINT AS n FROM documents),
-b AS (SELECT *, ('0x' || key[1:8])::BIGINT % 1024 AS bucket FROM r),
-c AS (SELECT *, (sum(n) OVER (PARTITION BY src ORDER BY bucket, key, tie ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS c FROM b),
+c AS (SELECT *, (sum(n) OVER (PARTITION BY src ORDER BY key, tie ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS c FROM r),
 tot AS (SELECT src, sum(n)::BIGINT AS total FROM r GROUP BY src),
 p AS (SELECT src, total, CASE WHEN total > 0 THEN round(pow(total::DOUBLE, 0.85), 6) ELSE 0 END AS p0,
         CASE WHEN total > 0 THEN round(pow(total::DOUBLE, 0.9), 6) ELSE 0 END AS p1,
