@@ -347,8 +347,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     h = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5
     likely = F.col("text").rlike(KEYWORD + r"[\w-]*[\"']?\s?[=:]|AKIA|-----BEGIN|gh[pousr]_|eyJ")
     part = rows.where(h <= sample / max(1, total)).select("text").toArrow()["text"].to_pylist()[: sample // 2]
-    marked = rows.where(likely).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample // 2).select("text").toArrow()["text"].to_pylist()
-    return fit(sorted(part + marked))
+    # Hashes alone find the bound, so that no task gathers texts of the whole table; then few texts are matched again.
+    least = rows.where(likely).select(h.alias("h")).orderBy("h").limit(sample // 2).agg(F.max("h")).first()[0]
+    marked = [] if least is None else rows.where(h <= least).where(likely).select("text").toArrow()["text"].to_pylist()
+    return fit(sorted(part) + sorted(marked)[: sample // 2])
 
 
 def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
