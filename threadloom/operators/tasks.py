@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import any_of, has
+from ..functions.text import has
 
 TOPIC = (
     r"(?i)\b(?:home (?:loan|equity)|mortgage|loan (?:amount|officer)|refinanc|\brefi\b|interest rate|pre-?approv|escrow|closing cost|"
