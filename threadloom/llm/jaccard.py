@@ -42,8 +42,8 @@ from .components import groups
 
 N, THRESHOLD = 3, 0.5
 #: Smallest hashes that key cells; hashes kept of each set for bounds; sets that share a hash before it
-#: keys cells only together with another; sets in a group of the token-group matrix.
-KEYS, SKETCH, HOT, GROUP = 8, 32, 200, 16
+#: keys cells only together with another; sets in a group of the token-group matrix; groups in a block of it.
+KEYS, SKETCH, HOT, GROUP, BLOCK = 8, 32, 200, 16, 32
 #: Standard deviations by which the agreement of two sketches may fall short of what the threshold leads to expect
 #: (0.6 % of pairs just at the threshold fall short of it, far fewer above).
 SLACK = 2.5
@@ -142,23 +142,23 @@ def cell_pairs(sizes: np.ndarray, sketches: list[np.ndarray], greater: list[np.n
 
     left, right = [], []
     bounds = np.searchsorted(row, np.arange(m + 1))
-    for g0 in range(0, len(starts), 64):  # blocks of groups keep the matrices small
-        gs = slice(starts[g0], starts[g0 + 64] if g0 + 64 < len(starts) else m)
+    for g0 in range(0, len(starts), BLOCK):  # blocks of groups keep the matrices small
+        gs = slice(starts[g0], starts[g0 + BLOCK] if g0 + BLOCK < len(starts) else m)
         inside = np.unique(column[bounds[gs.start] : bounds[gs.stop]])
         where = np.full(len(tokens), -1)
         where[inside] = np.arange(len(inside))
         members = np.zeros((gs.stop - gs.start, len(inside)), np.float32)
         part = slice(bounds[gs.start], bounds[gs.stop])
         members[row[part] - gs.start, where[column[part]]] = 1
-        union = np.maximum.reduceat(members, starts[g0 : g0 + 64] - gs.start, axis=0)
-        for q0 in range(0, gs.stop, 1024):  # queries up to this block: each pair once
-            q1 = min(q0 + 1024, gs.stop)
+        union = np.maximum.reduceat(members, starts[g0 : g0 + BLOCK] - gs.start, axis=0)
+        for q0 in range(0, gs.stop, GROUP * BLOCK):  # queries up to this block: each pair once
+            q1 = min(q0 + GROUP * BLOCK, gs.stop)
             part = slice(bounds[q0], bounds[q1])
             hit = where[column[part]] >= 0
             query = np.zeros((q1 - q0, len(inside)), np.float32)
             query[row[part][hit] - q0, where[column[part][hit]]] = 1
             bound = query @ union.T
-            x, lo, hi = size[q0:q1, None], smallest[None, g0 : g0 + 64], largest[None, g0 : g0 + 64]
+            x, lo, hi = size[q0:q1, None], smallest[None, g0 : g0 + BLOCK], largest[None, g0 : g0 + BLOCK]
             ask = np.minimum(least(x, lo, threshold), least(x, hi, threshold))  # sizes between ask for no less
             can = (bound >= ask) & (hi >= low[q0:q1, None]) & (lo <= high[q0:q1, None])
             for g in np.flatnonzero(can.any(axis=0)):
