@@ -61,6 +61,8 @@ def positions(docs: DataFrame, carried: list[str], schedule: DataFrame | None =
     rows = docs.select(
         F.coalesce(F.col("`source`").cast("string"), F.lit("")).alias("src"), key.alias("key"), F.md5(text).alias("tie"), tokens(F.col("`text`")).alias("n"), F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row")
     ).withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - bits).cast("int"))
+    if "text" not in carried:  # narrow rows are kept, so that texts are read once
+        rows = durable(rows, "counted")
     sums = durable(rows.groupBy("src", "bucket").agg(F.sum("n").alias("n")), "buckets")
     before = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select("src", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
