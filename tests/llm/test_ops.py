@@ -6,7 +6,6 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from threadloom.llm import _text as T
 from threadloom.llm import bpe, decontaminate, embeddings, jaccard, language, licenses, mixing, secrets, token_output, toxicity
@@ -367,6 +366,10 @@ def test_embedding_recall(spark, monkeypatch):
     table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(both)], "vec_id long, embedding array<float>")
     got = {(r["a"], r["b"]) for r in embeddings.near_pairs(table).collect()}
     assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 3 and len(want) > 300
+    parent = np.arange(1800)
+    embeddings.unite(parent, *np.array(sorted(got)).T)
+    groups_of = {r["vec_id"]: r["keep"] for r in embeddings.dedup(table).collect()}
+    assert groups_of == dict(enumerate(embeddings.roots(parent, np.arange(1800)).tolist()))
 
 
 def test_embedding_awkward(spark):

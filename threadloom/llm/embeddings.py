@@ -10,7 +10,8 @@ Visiting every cell within 2 t is exact, but in many dimensions means visiting e
 near-duplicates to a centre differ by about t / sqrt(dimension) there, so ``MARGIN`` of 2 t is visited: in 64 dimensions nearly
 four standard deviations. Recall against brute force is tested (at least 0.9; 1.0 on all tables at hand).
 
-Groups are the connected components of the pairs; the least vec_id of each is kept.
+Groups are the connected components of the pairs; the least vec_id of each is kept. For groups a cell sends no
+pairs, only a star for each of its own components, so thousands of copies cost as many rows, not their square.
 
 Defined results. Null or empty embeddings, of another length than most, with a null or non-finite entry, or all zeros: no partner, kept.
 Null vec_ids are left out. Repeated rows of one vec_id are one vector (the first of equal ids in order of its values).
@@ -26,18 +27,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import durable
+from ._spark import bounded, durable
 from .components import groups
 
 THRESHOLD = 0.95
-#: Vectors in a cell on average, rounds of k-means, share of the exact visiting margin that is used, rows in a block.
-CELL, ROUNDS, MARGIN, ROWS = 1000, 4, 0.35, 1024
+#: Vectors in a cell on average, rounds of k-means, share of the exact visiting margin that is used, rows in a block,
+#: entries of a matrix of cosines to centres.
+CELL, ROUNDS, MARGIN, ROWS, ENTRIES = 1000, 4, 0.35, 1024, 4_000_000
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Parts of batches whose cosines to k centres fit in a bounded matrix."""
+    rows = max(1, ENTRIES // k)
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    while True:
+        up = parent[x]
+        if (up == x).all():
+            return x
+        x = up
+
+
+def unite(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Join the components of u[k] and v[k] for all k; every root is the least of its component."""
+    while True:
+        a, b = roots(parent, u), roots(parent, v)
+        apart = a != b
+        if not apart.any():
+            return
+        np.minimum.at(parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+
+
 def _assign(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cos = np.clip(x @ centres.T, -1, 1)
     return cos, cos.argmax(1)
@@ -52,8 +80,8 @@ def cells(vectors: DataFrame, dim: int, n: int, seed: int = 0) -> np.ndarray:
 
         def local(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(centres.shape)
-            for batch in batches:
-                x = matrix(batch["embedding"], dim)
+            for part in _parts(batches, len(centres)):
+                x = matrix(part["embedding"], dim)
                 np.add.at(sums, _assign(x, centres)[1], x)
             yield pa.record_batch([pa.array(range(len(sums)), pa.int32()), pa.array(list(sums), pa.list_(pa.float64()))], ["cell", "sum"])
 
@@ -69,6 +97,7 @@ def cells(vectors: DataFrame, dim: int, n: int, seed: int = 0) -> np.ndarray:
 
 def clean(table: DataFrame) -> tuple[DataFrame, int, int]:
     """Unit vectors of the usual length, one of each vec_id; that length; their number."""
+    bounded(table)
     e = F.col("`embedding`").cast("array<double>")
     rows = table.select(F.col("`vec_id`").cast("long").alias("vec_id"), e.alias("e")).where("vec_id is not null and size(e) > 0")
     rows = rows.where(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e150))).withColumn("norm", F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))).where("norm > 0")
@@ -80,8 +109,9 @@ def clean(table: DataFrame) -> tuple[DataFrame, int, int]:
     return rows.where(F.size("embedding") == dims[0]["dim"]), dims[0]["dim"], dims[0]["count"]
 
 
-def near_pairs(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a < b (vec_ids) and their cosine, at least the threshold."""
+def near_pairs(table: DataFrame, threshold: float = THRESHOLD, stars: bool = False) -> DataFrame:
+    """a < b (vec_ids) and their cosine, at least the threshold. With ``stars``: of every component inside a cell, only
+    the pairs of its least vec_id with the others (the cosine is then null)."""
     vectors, dim, n = clean(table)
     if n == 0:
         return table.sparkSession.createDataFrame([], "a long, b long, cosine double")
@@ -89,7 +119,7 @@ def near_pairs(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     reach = 2 * np.arccos(threshold) * MARGIN
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, len(shared.value)):
             x = matrix(batch["embedding"], dim)
             cos, home = _assign(x, shared.value)
             angle = np.arccos(cos)
@@ -98,6 +128,10 @@ def near_pairs(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def compare(key: tuple, part: pa.Table) -> pa.Table:
         ids, home, x = part["vec_id"].to_numpy(), part["home"].to_numpy(), matrix(part["embedding"].combine_chunks(), dim)
+        if stars:
+            order = np.argsort(ids, kind="stable")
+            ids, home, x = ids[order], home[order], x[order]
+            parent = np.arange(len(ids))
         residents = np.flatnonzero(home)
         left, right, cosine = [], [], []
         for a in range(0, len(residents), ROWS):
@@ -105,9 +139,17 @@ def near_pairs(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             for b in range(0, len(x), ROWS):
                 cos = x[r] @ x[b : b + ROWS].T
                 i, j = np.nonzero(cos >= threshold - 1e-6)
+                if stars:
+                    exact = np.einsum("ij,ij->i", x[r[i]].astype(np.float64), x[b + j].astype(np.float64)) >= threshold
+                    unite(parent, r[i][exact], b + j[exact])
+                    continue
                 left.append(ids[r[i]])
                 right.append(ids[b + j])
                 cosine.append(np.einsum("ij,ij->i", x[r[i]].astype(np.float64), x[b + j].astype(np.float64)))
+        if stars:
+            root = roots(parent, np.arange(len(ids)))
+            ok = ids != ids[root]
+            return pa.table({"a": ids[root][ok], "b": ids[ok], "cosine": pa.nulls(int(ok.sum()), pa.float64())})
         u, v, c = (np.concatenate([np.zeros(0, k), *y]) for k, y in ((np.int64, left), (np.int64, right), (np.float64, cosine)))
         ok = (u != v) & (c >= threshold)
         return pa.table({"a": np.minimum(u, v)[ok], "b": np.maximum(u, v)[ok], "cosine": np.round(c[ok], 6)})
@@ -119,6 +161,6 @@ def near_pairs(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def dedup(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id and keep (the representative of its group, itself where it has no partner) of every vector."""
-    label = groups(near_pairs(table, threshold).select("a", "b"))
+    label = groups(near_pairs(table, threshold, stars=True).select("a", "b"))
     ids = table.select(F.col("`vec_id`").cast("long").alias("vec_id")).where("vec_id is not null").distinct()
     return ids.join(label, ids.vec_id == label.node, "left").select("vec_id", F.coalesce("label", "vec_id").alias("keep")).withColumn("kept", F.col("keep") == F.col("vec_id"))
