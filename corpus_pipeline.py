@@ -1,7 +1,9 @@
 """Corpus pipeline over the documents table: from raw documents to token codes.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs. All but the last return the columns of documents. The order that mixing gives is lost
+when its files are read (splits are planned by size), so the last stage takes it from the places of the rows in
+the files, keeps it as a column and sorts by it.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm import decontaminate, jaccard, mixing, token_output, toxicity
-from threadloom.llm._spark import durable
+from threadloom.llm._spark import durable, placed
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +38,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_codes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, codes of every row."""
-    return token_output.token_output(docs)
+    """doc_id, n_tokens, codes of every row, and its place in the curriculum, in the order of places."""
+    return token_output.token_output(placed(docs, "place").orderBy("place"), place="place")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -4,11 +4,12 @@ import json
 
 import duckdb
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
 from threadloom.llm import _text as T
-from threadloom.llm import bpe, queries, token_output
+from threadloom.llm import bpe, mixing, queries, token_output
 
 DIR = "/root/testdata/sf0.001"
 
@@ -46,3 +47,26 @@ def test_pipeline(spark):
     enc = bpe.encoding(bpe.VOCABULARY)
     for r in seen[5].collect()[::7]:
         assert token_output.decode(r["codes"]).tolist() == enc.encode_ordinary(text[r["doc_id"]])
+
+
+def test_pipeline_keeps_the_order_over_many_files(spark, tmp_path):
+    """A curriculum of many files of unlike sizes comes out in its order, with the order as a column."""
+    texts = [f"{'w ' * (1 + 400 * (k // 100 % 3))}{k}" for k in range(3000)]
+    docs = spark.createDataFrame([(7 * k % 3000, t, "ab"[k % 7 == 0]) for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        (order := mixing.mixed(docs)).write.parquet(f"{tmp_path}/mixed")
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    want = [r["doc_id"] for r in order.collect()]
+    files = sorted(tmp_path.glob("mixed/*.parquet"))
+    assert len(files) > 20 and [k for f in files for k in pq.read_table(f)["doc_id"].to_pylist()] == want
+    read = spark.read.parquet(f"{tmp_path}/mixed")
+    corpus_pipeline.token_codes(spark, read, DIR).write.parquet(f"{tmp_path}/codes")
+    rows = [r for f in sorted(tmp_path.glob("codes/*.parquet")) for r in pq.read_table(f).to_pylist()]
+    assert [r["doc_id"] for r in rows] == want and [r["place"] for r in rows] == list(range(len(want)))
+    assert [r["doc_id"] for r in corpus_pipeline.token_codes(spark, order, DIR).collect()] == want

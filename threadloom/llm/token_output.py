@@ -89,15 +89,17 @@ def decode(record: bytes) -> np.ndarray:
     return out
 
 
-def token_output(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, codes of every row."""
+def token_output(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, place: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, codes of every row, and the column ``place`` (long) if one is named. Rows stay in their order."""
+    also = [place] if place else []
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, ends = bpe.token_ids(batch["text"].cast(pa.string()), vocabulary)
         codes = [encode(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return pa.record_batch([batch["doc_id"], pa.array(np.diff(ends)), pa.array(codes, pa.binary())], ["doc_id", "n_tokens", "codes"])
+        return pa.record_batch([batch["doc_id"], pa.array(np.diff(ends)), pa.array(codes, pa.binary()), *(batch[c] for c in also)], ["doc_id", "n_tokens", "codes", *also])
 
-    return only(docs, doc_id="long", text="string").mapInArrow(T.per_slice(fn), SCHEMA)
+    rows = only(docs, doc_id="long", text="string", **dict.fromkeys(also, "long"))
+    return rows.mapInArrow(T.per_slice(fn), ", ".join([SCHEMA, *(f"`{c}` long" for c in also)]))
 
 
 def token_counts(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
