@@ -316,6 +316,25 @@ def test_secrets_held_out(crf, docs):
     assert found / total > 0.93 and wrong / total < 0.1
 
 
+def test_secrets_of_letters(crf, docs):
+    """Words of letters only have all features; letters-only secrets after a key word are found, the same words in prose aren't."""
+    marked, bare = secrets.features(pa.array(["password:", "password"]))
+    assert marked[[1, 4]].tolist() == [1, 1] and bare[[1, 4]].tolist() == [0, 0]
+    rng = np.random.default_rng(11)
+    found = wrong = total = 0
+    for r in docs.where("doc_id % 2 = 1").limit(100).collect():
+        words = r["text"].split()[:200]
+        at = int(rng.integers(len(words) + 1))
+        value = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), rng.integers(16, 33)))
+        for key, secret in ((["password:", value], True), (["the", "password", "is", "words"], False)):
+            ids, vocabulary, offsets = T.split(pa.array([" ".join(words[:at] + key + words[at:])]))
+            runs = secrets.decode(secrets.emissions(crf, secrets.features(vocabulary), ids, offsets).astype(float), crf)
+            hit = any(a < at + len(key) and b > at for a, b in runs)
+            found, wrong = found + (secret and hit), wrong + (not secret and hit)
+        total += 1
+    assert found / total > 0.9 and wrong / total < 0.05
+
+
 def test_secrets_awkward(spark):
     rows = [(1, "the key is password=8f3ab92c77d1e0aa now"), (1, "the key is password=8f3ab92c77d1e0aa now"), (None, "password=8f3ab92c77d1e0aa"), (2, "nothing to see here"), (3, None), (4, "")]
     got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), sample=200).collect()

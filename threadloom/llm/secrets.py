@@ -65,7 +65,6 @@ SHAPES = [
 LENGTHS = (4, 8, 12, 16, 24, 32, 48)
 ENTROPIES = (2.5, 3.0, 3.5, 4.0, 4.5)
 FEATURES = len(SHAPES) + len(LENGTHS) + len(ENTROPIES) + 1
-PLAIN = r"^[\pL'’-]+[.,!?;:]*$"
 FILE = 4
 
 
@@ -78,24 +77,15 @@ def entropy(word: str) -> float:
 def features(words: pa.Array) -> np.ndarray:
     """A row of 0/1 features for each distinct word."""
     out = np.zeros((len(words), FEATURES), np.float32)
-    plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False).astype(bool)
     size = pc.utf8_length(words).to_numpy(zero_copy_only=False)
     ends = len(SHAPES) + len(LENGTHS)
     out[:, len(SHAPES) : ends] = size[:, None] >= np.array(LENGTHS)
     out[:, -1] = 1
-    cheap = {0, 16, len(SHAPES) - 2, len(SHAPES) - 1}  # the patterns that a plain word may match; 7 is left to the others
     for k, shape in enumerate(SHAPES):
-        if k in cheap:
-            out[:, k] = pc.match_substring_regex(words, shape).to_numpy(zero_copy_only=False)
-    odd = np.flatnonzero(~plain)
-    if len(odd):
-        rest = words.take(pa.array(odd))
-        for k, shape in enumerate(SHAPES):
-            if k not in cheap:
-                out[odd, k] = pc.match_substring_regex(rest, shape).to_numpy(zero_copy_only=False)
-        long = odd[size[odd] >= 12]
-        value = np.array([entropy(w[:256]) for w in words.take(pa.array(long)).to_pylist()])
-        out[long, ends : ends + len(ENTROPIES)] = value.reshape(-1, 1) >= np.array(ENTROPIES)
+        out[:, k] = pc.match_substring_regex(words, shape).to_numpy(zero_copy_only=False)
+    long = np.flatnonzero(size >= 12)
+    value = np.array([entropy(w[:256]) for w in words.take(pa.array(long)).to_pylist()])
+    out[long, ends : ends + len(ENTROPIES)] = value.reshape(-1, 1) >= np.array(ENTROPIES)
     return out
 
 
@@ -212,7 +202,8 @@ def written(rng: np.random.Generator) -> list[str]:
     pick = lambda chars, n: "".join(rng.choice(list(chars), n))
     hexa, mixed, upper = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits
     name = rng.choice(["password", "passwd", "secret", "token", "api_key", "apikey", "API_KEY", "auth_token", "SECRET_KEY", "access_key", "pwd"])
-    value = [pick(hexa, rng.integers(16, 41)), pick(mixed, rng.integers(12, 41)), pick(hexa, 40)][rng.integers(3)]
+    letters = pick([string.ascii_letters, string.ascii_lowercase][rng.integers(2)], rng.integers(12, 41))
+    value = [pick(hexa, rng.integers(16, 41)), pick(mixed, rng.integers(12, 41)), pick(hexa, 40), letters][rng.integers(4)]
     quote = rng.choice(["", '"', "'"])
     kind = rng.integers(9)
     if kind <= 1:
@@ -248,7 +239,8 @@ def decoy(rng: np.random.Generator) -> list[str]:
         ["the", str(rng.choice(["password", "token", "secret", "key"])), str(rng.choice(["is", "was", "of", "and"]))],
         [pick(dig, 4) + "-" + pick(dig, 2) + "-" + pick(dig, 2)],
         [str(rng.choice(["|", "=", ":", "-", "*"]))],
-    ][rng.integers(12)]
+        [str(rng.choice(["password", "token", "secret", "key"])) + ":", pick(low, rng.integers(2, 9))],
+    ][rng.integers(13)]
 
 
 def fit(texts: list[str], seed: int = 0) -> Model:
