@@ -335,6 +335,14 @@ def test_secrets_of_letters(crf, docs):
     assert found / total > 0.9 and wrong / total < 0.05
 
 
+def test_entropy_of_whole_words():
+    """What comes after the first 256 characters of a word counts."""
+    rng = np.random.default_rng(5)
+    word = "a" * 256 + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), 4000))
+    ends = len(secrets.SHAPES) + len(secrets.LENGTHS)
+    assert secrets.features(pa.array([word]))[0, ends : ends + len(secrets.ENTROPIES)].tolist() == [1] * len(secrets.ENTROPIES)
+
+
 def test_secrets_awkward(spark):
     rows = [(1, "the key is password=8f3ab92c77d1e0aa now"), (1, "the key is password=8f3ab92c77d1e0aa now"), (None, "password=8f3ab92c77d1e0aa"), (2, "nothing to see here"), (3, None), (4, "")]
     got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), sample=200).collect()

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,7 +70,7 @@ FILE = 4
 
 
 def entropy(word: str) -> float:
-    count = np.array([word.count(c) for c in set(word)], float)
+    count = np.array(list(Counter(word).values()), float)
     p = count / count.sum() if len(count) else count
     return float(-(p * np.log2(p)).sum())
 
@@ -84,7 +85,7 @@ def features(words: pa.Array) -> np.ndarray:
     for k, shape in enumerate(SHAPES):
         out[:, k] = pc.match_substring_regex(words, shape).to_numpy(zero_copy_only=False)
     long = np.flatnonzero(size >= 12)
-    value = np.array([entropy(w[:256]) for w in words.take(pa.array(long)).to_pylist()])
+    value = np.array([entropy(w) for w in words.take(pa.array(long)).to_pylist()])
     out[long, ends : ends + len(ENTROPIES)] = value.reshape(-1, 1) >= np.array(ENTROPIES)
     return out
 
