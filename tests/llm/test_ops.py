@@ -57,14 +57,10 @@ def brute_pairs(rows, n, t):
     return {(min(i, j), max(i, j)) for (i, a), (j, b) in itertools.combinations(sets, 2) if a and b and i != j and len(a & b) / len(a | b) >= t}
 
 
-def expand(rows):
-    out = set()
-    for r in rows:
-        out |= {(min(i, j), max(i, j)) for i in r["docs_a"] for j in r["docs_b"] if i != j}
-    return out
-
-
-def test_jaccard_recall_on_near_copies(spark):
+@pytest.mark.parametrize("block", [jaccard.BIN, 7])
+def test_jaccard_recall_on_near_copies(spark, monkeypatch, block):
+    """Groups of near copies of different sizes, a passage that many share, and bins of many blocks."""
+    monkeypatch.setattr(jaccard, "BIN", block)
     rng = random.Random(5)
     words = [f"w{k}" for k in range(400)]
     shared = [rng.choice(words) for _ in range(60)]
@@ -78,28 +74,60 @@ def test_jaccard_recall_on_near_copies(spark):
         rows.append((k, text))
     rows = [(k, " ".join(w)) for k, w in rows]
     want = brute_pairs(rows, 3, 0.5)
-    got = expand(jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 1000
+    found = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r["doc_a"], r["doc_b"]) for r in found}
+    assert len(found) == len(got) and got <= want and len(got) >= 0.97 * len(want) and len(want) > 1000
+
+
+def test_a_passage_that_very_many_share(spark):
+    """Near copies are found however many unlike documents hold the tokens by which they are."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(45)) + " " + passage) for k in range(700)]
+    rows += [(1000 + k, rows[k][1] + f" more{k}") for k in range(60)]
+    want = brute_pairs(rows, 3, 0.5)
+    got = {(r["doc_a"], r["doc_b"]) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) and {(k, 1000 + k) for k in range(60)} <= got
+
+
+def test_small_sets_are_exact(spark):
+    words = ["a", "b", "c", "d", "e"]
+    rows = [(k, " ".join(w)) for k, w in enumerate(w for n in (1, 2, 3) for w in itertools.product(words, repeat=n))]
+    for n, t in ((1, 0.5), (1, 0.34), (2, 0.5), (1, 0.2)):
+        got = {(r["doc_a"], r["doc_b"]) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), n, t).collect()}
+        assert got == brute_pairs(rows, n, t)
 
 
-def test_cell_pairs_against_all_pairs(monkeypatch):
+def test_bin_pairs_against_all_pairs():
+    """No pair is lost by the bound of the token-group matrix: unlike groups, unlike sizes, visitors."""
     rng = np.random.default_rng(1)
-    base = rng.integers(1, 1 << 60, 40).astype(np.uint64)
-    sets = [np.sort(np.unique(np.where(rng.random(40) < 0.2, rng.integers(1, 1 << 60, 40).astype(np.uint64), base))) for _ in range(90)]
-    sizes, sketches = np.array([len(s) for s in sets]), [s[: jaccard.SKETCH] for s in sets]
-    i, j = jaccard.cell_pairs(sizes, sketches, [np.zeros(0, np.int64)] * 90, 0.5)
-    got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
-    least = lambda a, b: float(jaccard.least(np.array(float(sizes[a])), np.array(float(sizes[b])), 0.5))
-    want = {(a, b) for a, b in itertools.combinations(range(90), 2) if len(np.intersect1d(sketches[a], sketches[b])) >= least(a, b) and min(sizes[a], sizes[b]) >= 0.5 * max(sizes[a], sizes[b])}
-    assert got == want and len(got) > 100
+    bases = [np.unique(rng.integers(1, 1 << 63, n).astype(np.uint64) * 2) for n in (3, 40, 60, 900, 5000)]
+    sets = []
+    for k in range(130):
+        base = bases[k % 5]
+        sets.append(np.unique(np.where(rng.random(len(base)) < 0.3 * rng.random(), rng.integers(1, 1 << 63, len(base)).astype(np.uint64), base)))
+    resident = np.arange(130) % 3 > 0
+    i, j, sim = jaccard.bin_pairs(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), resident, 0.5)
+    got = {(min(a, b), max(a, b)): s for a, b, s in zip(i.tolist(), j.tolist(), sim.tolist(), strict=True)}
+    want = {}
+    for a, b in itertools.combinations(range(130), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if (resident[a] or resident[b]) and both / (len(sets[a]) + len(sets[b]) - both) >= 0.5:
+            want[a, b] = both / (len(sets[a]) + len(sets[b]) - both)
+    assert got == want and len(got) == len(i) > 1000
 
 
 def test_jaccard_awkward(spark):
-    got = {(tuple(r["docs_a"]), tuple(r["docs_b"]), r["jaccard"]) for r in jaccard.jaccard_join(awkward(spark)).collect()}
-    assert got == {((1, 2), (1, 2), 1.0)}
+    got = {tuple(r) for r in jaccard.jaccard_join(awkward(spark)).collect()}
+    assert got == {(1, 2, 1.0)}
     kept = jaccard.drop_near_copies(awkward(spark))
-    assert kept.columns == awkward(spark).columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 1, 3, 4, 5, 6, 7, 8, 9]
+    assert kept.columns == awkward(spark).columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 1, 3, 4, 5, 6, 7, 8, 9]
     assert jaccard.jaccard_join(empty(spark)).count() == 0 and jaccard.drop_near_copies(empty(spark)).count() == 0
+    rows = [(1, "a b c d e"), (1, "a b c d e f"), (1, "z y x w"), (2, "a b c d e g"), (None, "q r s t u"), (None, "q r s t u v"), (3, LONG), (4, LONG + "x y z")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string")
+    # A doc_id with different texts: a row for each pair of sets, none with itself.
+    assert sorted((r["doc_a"], r["doc_b"]) for r in jaccard.jaccard_join(odd).collect()) == [(1, 2), (1, 2), (3, 4)]
+    assert sorted((r["doc_id"] or 0, r["text"][:1]) for r in jaccard.drop_near_copies(odd).collect()) == [(0, "q"), (1, "a"), (1, "z"), (3, "l")]
 
 
 def test_components(spark):

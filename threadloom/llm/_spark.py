@@ -9,7 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -38,7 +38,29 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}.parquet")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a durable table that nothing will read again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.durable_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_key() -> Column:
+    """What a filter knows a row by: its doc_id (null counts as a value) and its text."""
+    return F.xxhash64(F.col("`doc_id`").cast("long"), F.col("`text`").cast("string"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose row_key isn't in ``gone`` (one column, durable), whatever their columns are called."""
+    name = "row_key"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    return by_key(docs.withColumn(name, row_key()), gone.toDF(name), name, "left_anti").drop(name)
 
 
 def by_key(df: DataFrame, small: DataFrame, on: list[str] | str, how: str) -> DataFrame:

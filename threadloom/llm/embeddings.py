@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import bounded, durable
-from .components import groups
+from .components import groups, roots, unite
 
 THRESHOLD = 0.95
 #: Vectors in a cell on average, rounds of k-means, share of the exact visiting margin that is used, rows in a block,
@@ -48,24 +48,6 @@ def _parts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
             yield batch.slice(at, rows)
 
 
-def roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
-    while True:
-        up = parent[x]
-        if (up == x).all():
-            return x
-        x = up
-
-
-def unite(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
-    """Join the components of u[k] and v[k] for all k; every root is the least of its component."""
-    while True:
-        a, b = roots(parent, u), roots(parent, v)
-        apart = a != b
-        if not apart.any():
-            return
-        np.minimum.at(parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
-
-
 def _assign(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cos = np.clip(x @ centres.T, -1, 1)
     return cos, cos.argmax(1)

@@ -1,30 +1,32 @@
 """N-gram Jaccard join with a token-group matrix.
 
-A document is the set of its word n-grams (normal form: lower case, letters and digits).
-The join finds pairs of documents whose sets have a Jaccard similarity of at least a
-threshold:
+A document is the set of its word n-grams (normal form: lower case, letters and digits), the tokens. The join finds all
+pairs of documents whose sets have a Jaccard similarity of at least a threshold:
 
 1. One pass over the text hashes each document's n-grams to a set; documents with equal sets
-   (exact copies) collapse to one *representative*, so a group of thousands of copies costs
-   as much as one document from here on.
-2. Similar sets fall into the same *cell*: cells are keyed by the smallest n-gram hashes of a
-   set. A hash that very many sets share (a line repeated across documents) doesn't make a
-   cell by itself; two such hashes together do.
-3. In a cell, members are sorted into groups of similar sets. The token-group matrix holds
-   the union of each group's sketch tokens. One matrix product bounds every member's overlap
-   with every group from above; only groups whose bound reaches the needed overlap are opened,
-   and their members compared.
-4. The surviving pairs are verified with the whole n-gram sets, moved once for each cell.
-
-Recall. For a pair of similarity j, each of the ``KEYS`` smallest hashes of the union lies in
-both sets with chance j, so the chance of no common key is about (1 - j) ** KEYS: 0.4 % at
-j = 0.5 and far less above. Every row is a query; no cell, group or partner list is capped.
+   (exact copies) collapse to one set, so a group of thousands of copies costs as much as one document from here on.
+2. Sets are partitioned into *bins* of similar ones. Two sets that have two of their ``KEYS`` smallest hashes in
+   common share a cell, and the cell of a set that most others share is its home bin. A set also visits the bins that are home
+   to sets it shares a cell with, each once. Only numbers are shuffled for this, no tokens.
+3. A bin sorts its residents into groups of ``GROUP`` similar sets. The token-group matrix holds the union of each group's whole
+   token sets, hashed to 16 bits; the number of a query's tokens whose hash is in a union bounds the overlap with every member of
+   the group from above. Groups whose bound reaches the overlap that the sizes ask for are opened, and the query's
+   exact overlap with each member is counted. Each pair is compared in one bin only.
+4. Bins of more than ``BIN`` residents are cut into blocks; what visits a bin visits all its blocks, and residents the blocks before
+   their own. So no task holds more than a block and what is compared with it, which streams by.
+
+Recall. The bound never loses a pair; only step 2 can. Of the KEYS smallest hashes of the union of two sets, each
+lies in both with the chance of their similarity j, and two must: the loss is (1 - j) ** KEYS + KEYS * j * (1 - j) ** (KEYS - 1),
+1.1 % at j = 0.5, 0.2 % at 0.6. It depends on neither the size of the table nor on how many sets share a token. Sets of at most KEYS
+tokens lose nothing: all their tokens are keys, and pairs with a single common token (of sets of one and of two tokens, at 0.5)
+are joined by that token. Every row is a query; no list of partners or candidates is capped.
 
 Defined results. Null or empty text, or text without letters or digits: no n-grams, no partner.
-A text of fewer than n words is one gram of all its words. A null doc_id can't be named in a
-pair and is left out. Repeated rows of one doc_id count once for each distinct set. Only
-``doc_id`` and ``text`` are read; other columns may have any name. An empty table gives an
-empty result.
+A text of fewer than n words is one gram of all its words; a very long one is a large set like any other. A null doc_id can't be
+named in a pair and is left out of the join; drop_near_copies judges its row like any other. Repeated rows of one doc_id and text count
+once; a doc_id with different texts takes part with each of them, so a pair of documents has a row for each pair
+of their sets, and is never paired with itself. Ties can't arise: a pair reaches the threshold or not. Only ``doc_id`` and ``text`` are read; other columns may
+have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,20 +37,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import _text as T
-from ._spark import by_key, durable, only
-from .components import groups
+from ._spark import by_key, durable, only, row_key, without
+from .components import groups, roots, unite
 
 N, THRESHOLD = 3, 0.5
-#: Smallest hashes that key cells; hashes kept of each set for bounds; sets that share a hash before it
-#: keys cells only together with another; sets in a group of the token-group matrix; groups in a block of it.
-KEYS, SKETCH, HOT, GROUP, BLOCK = 8, 32, 200, 16, 32
-#: Standard deviations by which the agreement of two sketches may fall short of what the threshold leads to expect
-#: (0.6 % of pairs just at the threshold fall short of it, far fewer above).
-SLACK = 2.5
-
-SETS = "doc_id long, size int, whole long, sketch array<long>"
+#: Smallest hashes of a set, two of which make a cell; sets in a group of the token-group matrix; residents in a block of a bin;
+#: tokens, and entries of a matrix, that are handled at once.
+KEYS, GROUP, BIN, TOKENS, ENTRIES = 10, 16, 2048, 1_000_000, 32_000_000
 
 
 def set_hash(grams: np.ndarray) -> int:
@@ -62,19 +60,19 @@ def signatures(n: int):
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, offsets = T.words(batch["text"])
-        ids = batch["doc_id"].to_numpy(zero_copy_only=False)
-        rows, sizes, wholes, sketches = [], [], [], []
-        for k in np.flatnonzero(np.diff(offsets)):
+        rows = np.flatnonzero(np.diff(offsets))
+        sizes, wholes, keys = [], [], []
+        for k in rows:
             s = T.gram_set(hashes[offsets[k] : offsets[k + 1]], n)
-            rows.append(ids[k])
             sizes.append(len(s))
             wholes.append(set_hash(s))
-            sketches.append(s[:SKETCH])
-        at = np.cumsum([0, *map(len, sketches)])
-        flat = np.concatenate([*sketches, np.zeros(0, T.U64)])
+            keys.append(s[:KEYS])
+        at = np.cumsum([0, *map(len, keys)])
+        flat = np.concatenate([*keys, np.zeros(0, T.U64)])
+        mine = pa.array(rows)
         return pa.record_batch(
-            [pa.array(rows, pa.int64()), pa.array(sizes, pa.int32()), pa.array(T.signed(np.array(wholes, T.U64)), pa.int64()), T.ragged(T.signed(flat), at, pa.int64())],
-            ["doc_id", "size", "whole", "sketch"],
+            [batch["doc_id"].take(mine), batch["row"].take(mine), pa.array(sizes, pa.int32()), pa.array(T.signed(np.array(wholes, T.U64)), pa.int64()), T.ragged(T.signed(flat), at, pa.int64())],
+            ["doc_id", "row", "size", "whole", "keys"],
         )
 
     return T.per_slice(fn)
@@ -89,7 +87,7 @@ def gram_sets(n: int):
         at = np.cumsum([0, *map(len, sets)])
         flat = np.concatenate([*sets, np.zeros(0, T.U64)])
         wholes = T.signed(np.array([set_hash(s) for s in sets], T.U64))
-        return pa.record_batch([batch["doc_id"], pa.array(wholes, pa.int64()), T.ragged(T.signed(flat), at, pa.int64())], ["doc_id", "whole", "grams"])
+        return pa.record_batch([batch["row"], pa.array(wholes, pa.int64()), T.ragged(T.signed(flat), at, pa.int64())], ["row", "whole", "grams"])
 
     return T.per_slice(fn)
 
@@ -99,198 +97,196 @@ def needed(a: np.ndarray, b: np.ndarray | int, threshold: float) -> np.ndarray:
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
 
-def least(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-    """Least number of common sketch hashes of sets of sizes x and y. Exact where sketches hold the sets whole;
-    else the larger set's sketch reaches as far as SKETCH of its hashes, and each of those is common with
-    the chance that the least overlap gives, less SLACK standard deviations."""
-    low, high = np.minimum(x, y), np.maximum(x, y)
-    mean = np.minimum(SKETCH * threshold / (1 + threshold) * (1 + low / high), SKETCH)
-    return np.where(high <= SKETCH, needed(x, y, threshold), np.maximum(1, np.ceil(mean - SLACK * np.sqrt(mean * (1 - mean / SKETCH)))))
-
-
-def cell_pairs(sizes: np.ndarray, sketches: list[np.ndarray], greater: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a cell's members whose sketches agree well enough, by the token-group matrix, and that
-    share none of the cells listed in ``greater``: those pairs are found there."""
-    m = len(sizes)
-    order = np.array(sorted(range(m), key=lambda k: sketches[k].tobytes()))
-    flat = np.concatenate([sketches[k] for k in order])
-    tokens, column = np.unique(flat, return_inverse=True)
-    row = np.repeat(np.arange(m), [len(sketches[k]) for k in order])
-    size = sizes[order].astype(np.float64)
-    low, high = np.floor(size * threshold), np.ceil(size / threshold)
-    group = np.arange(m) // GROUP
-    starts = np.flatnonzero(np.r_[True, np.diff(group) > 0])
-    smallest, largest = np.minimum.reduceat(size, starts), np.maximum.reduceat(size, starts)
-    cells, other = np.unique(np.concatenate([greater[k] for k in order]), return_inverse=True)
-    others = np.cumsum([0, *(len(greater[k]) for k in order)])
-
-    def elsewhere(i: np.ndarray, a: int, b: int) -> np.ndarray:
-        """Whether rows i and members a..b have a greater cell in common."""
-        theirs = np.unique(other[others[a] : others[b]])
-        where = np.full(len(cells) + 1, -1)
-        where[theirs] = np.arange(len(theirs))
-
-        def matrix(rows: np.ndarray) -> np.ndarray:
-            count = others[rows + 1] - others[rows]
-            at = np.repeat(others[rows] - np.cumsum(count) + count, count) + np.arange(count.sum())
-            r, c = np.repeat(np.arange(len(rows)), count), where[other[at]]
-            out = np.zeros((len(rows), len(theirs)), np.float32)
-            out[r[c >= 0], c[c >= 0]] = 1
-            return out
-
-        return matrix(i) @ matrix(np.arange(a, b)).T > 0
-
-    left, right = [], []
-    bounds = np.searchsorted(row, np.arange(m + 1))
-    for g0 in range(0, len(starts), BLOCK):  # blocks of groups keep the matrices small
-        gs = slice(starts[g0], starts[g0 + BLOCK] if g0 + BLOCK < len(starts) else m)
-        inside = np.unique(column[bounds[gs.start] : bounds[gs.stop]])
-        where = np.full(len(tokens), -1)
-        where[inside] = np.arange(len(inside))
-        members = np.zeros((gs.stop - gs.start, len(inside)), np.float32)
-        part = slice(bounds[gs.start], bounds[gs.stop])
-        members[row[part] - gs.start, where[column[part]]] = 1
-        union = np.maximum.reduceat(members, starts[g0 : g0 + BLOCK] - gs.start, axis=0)
-        for q0 in range(0, gs.stop, GROUP * BLOCK):  # queries up to this block: each pair once
-            q1 = min(q0 + GROUP * BLOCK, gs.stop)
-            part = slice(bounds[q0], bounds[q1])
-            hit = where[column[part]] >= 0
-            query = np.zeros((q1 - q0, len(inside)), np.float32)
-            query[row[part][hit] - q0, where[column[part][hit]]] = 1
-            bound = query @ union.T
-            x, lo, hi = size[q0:q1, None], smallest[None, g0 : g0 + BLOCK], largest[None, g0 : g0 + BLOCK]
-            ask = np.minimum(least(x, lo, threshold), least(x, hi, threshold))  # sizes between ask for no less
-            can = (bound >= ask) & (hi >= low[q0:q1, None]) & (lo <= high[q0:q1, None])
-            for g in np.flatnonzero(can.any(axis=0)):
-                a, b = starts[g0 + g], starts[g0 + g + 1] if g0 + g + 1 < len(starts) else m
-                qs = np.flatnonzero(can[:, g])
-                overlap = query[qs] @ members[a - gs.start : b - gs.start].T
-                y = size[None, a:b]
-                ok = (overlap >= least(size[q0 + qs, None], y, threshold)) & (y >= low[q0 + qs, None]) & (y <= high[q0 + qs, None]) & (q0 + qs[:, None] < np.arange(a, b)[None, :])
-                if ok.any() and len(cells):
-                    some = np.flatnonzero(ok.any(axis=1))
-                    ok[some] &= ~elsewhere(q0 + qs[some], a, b)
-                i, j = np.nonzero(ok)
-                left.append(order[q0 + qs[i]])
-                right.append(order[a + j])
+def parts(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``most`` tokens, or of one row."""
+    a = 0
+    while a < len(offsets) - 1:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
+        yield a, b
+        a = b
+
+
+def hits(table: np.ndarray, place: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows at the places of each row's tokens."""
+    return np.add.reduceat(table[place], offsets[:-1] - offsets[0], axis=0, dtype=np.int32)
+
+
+def bin_pairs(flat: np.ndarray, offsets: np.ndarray, resident: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a resident with another set of the bin, and their similarities, by the token-group matrix. Sets are sorted
+    token hashes, all of them in ``flat``."""
+    m, size = len(offsets) - 1, np.diff(offsets).astype(np.float64)
+    mine = np.flatnonzero(resident)
+    # Similar sets have the same smallest tokens.
+    second = np.minimum(offsets[mine] + 1, offsets[mine + 1] - 1)
+    mine = mine[np.lexsort((flat[second], flat[offsets[mine]]))]
+    rank = np.full(m, -1)
+    rank[mine] = np.arange(len(mine))
+    starts = np.arange(0, len(mine), GROUP)
+    ends = np.append(starts[1:], len(mine))
+    smallest, largest = np.minimum.reduceat(size[mine], starts), np.maximum.reduceat(size[mine], starts)
+    # A set is a query to a group that has similar sizes and, if it is a resident, members after it.
+    low = np.maximum(smallest, np.ceil(size[:, None] * threshold - 1e-9))
+    can = (low <= np.minimum(largest, np.floor(size[:, None] / threshold + 1e-9))) & (rank[:, None] < ends - 1)
+    if len(starts) > 1:
+        bucket = (flat >> T.U64(48)).astype(np.int64)
+        width = max(1, min(len(starts), ENTRIES >> 16))
+        for g0 in range(0, len(starts), width):
+            gs = slice(g0, min(g0 + width, len(starts)))
+            union = np.zeros((1 << 16, gs.stop - g0), np.uint8)
+            for g in range(g0, gs.stop):
+                for k in mine[starts[g] : ends[g]]:
+                    union[bucket[offsets[k] : offsets[k + 1]], g - g0] = 1
+            for a, b in parts(offsets, max(1, ENTRIES // (gs.stop - g0))):
+                bound = hits(union, bucket[offsets[a] : offsets[b]], offsets[a : b + 1])
+                can[a:b, gs] &= bound >= needed(size[a:b, None], low[a:b, gs], threshold)
+    left, right, similar = [], [], []
+    for g in np.flatnonzero(can.any(axis=0)):
+        members = mine[starts[g] : ends[g]]
+        each = [flat[offsets[k] : offsets[k + 1]] for k in members]
+        tokens = np.unique(np.concatenate(each))
+        table = np.zeros((len(tokens) + 1, len(members)), np.uint8)  # the last row: tokens that the group hasn't
+        for k, x in enumerate(each):
+            table[np.searchsorted(tokens, x), k] = 1
+        queries = np.flatnonzero(can[:, g])
+        at = np.cumsum(np.append(0, np.diff(offsets)[queries]))
+        for a, b in parts(at, TOKENS):
+            theirs = np.concatenate([flat[offsets[q] : offsets[q + 1]] for q in queries[a:b]])
+            place = np.searchsorted(tokens, theirs)
+            place[tokens[np.minimum(place, len(tokens) - 1)] != theirs] = len(tokens)
+            both = hits(table, place, at[a : b + 1])
+            sim = both / (size[queries[a:b], None] + size[members] - both)
+            i, j = np.nonzero((sim >= threshold) & (rank[queries[a:b], None] < rank[members]))
+            left.append(queries[a + i])
+            right.append(members[j])
+            similar.append(sim[i, j])
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
-
-
-def open_cells(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                members = batch["members"][k].values
-                reps = members.field("doc_id").to_numpy()
-                lists = members.field("sketch")
-                values, at = lists.flatten().to_numpy(), np.asarray(lists.offsets)
-                at = at - at[0]
-                sketches = [values[a:b].view(T.U64) for a, b in zip(at[:-1], at[1:], strict=True)]
-                own = batch["cell"][k].as_py()
-                lists = members.field("cells")
-                values, at = lists.flatten().to_numpy(), np.asarray(lists.offsets)
-                at = at - at[0]
-                greater = [x[x > own] for x in (values[a:b] for a, b in zip(at[:-1], at[1:], strict=True))]
-                i, j = cell_pairs(members.field("size").to_numpy(), sketches, greater, threshold)
-                if len(i):
-                    a, b = np.minimum(reps[i], reps[j]), np.maximum(reps[i], reps[j])
-                    yield pa.record_batch([pa.array(a), pa.array(b), pa.array(np.repeat(own, len(a)), pa.int64())], ["a", "b", "cell"])
-
-    return run
-
-
-def verify(threshold: float):
-    """Exact similarity of a cell's pairs from whole sets."""
+    return np.concatenate([none, *left]), np.concatenate([none, *right]), np.concatenate([np.zeros(0), *similar])
+
+
+def open_bins(threshold: float, stars: bool):
+    """For ``mapInArrow`` over rows sorted by bin and block: the pairs of every block. With stars: of every component of a
+    block, only the pairs of one set with the others."""
+
+    def pairs(held: list[tuple]) -> pa.RecordBatch | None:
+        whole, resident, sizes, flat = (np.concatenate(x) for x in zip(*held, strict=True))
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        again = np.flatnonzero(whole[1:] == whole[:-1]) + 1  # repeated rows
+        if len(again):
+            keep = np.ones(len(whole), bool)
+            keep[again] = False
+            flat = flat[np.repeat(keep, sizes)]
+            whole, resident, sizes = whole[keep], resident[keep], sizes[keep]
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+        if len(whole) < 2 or not resident.any():
+            return None
+        i, j, sim = bin_pairs(flat, offsets, resident, threshold)
+        if stars:
+            parent = np.arange(len(whole))
+            unite(parent, i, j)
+            j = np.flatnonzero(parent != np.arange(len(whole)))
+            i, sim = roots(parent, j), np.zeros(len(j))
+        if not len(i):
+            return None
+        return pa.record_batch([pa.array(whole[i]), pa.array(whole[j]), pa.array(sim)], ["a", "b", "jaccard"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
         for batch in batches:
-            for k in range(batch.num_rows):
-                members, pairs = batch["members"][k].values, batch["pairs"][k].values
-                reps, lists = members.field("doc_id").to_numpy(), members.field("grams")
-                docs = members.field("docs")
-                values, at = lists.flatten().to_numpy(), np.asarray(lists.offsets)
-                at = at - at[0]
-                place = {r: n for n, r in enumerate(reps.tolist())}
-                a, b = pairs.field("a").to_numpy(), pairs.field("b").to_numpy()
-                # Sets as rows of distinct local numbers: overlaps of all pairs by one sorted merge each.
-                sim = np.zeros(len(a))
-                sets = [values[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
-                last, flags, order = None, None, np.argsort(a, kind="stable")
-                local = np.unique(values, return_inverse=True)[1]
-                rows = [local[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
-                flags = np.zeros(int(local.max()) + 1 if len(local) else 0, bool)
-                for p in order:
-                    x, y = place[int(a[p])], place[int(b[p])]
-                    if x != last:
-                        if last is not None:
-                            flags[rows[last]] = False
-                        flags[rows[x]] = True
-                        last = x
-                    both = int(np.count_nonzero(flags[rows[y]]))
-                    sim[p] = both / (len(sets[x]) + len(sets[y]) - both)
-                ok = sim >= threshold
-                if ok.any():
-                    left, right = (docs.take(pa.array([place[x] for x in side[ok].tolist()])) for side in (a, b))
-                    yield pa.record_batch([pa.array(a[ok]), pa.array(b[ok]), pa.array(sim[ok]), left, right], ["a", "b", "jaccard", "x", "y"])
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch["home"].to_numpy(), batch["block"].to_numpy().astype(np.int64)], 1)
+            whole, resident = batch["whole"].to_numpy(), batch["resident"].to_numpy(zero_copy_only=False)
+            lists = batch["grams"]
+            flat, at = lists.flatten().to_numpy().view(T.U64), np.asarray(lists.offsets)
+            at = at - at[0]
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if (key := tuple(keys[a])) != now:
+                    if held and (out := pairs(held)) is not None:
+                        yield out
+                    held, now = [], key
+                held.append((whole[a:b], resident[a:b], np.diff(at[a : b + 1]), flat[at[a] : at[b]]))
+        if held and (out := pairs(held)) is not None:
+            yield out
 
     return run
 
 
-def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(sets, pairs): sets has every set's number ``whole`` and its documents ``docs``; pairs has the numbers
-    a and b of two different sets, their Jaccard similarity, and their documents x and y."""
-    docs = only(docs, doc_id="long", text="string").where("doc_id is not null")
-    signed = durable(docs.mapInArrow(signatures(n), SETS).groupBy("whole", "size").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"), F.first("sketch").alias("sketch")), "sets")
-    # A doc_id with several rows may head several sets: a set is known by its own number.
-    sets = signed.select("whole", "size", "sketch")
-    smallest = sets.select("whole", F.posexplode(F.slice("sketch", 1, KEYS)).alias("at", "token"))
-    hot = durable(smallest.groupBy("token").count().where(F.col("count") > 1), "tokens")
-    shared = smallest.join(hot, "token").groupBy("whole").agg(F.collect_list(F.when(F.col("count") <= HOT, F.col("token"))).alias("single"), F.array_sort(F.collect_list(F.when(F.col("count") > HOT, F.col("token")))).alias("hot"))
-    pairs_of = F.flatten(F.transform("hot", lambda x, i: F.transform(F.slice("hot", i + 2, KEYS), lambda y: F.xxhash64(x, y))))
-    lone = F.when((F.size("single") == 0) & (F.size("hot") == 1), F.col("hot")).otherwise(F.array().cast("array<long>"))
-    keyed = shared.select("whole", F.explode(F.array_distinct(F.concat("single", pairs_of, lone))).alias("cell"))
-    # A cell's number begins with its size: a pair is looked for in the greatest cell that both have, so that
-    # similar sets come together in few cells.
-    numbered = keyed.groupBy("cell").agg(F.collect_list("whole").alias("wholes")).where(F.size("wholes") > 1)
-    numbered = numbered.select(F.shiftleft(F.size("wholes").cast("long"), 34).bitwiseOR(F.col("cell").bitwiseAND(F.lit((1 << 34) - 1))).alias("cell"), F.explode("wholes").alias("whole"))
-    numbered = numbered.groupBy("whole").agg(F.collect_set("cell").alias("cells")).join(sets, "whole")
-    cells = numbered.select(F.explode("cells").alias("cell"), F.struct(F.col("whole").alias("doc_id"), "size", "sketch", "cells").alias("member"))
-    cells = cells.groupBy("cell").agg(F.collect_list("member").alias("members"))
-    found = durable(cells.mapInArrow(open_cells(threshold), "a long, b long, cell long"), "candidates")
-    member = found.select("cell", F.explode(F.array("a", "b")).alias("whole")).distinct()
-    wanted = durable(signed.join(found.select(F.explode(F.array("a", "b")).alias("whole")).distinct(), "whole", "left_semi").select(F.col("docs")[0].alias("doc_id"), "whole", "docs"), "wanted")
-    texts = by_key(docs, wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = texts.mapInArrow(gram_sets(n), "doc_id long, whole long, grams array<long>")
-    grams = texts.join(wanted, ["doc_id", "whole"]).groupBy("whole").agg(F.first("grams").alias("grams"), F.first("docs").alias("docs"))
-    full = member.join(grams, "whole").groupBy("cell").agg(F.collect_list(F.struct(F.col("whole").alias("doc_id"), "grams", "docs")).alias("members"))
-    listed = found.groupBy("cell").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    near = full.join(listed, "cell").select("members", "pairs").mapInArrow(verify(threshold), "a long, b long, jaccard double, x array<long>, y array<long>")
-    return signed, near
+def bins(sets: DataFrame) -> DataFrame:
+    """home, block, whole, resident: the blocks that every set is in or visits, without those where it would be alone."""
+    token = sets.select("whole", "size", F.explode("keys").alias("token"))
+    shared = token.withColumn("n", F.count("*").over(W.partitionBy("token"))).where("n > 1")
+    alive = shared.groupBy("whole", "size").agg(F.array_sort(F.collect_list("token")).alias("ts")).where(F.size("ts") > 1)
+    two = F.flatten(F.transform("ts", lambda x, i: F.transform(F.slice("ts", i + 2, KEYS), lambda y: F.xxhash64(x, y))))
+    cell = alive.select("whole", "size", F.explode(two).alias("cell")).withColumn("n", F.count("*").over(W.partitionBy("cell"))).where("n > 1")
+    cells = F.array_sort(F.collect_list(F.struct("n", "cell")))
+    homes = durable(cell.groupBy("whole", "size").agg(cells.alias("cs")).select("whole", "size", F.element_at("cs", -1)["cell"].alias("home"), F.col("cs.cell").alias("cells")), "homes")
+    # Of two sets with different homes, the one with the greater home visits the other's.
+    at = homes.select("whole", "home", F.explode("cells").alias("cell"))
+    others = at.groupBy("cell").agg(F.collect_set("home").alias("hs")).where(F.size("hs") > 1)
+    visits = at.join(others, "cell").select("whole", F.explode(F.filter("hs", lambda h: h < F.col("home"))).alias("home")).distinct()
+    place = F.row_number().over(W.partitionBy("home").orderBy("size", "whole")) - 1
+    residents = homes.select("home", "whole", "size").withColumn("block", F.floor(place / BIN).cast("int"))
+    tops = residents.where("block > 0").groupBy("home").agg(F.max("block").alias("top"))
+    visitors = visits.join(tops, "home", "left").select("home", F.explode(F.sequence(F.lit(0), F.coalesce("top", F.lit(0)))).alias("block"), "whole", F.lit(False).alias("resident"))
+    earlier = residents.where("block > 0").select("home", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("block"), "whole", F.lit(False).alias("resident"))
+    every = residents.select("home", "block", "whole", F.lit(True).alias("resident")).unionByName(earlier).unionByName(visitors)
+    return every.withColumn("n", F.count("*").over(W.partitionBy("home", "block"))).where("n > 1").drop("n")
+
+
+def by_one_token(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of small sets that reach the threshold with a single common token: joined by it and by their sizes."""
+    most = int(1 / threshold + 1e-9)
+    small = sets.where(F.size("keys") <= most).select("whole", "size", "keys", F.explode("keys").alias("token"))
+    want = small.select("token", F.col("whole").alias("a"), F.col("size").alias("size_a"), F.col("keys").alias("keys_a"), F.explode(F.when(2 * F.col("size") <= most + 1, F.sequence("size", most + 1 - F.col("size")))).alias("size"))
+    pairs = want.join(small.withColumnRenamed("whole", "b"), ["token", "size"]).where((F.size(F.array_intersect("keys_a", "keys")) == 1) & ((F.col("size_a") < F.col("size")) | (F.col("a") < F.col("b"))))
+    return pairs.select("a", "b", (F.lit(1.0) / (F.col("size_a") + F.col("size") - 1)).alias("jaccard"))
+
+
+def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, stars: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(sets, pairs). Sets: ``whole``, the number of the set, and ``docs``, the documents (row_key, doc_id) that have it. Pairs: the numbers a and b of
+    two different sets, and their Jaccard similarity; with ``stars`` only as many pairs as connect what is similar."""
+    if not 1 / KEYS <= threshold <= 1:
+        raise ValueError(f"the threshold must lie between {1 / KEYS} and 1")
+    docs = only(docs, doc_id="long", text="string").withColumn("row", row_key())
+    signed = docs.mapInArrow(signatures(n), "doc_id long, row long, size int, whole long, keys array<long>").groupBy("whole", "size")
+    # A doc_id with several texts may have several sets: a set is known by its own number.
+    signed = durable(signed.agg(F.collect_set(F.struct("row", "doc_id")).alias("docs"), F.first("keys").alias("keys")), "sets")
+    sets = signed.select("whole", "size", "keys")
+    one = signed.select("whole", F.array_min("docs")["row"].alias("row"))
+    where = durable(bins(sets).join(one, "whole"), "bins")
+    texts = by_key(docs.select("row", "text"), where.select("row").distinct(), "row", "left_semi")
+    grams = by_key(texts.mapInArrow(gram_sets(n), "row long, whole long, grams array<long>"), where, ["row", "whole"], "inner")
+    sorted_ = grams.select("home", "block", "whole", "resident", "grams").repartition("home", "block").sortWithinPartitions("home", "block", "whole")
+    near = sorted_.mapInArrow(open_bins(threshold, stars), "a long, b long, jaccard double")
+    return signed.select("whole", "docs"), near.unionByName(by_one_token(sets, threshold))
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs of at least this similarity, as pairs of sets: every document of ``docs_a`` pairs with every
-    document of ``docs_b``. Exact copies are the rows whose two lists are equal (similarity 1). Lists
-    are sorted; docs_a comes before docs_b."""
-    sets, near = similar_sets(docs, n, threshold)
-    twin = sets.where(F.size("docs") > 1).select(F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"), F.lit(1.0).alias("jaccard"))
-    cross = near.select(F.least("x", "y").alias("docs_a"), F.greatest("x", "y").alias("docs_b"), "jaccard")
-    return twin.unionByName(cross)
-
-
-def near_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, keep: of every group that the pairs connect, the least doc_id is kept. Documents
-    without a partner aren't listed."""
-    sets, near = similar_sets(docs, n, threshold)
+    """doc_a < doc_b, jaccard: all pairs of documents of at least this similarity, exact copies (1.0) included."""
+    sets, near = similar_sets(docs.where("doc_id is not null"), n, threshold)
+    named = sets.select("whole", F.array_sort(F.array_distinct("docs.doc_id")).alias("docs"))
+    twins = named.where(F.size("docs") > 1).select("docs", F.posexplode("docs").alias("k", "doc_a"))
+    twins = twins.select("doc_a", F.explode(F.slice("docs", F.col("k") + 2, F.size("docs"))).alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    side = lambda c: named.select(F.col("whole").alias(c), F.col("docs").alias(f"docs_{c}"))
+    cross = near.join(side("a"), "a").join(side("b"), "b").select("jaccard", F.explode("docs_a").alias("x"), "docs_b").select("jaccard", "x", F.explode("docs_b").alias("y"))
+    cross = cross.where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    return twins.unionByName(cross)
+
+
+def copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """row_key of the rows that a group can spare: of every group that the pairs connect, the document with the least doc_id stays
+    (a null one only where there is no other; then the least row_key)."""
+    sets, near = similar_sets(docs, n, threshold, stars=True)
     label = groups(near.select("a", "b"))
-    grouped = sets.select("whole", "docs").join(label, F.col("whole") == F.col("node"), "left").select(F.coalesce("label", "whole").alias("label"), F.explode("docs").alias("doc_id"))
-    grouped = grouped.groupBy("label").agg(F.collect_set("doc_id").alias("docs"), F.min("doc_id").alias("keep")).where(F.size("docs") > 1)
-    return durable(grouped.select(F.explode("docs").alias("doc_id"), "keep").groupBy("doc_id").agg(F.min("keep").alias("keep")), "groups")
+    row = sets.join(label, sets.whole == label.node, "left").select(F.coalesce("label", "whole").alias("label"), F.explode("docs").alias("d"))
+    row = row.select("label", F.struct(F.col("d.doc_id").isNull().alias("unnamed"), "d.doc_id", "d.row").alias("d"))
+    least = row.groupBy("label").agg(F.min("d").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return durable(row.join(least, "label").where("d <> least").select("d.row").distinct(), "copies")
 
 
 def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` without those that near_groups doesn't keep. Of several rows with the same
-    doc_id and the same text, all stay or go together; rows with a null doc_id stay."""
-    gone = durable(near_groups(docs, n, threshold).where("doc_id <> keep").select("doc_id"), "gone")
-    return by_key(docs, gone, "doc_id", "left_anti")
+    """The rows of ``docs`` without those of copies(). Rows with the same doc_id and the same text are one document: they stay or go together.
+    Rows without n-grams (null or empty texts) stay. All columns are kept."""
+    return without(docs, copies(docs, n, threshold))

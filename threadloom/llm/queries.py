@@ -76,10 +76,10 @@ g AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < 3 THEN
 s AS (SELECT row_number() OVER () AS id, * FROM (SELECT gs, list_sort(list(doc_id)) AS docs FROM g GROUP BY gs)),
 e AS MATERIALIZED (SELECT id, unnest(gs) AS gram FROM s),
 k AS (SELECT a.id AS x, b.id AS y, count(*) AS n FROM e a JOIN e b ON a.gram = b.gram AND a.id < b.id GROUP BY ALL)
-SELECT docs AS docs_a, docs AS docs_b, 1.0::DOUBLE AS jaccard FROM s WHERE len(docs) > 1
+SELECT docs[i] AS doc_a, docs[j] AS doc_b, 1.0::DOUBLE AS jaccard FROM (SELECT docs, unnest(range(1, len(docs) + 1)) AS i FROM s), LATERAL (SELECT unnest(range(i + 1, len(docs) + 1)) AS j)
 UNION ALL
-SELECT least(a.docs, b.docs), greatest(a.docs, b.docs), n / (len(a.gs) + len(b.gs) - n)
-FROM k JOIN s a ON a.id = x JOIN s b ON b.id = y WHERE n / (len(a.gs) + len(b.gs) - n) >= 0.5""",
+SELECT least(x, y), greatest(x, y), jaccard FROM (SELECT unnest(a.docs) AS x, b.docs AS ys, n / (len(a.gs) + len(b.gs) - n) AS jaccard
+FROM k JOIN s a ON a.id = x JOIN s b ON b.id = y WHERE n / (len(a.gs) + len(b.gs) - n) >= 0.5), LATERAL (SELECT unnest(ys) AS y) WHERE x <> y""",
     "op2_license_scan": licenses.oracle(WORDS),
     "op9_curriculum_mix": r"""
 WITH r AS (SELECT doc_id, coalesce(source, '') AS src, md5(coalesce(doc_id::VARCHAR, '')) AS key, md5(coalesce(text, '')) AS tie,
