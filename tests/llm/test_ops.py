@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.llm import _text as T
 from threadloom.llm import bpe, decontaminate, embeddings, jaccard, language, licenses, mixing, secrets, token_output, toxicity
@@ -371,11 +372,50 @@ def test_entropy_of_whole_words():
     assert secrets.features(pa.array([word]))[0, ends : ends + len(secrets.ENTROPIES)].tolist() == [1] * len(secrets.ENTROPIES)
 
 
+def test_viterbi_and_marginals_by_enumeration():
+    """The best tagging, the chances of tags and the expected changes against all taggings written out."""
+    rng = np.random.default_rng(2)
+    sizes = [1, 4, 6]
+    E, change, start = rng.normal(0, 2, (6, 3, 3)), rng.normal(0, 1, (3, 3)), rng.normal(0, 1, 3)
+    inside = np.arange(6)[:, None] < np.array(sizes)
+    chance, changes = secrets.marginals(E, inside, change, start)
+    want_changes = np.zeros((3, 3))
+    for s, n in enumerate(sizes):
+        paths = np.array(list(itertools.product(range(3), repeat=n)))
+        score = start[paths[:, 0]] + E[np.arange(n), s, paths].sum(1) + change[paths[:, :-1], paths[:, 1:]].sum(1)
+        weight = np.exp(score - score.max())
+        weight /= weight.sum()
+        for t in range(n):
+            assert np.allclose(chance[t, s], np.bincount(paths[:, t], weight, 3))
+        for t in range(1, n):
+            np.add.at(want_changes, (paths[:, t - 1], paths[:, t]), weight)
+        assert secrets.viterbi(E[:n, s], change, start, np.zeros(3)).tolist() == paths[score.argmax()].tolist()
+    assert np.allclose(changes, want_changes)
+
+
+def test_long_key_blocks_are_tagged_whole():
+    block = ["-----BEGIN", "PRIVATE", "KEY-----", *(f"MII{k}abcdefgh" for k in range(100)), "-----END", "PRIVATE", "KEY-----"]
+    tags = secrets.tag(["see", *block, "and", "-----BEGIN", "again"])
+    assert tags.tolist() == [secrets.O, secrets.B, *[secrets.I] * (len(block) - 1), secrets.O, secrets.O, secrets.O]
+
+
+def test_the_model_does_not_depend_on_the_layout(spark, docs):
+    some = docs.where("doc_id < 400").unionByName(docs.where("doc_id < 3"))
+    layouts = [some, some.repartition(7, "text"), some.orderBy(F.desc("text")).coalesce(1)]
+    models = [secrets.train(x, 120, 300) for x in layouts]
+    for m in models[1:]:
+        assert all(np.array_equal(getattr(m, k), getattr(models[0], k)) for k in ("own", "before", "after", "file", "change", "start"))
+
+
 def test_secrets_awkward(spark):
-    rows = [(1, "the key is password=8f3ab92c77d1e0aa now"), (1, "the key is password=8f3ab92c77d1e0aa now"), (None, "password=8f3ab92c77d1e0aa"), (2, "nothing to see here"), (3, None), (4, "")]
-    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), sample=200).collect()
-    assert [(r["doc_id"], r["word"], r["words"], r["hint"]) for r in got] == [(1, 3, 1, "pass")]
-    assert secrets.scan(empty(spark)).count() == 0
+    key = "the key is password=8f3ab92c77d1e0aa now"
+    rows = [(1, key), (1, key), (None, "password=8f3ab92c77d1e0aa"), (2, "nothing to see here"), (3, None), (4, ""), (5, LONG + key), (6, key + " and " + key)]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, word string, `h` int")
+    got = secrets.scan(table, sample=200).collect()
+    far = len(LONG.split())
+    assert sorted((r["doc_id"], r["word"], r["words"], r["hint"]) for r in got) == [(1, 3, 1, "pass"), (5, far + 3, 1, "pass"), (6, 3, 1, "pass"), (6, 9, 1, "pass")]
+    assert len({r["digest"] for r in got}) == 1
+    assert secrets.scan(empty(spark)).count() == 0 and secrets.scan(awkward(spark), sample=200).count() == 0
 
 
 # ---- 9 mixing ------------------------------------------------------------------------------

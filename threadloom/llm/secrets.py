@@ -4,14 +4,17 @@ Words between white space are tagged B (a secret begins), I (it goes on) or O. A
 of characters, length, entropy, key words, assignment marks), the shapes of its two neighbours, and those of its file
 (whether key words, assignments or long mixed words occur at all). Weights are fitted by maximum likelihood (forward-backward, numpy) on
 at most ``SAMPLE`` documents, tagged by conservative patterns, into which secrets of many
-known formats are written; this is the only part that doesn't cover all data.
+known formats are written; this is the only part that doesn't cover all data. The documents are those with the least hashes of doc_id and text:
+half of them the first ones, half the first ones with a key word, an assignment or a key's prefix among the first ``POOL``. So
+the model is the same however the table is laid out, and one scan finds them.
 
 Features belong to distinct words, so all words of a slice are scored by table look-ups. Decoding is exact Viterbi: a run of
 B and I can only gain where some word's best gain over O is positive, and can't reach beyond the point where
 its losses outweigh all gains of the text; outside these stretches every word is O, inside Viterbi decides.
 
 Defined results. Null or empty text: no secret. Null doc_ids are left out. Repeated rows give equal rows once. Whole texts
-are decoded, however long. An empty table trains on the written secrets alone and gives an empty result.
+are decoded and blocks of a key are tagged, however long. Ties between taggings go to the secret that begins first (B before I before O). Other
+columns may have any name. An empty table trains on the written secrets alone and gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import only
+from ._spark import only, row_key
 
-#: Documents fitted on; words of a training stretch; stretches; gradient steps.
-SAMPLE, STRETCH, STRETCHES, STEPS = 2_000, 20, 4_800, 120
+#: Documents fitted on; documents among which those with key words are looked for; words of a training stretch; stretches; gradient steps.
+SAMPLE, POOL, STRETCH, STRETCHES, STEPS = 2_000, 20_000, 20, 4_800, 120
 B, I, O = 0, 1, 2  # noqa: E741
 
 KEYWORD = r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credential|auth)"
@@ -180,21 +183,29 @@ _TAGGED = [
     re.compile(r"^[\"']?(?:gh[pousr]_|glpat-|xox[abpr]-|sk-|sk_live_|npm_)[A-Za-z0-9_-]{16,}"),
     re.compile(r"^[\"']?eyJ[\w-]{8,}\.[\w-]{8,}\."),
 ]
-_ASSIGNED = re.compile(KEYWORD + r"[\w-]*[\"']?\s*[=:]?$")
+#: What each of them, and an assigned value, must hold.
+_ODD = re.compile(r"[0-9]|A[KS]IA|gh[pousr]_|glpat-|xox[abpr]-|sk[-_]|npm_|eyJ|^-----BEGIN")
 
 
 def tag(words: list[str]) -> np.ndarray:
     """Tags by conservative patterns."""
     out = np.full(len(words), O)
+    ends = None
     for k, w in enumerate(words):
+        if len(w) < 8 or out[k] == I or not _ODD.search(w):
+            continue
         before = " ".join(words[max(0, k - 2) : k])
         if any(p.search(w) for p in _TAGGED) or (k and words[k - 1] in ("=", ":") and re.search(KEYWORD, before) and re.match(r"[\"']?(?=\S*[0-9])[\w+/.-]{12,}", w)):
             out[k] = B
         elif w.startswith("-----BEGIN"):
-            end = next((j for j in range(k, min(len(words), k + 80)) if "-----END" in words[j]), None)
-            if end is not None:
+            if ends is None:
+                ends = np.flatnonzero(["-----END" in x for x in words])
+                closes = np.flatnonzero([x.rstrip(".,;\"'").endswith("-----") for x in words])
+            at = np.searchsorted(ends, k)
+            if at < len(ends):
+                last = closes[closes >= ends[at]]
                 out[k] = B
-                out[k + 1 : min(len(words), end + 4)] = I
+                out[k + 1 : (last[0] if len(last) else ends[at]) + 1] = I
     return out
 
 
@@ -277,53 +288,38 @@ def fit(texts: list[str], seed: int = 0) -> Model:
         tags.append(t)
     sizes = np.array([len(s) for s in stretches])
     flat = pa.array([w for s in stretches for w in s], pa.string()).dictionary_encode()
-    table, ids = features(flat.dictionary), flat.indices.to_numpy(zero_copy_only=False)
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    first = np.zeros(len(ids), bool)
-    first[offsets[:-1][sizes > 0]] = True
-    X = np.zeros((len(ids), 3 * FEATURES + FILE), np.float32)
-    X[:, :FEATURES] = table[ids]
-    at = np.flatnonzero(~first)
-    X[at, FEATURES : 2 * FEATURES] = table[ids[at - 1]]
-    X[at - 1, 2 * FEATURES : 3 * FEATURES] = table[ids[at]]
-    X[:, 3 * FEATURES :] = np.repeat(file_features(table, ids, offsets), sizes, axis=0)
-    y = np.concatenate(tags)
-    longest = int(sizes.max())
-    place = np.full((len(sizes), longest), -1)
-    for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-        place[k, : b - a] = np.arange(a, b)
-    inside = place >= 0
-    W = np.zeros((X.shape[1], 3))
+    ids, offsets = flat.indices.to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
+    table = features(flat.dictionary)
+    file = file_features(table, ids, offsets)
+    # By place, then stretch: words and tags; past a stretch's end stands a word without features.
+    inside = np.arange(sizes.max())[:, None] < sizes
+    place = (np.arange(sizes.max())[:, None] + offsets[:-1])[inside]
+    words = np.full(inside.shape, len(table), np.int64)
+    words[inside] = ids[place]
+    table = np.concatenate([table, np.zeros((1, FEATURES), np.float32)])
+    gold_p = np.zeros((*inside.shape, 3), np.float32)
+    gold_p[inside] = np.eye(3, dtype=np.float32)[np.concatenate(tags)[place]]
+
+    def observed(p: np.ndarray) -> np.ndarray:
+        """Sums of the features of all words, weighed by each tag's chance."""
+        count = lambda w, p: table.T @ np.stack([np.bincount(w.ravel(), p[..., k].ravel(), len(table)) for k in range(3)], 1)
+        return np.concatenate([count(words, p), count(words[:-1], p[1:]), count(words[1:], p[:-1]), file.T @ p.sum(0)])
+
+    W = np.zeros((3 * FEATURES + FILE, 3))
     change, start = np.zeros((3, 3)), np.zeros(3)
-    gold = X.T @ np.eye(3, dtype=np.float32)[y]
-    pair = ~first[1:]
-    gold_change = np.zeros((3, 3))
-    np.add.at(gold_change, (y[:-1][pair], y[1:][pair]), 1)
-    gold_start = np.bincount(y[first], minlength=3).astype(float)
-    back = np.argsort(place[inside])
+    gold, gold_start = observed(gold_p), gold_p[0].sum(0)
+    gold_change = sum(gold_p[t - 1].T @ gold_p[t] for t in range(1, len(gold_p)))
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (W, change, start)]
     n = len(ids)
     for step in range(1, STEPS + 1):
-        E = np.zeros((len(sizes), longest, 3))
-        E[inside] = (X @ W.astype(np.float32))[place[inside]]
-        alpha, beta = np.zeros_like(E), np.zeros_like(E)
-        alpha[:, 0] = E[:, 0] + start
-        for t in range(1, longest):
-            s = alpha[:, t - 1, :, None] + change
-            m = s.max(1)
-            new = m + np.log(np.exp(s - m[:, None]).sum(1)) + E[:, t]
-            alpha[:, t] = np.where(inside[:, t, None], new, alpha[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            s = change + (E[:, t + 1] + beta[:, t + 1])[:, None, :]
-            m = s.max(2)
-            beta[:, t] = np.where(inside[:, t + 1, None], m + np.log(np.exp(s - m[:, :, None]).sum(2)), 0.0)
-        z = alpha[:, -1].max(1)
-        z = z + np.log(np.exp(alpha[:, -1] - z[:, None]).sum(1))
-        p = np.exp(alpha + beta - z[:, None, None])
-        expected = X.T @ p[inside][back].astype(np.float32)
-        both = np.exp(alpha[:, :-1, :, None] + change + (E + beta)[:, 1:, None, :] - z[:, None, None, None])
-        expected_change = (both * inside[:, 1:, None, None]).sum((0, 1))
-        grads = [(gold - expected) / n - 1e-5 * W, (gold_change - expected_change) / n - 1e-5 * change, (gold_start - p[:, 0][inside[:, 0]].sum(0)) / n - 1e-5 * start]
+        w = W.astype(np.float32)
+        own, before, after = (table @ w[k * FEATURES : (k + 1) * FEATURES] for k in range(3))
+        E = own[words] + file @ w[3 * FEATURES :]
+        E[1:] += before[words[:-1]]
+        E[:-1] += after[words[1:]]
+        chance, expected_change = marginals(E, inside, change.astype(np.float32), start.astype(np.float32))
+        chance *= inside[:, :, None]
+        grads = [(gold - observed(chance)) / n - 1e-5 * W, (gold_change - expected_change) / n - 1e-5 * change, (gold_start - chance[0].sum(0)) / n - 1e-5 * start]
         for (m1, m2), g, param in zip(moments, grads, (W, change, start), strict=True):
             m1 += 0.1 * (g - m1)
             m2 += 0.01 * (g * g - m2)
@@ -332,18 +328,37 @@ def fit(texts: list[str], seed: int = 0) -> Model:
     return Model(W[:FEATURES], W[FEATURES : 2 * FEATURES], W[2 * FEATURES : 3 * FEATURES], W[3 * FEATURES :], change, start)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` documents: half with the least hashes of doc_id, half with the least hashes among those with a key
-    word, an assignment or a key's prefix."""
-    rows = only(docs, doc_id="long", text="string").where("length(text) > 0")
-    total = rows.count()
-    h = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5
+def marginals(E: np.ndarray, inside: np.ndarray, change: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over many sequences at once: scores by place, sequence and tag; which places a sequence has. The chance of each tag
+    at each place, and the expected number of each change in all of them."""
+    A = np.exp(change - change.max())
+    b = np.exp(E - E.max(2, keepdims=True))
+    alpha, beta, scale = np.empty_like(E), np.ones_like(E), np.ones((*inside.shape, 1), E.dtype)
+    first = np.exp(start - start.max()) * b[0]
+    alpha[0] = first / first.sum(1, keepdims=True)
+    for t in range(1, len(E)):
+        new = (alpha[t - 1] @ A) * b[t]
+        scale[t] = np.where(inside[t, :, None], new.sum(1, keepdims=True), 1.0)
+        alpha[t] = np.where(inside[t, :, None], new / scale[t], alpha[t - 1])
+    changes = np.zeros((3, 3), E.dtype)
+    for t in range(len(E) - 1, 0, -1):
+        right = np.where(inside[t, :, None], b[t] * beta[t] / scale[t], 0.0)
+        changes += alpha[t - 1].T @ right
+        beta[t - 1] = np.where(inside[t, :, None], right @ A.T, 1.0)
+    return alpha * beta, changes * A
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> Model:
+    """Fit on at most ``sample`` documents, found in one scan: see the module."""
+    total = max(1, docs.count())
+    rows = only(docs, doc_id="long", text="string").select((row_key().cast("double") / 2.0**64 + 0.5).alias("h"), "text").where("length(text) > 0")
     likely = F.col("text").rlike(KEYWORD + r"[\w-]*[\"']?\s?[=:]|AKIA|-----BEGIN|gh[pousr]_|eyJ")
-    part = rows.where(h <= sample / max(1, total)).select("text").toArrow()["text"].to_pylist()[: sample // 2]
-    # Hashes alone find the bound, so that no task gathers texts of the whole table; then few texts are matched again.
-    least = rows.where(likely).select(h.alias("h")).orderBy("h").limit(sample // 2).agg(F.max("h")).first()[0]
-    marked = [] if least is None else rows.where(h <= least).where(likely).select("text").toArrow()["text"].to_pylist()
-    return fit(sorted(part) + sorted(marked)[: sample // 2])
+    half = sample // 2
+    # Hashes are uniform: these bounds take hardly more rows than wanted from a table of any size. Rows with one hash are equal.
+    many = lambda k: (k + 6 * k**0.5) / total
+    some = rows.where(F.col("h") <= many(pool)).withColumn("likely", likely).where((F.col("h") <= many(half)) | F.col("likely"))
+    found = some.orderBy("h").limit(pool).toPandas()
+    return fit(found["text"][:half].tolist() + found["text"][found["likely"]][:half].tolist())
 
 
 def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
