@@ -265,10 +265,31 @@ def test_leaks_awkward(spark):
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(awkward(spark), bench).collect()}
     assert got == {(1, 1), (2, 1)}
     kept = decontaminate.drop_leaks(awkward(spark), bench)
-    assert kept.count() == 9 and kept.columns == awkward(spark).columns
+    assert kept.columns == awkward(spark).columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 3, 4, 5, 6, 7, 8, 9]
+    # A row goes by its own text, not by that of another one with its doc_id; a leak at the end of a very long text counts.
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau"
+    odd = spark.createDataFrame([(1, "clean words only here"), (1, item), (None, item), (2, LONG + item), (3, item + " " + item)], "doc_id long, text string")
+    one = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted((r["doc_id"], r["lcs"]) for r in decontaminate.leaks(odd, one).collect()) == [(1, 1.0), (2, 1.0), (3, 1.0)]
+    assert [r["text"] for r in decontaminate.drop_leaks(odd, one).collect()] == ["clean words only here"]
     assert decontaminate.leaks(empty(spark), bench).count() == 0 and decontaminate.leaks(awkward(spark), bench.limit(0)).count() == 0
 
 
+def test_answers_are_checked_whole():
+    """All words of the last sentence count, not only the last ones."""
+    answer = " ".join(f"answer{k}" for k in range(30))
+    items = decontaminate.Items([(1, "what is it then? " + answer + "."), (2, "no sentence of three words. so. it")])
+    assert items.answers == [30, 5]
+
+
+def test_leaks_in_shards(spark, docs, monkeypatch):
+    bench = spark.read.parquet(f"{DIR}/benchmark.parquet")
+    some = docs.where("doc_id < 300")
+    one = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(some, bench).collect()}
+    monkeypatch.setattr(decontaminate, "SHARD", 15)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(some, bench).collect()} == one and one
+
+
 # ---- 6 toxicity ----------------------------------------------------------------------------
 
 

@@ -1,49 +1,60 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Terms are the benchmark's words. One pass turns every text into the terms of its words (a mark for any other word)
-   and keeps them, two bytes a word, in the shared folder; all later passes read only those.
+1. One pass turns every text into terms and keeps them, two bytes a word, in the shared folder; all later passes read only
+   those. The benchmark's words are terms of their own, all other words are hashed to ``OTHER`` terms.
 2. A pass counts in how many passages (blocks of ``BLOCK`` words) each term occurs.
 3. Another gives the product A'(A W) of the TF-IDF matrix A of all passages with a random matrix W: each task
    sends one small dense sum, and the sums are added in a streaming reduction. The leading right singular vectors and
    values follow from it by the Nyström form of the randomised decomposition.
-4. Items and windows are compared by the cosine of their latent coordinates (scaled to unit variance). A window is about as
-   long as its items (the next power of two, half overlapping), over the whole of every text. Every window is a
-   query against every item of its length. Pairs that can't hold the required common subsequence aren't multiplied: of
-   the item's rarest words, more than it may lack, ``SURPLUS`` must be in the span. This bound is exact.
-5. For candidates the longest common subsequence is computed. A document leaks an item if the
+4. Items and windows are compared by the cosine of their latent coordinates (scaled to unit variance); windows are folded in by the
+   words that items have at all. A window is about as long as its items (the next power of two, half overlapping), over the whole of every
+   text. Every window is a query against every item of its length, by matrix products; where it or a neighbour
+   reaches ``COSINE`` it is a candidate.
+5. For candidates the longest common subsequence is computed, over the window and half a window on both sides; not for those that can't
+   reach it: of the item's rarest words, more than it may lack, ``SURPLUS`` must be in the span (an exact bound). A document leaks an item if the
    subsequence holds ``LCS`` of the item's words, and ``ANSWER`` of those of its answer (the last sentence
-   of three words or more, at most the last ``TAIL`` words).
+   of three words or more, whole).
+
+The benchmark is worked through in shards of ``SHARD`` items, so that neither the driver nor a broadcast holds more, however many there are.
+
+Recall. Steps 1 to 3 and 5 lose nothing; step 4 is approximate: see the README for measured recall by how much of an item is replaced.
 
 Defined results. Null or empty texts and items, or without letters: never a leak. Items with a null
-item_id aren't looked for; null doc_ids are left out. Repeated rows and items give equal rows once. With an empty benchmark or
-no documents the result is empty.
+item_id aren't looked for; null doc_ids are left out of leaks(); drop_leaks judges their rows by their texts like any other. Very long texts
+are searched whole. Repeated rows and items give equal rows once; of several spans of a document with one item the one with the longest subsequence is
+given, of ties the first. With an empty benchmark or no documents the result is empty.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import by_key, durable, only
+from ._spark import durable, only, row_key, without
 
-BLOCK, RANK, EXTRA, CHUNKS = 32, 40, 8, 16
-COSINE, LCS, ANSWER, TAIL, SHORTEST, SURPLUS = 0.35, 0.6, 0.5, 12, 16, 3
+BLOCK, OTHER, RANK, EXTRA, CHUNKS, SHARD = 32, 8192, 48, 8, 16, 20_000
+COSINE, LCS, ANSWER, SHORTEST, SURPLUS = 0.2, 0.6, 0.5, 16, 3
+#: Entries of a matrix of cosines that is held at once.
+ENTRIES = 8_000_000
 
 
 class Items:
-    """The benchmark's words, sorted, and each item's words as their places."""
+    """The benchmark's words, sorted, and each item's words as their places (terms below ``places``; others stand below ``width``)."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         rows = sorted({(k, t) for k, t in rows if k is not None and t})
         hashes, offsets = T.words(pa.array([t for _, t in rows], pa.string()))
         self.known = np.unique(hashes)
         self.places = len(self.known)
-        self.kind = np.uint16 if self.places < 1 << 16 else np.uint32
+        self.width = self.places + OTHER
+        self.kind = np.uint16 if self.width < 1 << 16 else np.uint32
         self.ids, self.words, self.answers = [], [], []
         for (k, text), a, b in zip(rows, offsets[:-1], offsets[1:], strict=True):
             if b > a:
@@ -51,15 +62,15 @@ class Items:
                 self.words.append(np.searchsorted(self.known, hashes[a:b]))
                 last = [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if len(s.split()) >= 3]
                 tail = len(T.words(pa.array([last[-1]]))[0]) if last else b - a
-                self.answers.append(int(min(max(tail, 1), TAIL, b - a)))
+                self.answers.append(int(min(max(tail, 1), b - a)))
         self.scale = [max(SHORTEST, 1 << int(np.ceil(np.log2(len(w))))) for w in self.words]
 
     def place(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Term of every word (``places`` for a word that isn't the benchmark's), and each text's offsets."""
+        """Term of every word, and each text's offsets."""
         ids, table, offsets = T.word_table(texts)
         at = np.searchsorted(self.known, table)
         at[at == len(self.known)] = 0
-        places = np.where(self.known[at] == table, at, self.places).astype(self.kind)
+        places = np.where(self.known[at] == table, at, self.places + (table % T.U64(OTHER)).astype(np.int64)).astype(self.kind)
         return (places[ids] if len(places) else np.zeros(0, self.kind)), offsets
 
     def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -133,14 +144,13 @@ def _sum_pass(terms: DataFrame, items: Items, shape: tuple[int, ...], add) -> np
 
 
 def latent(terms: DataFrame, items: Items, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """places + 1 x RANK: what each word of a text adds to its latent coordinates (nothing for other words);
-    and in how many passages each term occurs."""
-    width = items.places
+    """width + 1 x RANK: what each word of a text adds to its latent coordinates (the last row is zero); and in how many passages
+    each term occurs."""
+    width = items.width
 
     def count(total: np.ndarray, place: np.ndarray, offsets: np.ndarray) -> None:
         where, n = passages(offsets)
-        mine = place < width
-        pairs = np.sort(where[mine] * width + place[mine])
+        pairs = np.sort(where * width + place)
         pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
         total[:width] += np.bincount(pairs % width, minlength=width)
         total[width] += n
@@ -154,8 +164,7 @@ def latent(terms: DataFrame, items: Items, seed: int = 0) -> tuple[np.ndarray, n
     def multiply(total: np.ndarray, place: np.ndarray, offsets: np.ndarray) -> None:
         y = block_sums(projected, place, offsets, BLOCK)
         y /= np.maximum(block_sums(square, place, offsets, BLOCK), 1e-12).astype(np.float32)
-        mine = place < width
-        place, where = place[mine], passages(offsets)[0][mine]
+        where = passages(offsets)[0]
         order = np.argsort(place, kind="stable")
         ordered = place[order]
         begins = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else order
@@ -192,21 +201,38 @@ def rarest(items: Items, df: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarr
                 terms, weight = np.unique(rare, return_counts=True)
                 entries += [(t, k, c) for t, c in zip(terms.tolist(), weight.tolist(), strict=True)]
         table = np.array(sorted(entries))
-        out[s] = (np.searchsorted(table[:, 0], np.arange(items.places + 2)), table[:, 1], table[:, 2], need)
+        out[s] = (np.searchsorted(table[:, 0], np.arange(items.width + 2)), table[:, 1], table[:, 2], need)
     return out
 
 
-def search(items: Items, table: np.ndarray, df: np.ndarray, cosine: float):
-    scales = sorted(set(items.scale))
-    vectors = unit(np.stack([table[w].sum(0) for w in items.words]))
-    bounds = rarest(items, df)
-    words = [w.tolist() for w in items.words]
-    n_items = len(words)
+@dataclass
+class Index:
+    """What a task needs to search for items; sent to every executor once."""
+
+    items: Items
+    table: np.ndarray
+    vectors: np.ndarray
+    bounds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
+
+def cosines(index: Index, items: np.ndarray, of: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The cosine of every window, or of its better neighbour in the same text, with every one of the items."""
+    near = vectors @ index.vectors[items].T
+    out = near.copy()
+    for here, there in ((slice(1, None), slice(None, -1)), (slice(None, -1), slice(1, None))):
+        same = (of[here] == of[there])[:, None]
+        np.maximum(out[here], near[there], out=out[here], where=same)
+    return out
+
+
+def search(shared, cosine: float):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        index: Index = shared.value
+        items, table = index.items, index.table
         place, offsets = items.read(batch["terms"])
         if not len(place):
             return None
+        n_items, scales = len(items.ids), sorted(set(items.scale))
         half = scales[0] // 2
         # Sums over half windows of the least scale, aligned to each text; larger windows are sums of those.
         size = np.diff(offsets)
@@ -220,45 +246,51 @@ def search(items: Items, table: np.ndarray, df: np.ndarray, cosine: float):
             step = (s // 2) // half
             count = np.maximum(1, -(-(cells - step) // step)) * (cells > 0)
             first = np.cumsum(count) - count
-            begin, which, weight, need = bounds[s]
-            # Entries of every rare word, in the four windows whose spans (a half window more on both sides) hold it.
+            of = np.repeat(np.arange(len(size)), count)
+            a = base[of] + (np.arange(len(of)) - first[of]) * step
+            b = np.minimum(a + 2 * step, base[of + 1])
+            vectors = unit((sums[b] - sums[a]).astype(np.float32))
+            # The exact bound: weights of the item's rare words in the span (a window and half a one on both sides).
+            begin, which, weight, need = index.bounds[s]
             many = (begin[1:] - begin[:-1])[place]
             hit = np.flatnonzero(many)
             many = many[hit]
             entry = np.repeat(begin[place[hit]] - np.cumsum(many) + many, many) + np.arange(many.sum())
             hit = np.repeat(hit, many)
             doc = owner[hit]
-            block = (hit - offsets[doc]) // (s // 2)
-            window = (block[:, None] + np.arange(-2, 2)).reshape(-1)
-            doc, entry = np.repeat(doc, 4), np.repeat(entry, 4)
-            ok = (window >= 0) & (window < count[doc])
-            key = np.sort((first[doc[ok]] + window[ok]) * len(which) + entry[ok])
+            around = ((hit - offsets[doc]) // (s // 2))[:, None] + np.arange(-2, 2)
+            doc, entry, around = np.repeat(doc, 4), np.repeat(entry, 4), around.reshape(-1)
+            ok = (around >= 0) & (around < count[doc])
+            key = np.sort((first[doc[ok]] + around[ok]) * len(which) + entry[ok])
             key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
             entry = key % len(which)
-            key = key // len(which) * n_items + which[entry]
-            order = np.argsort(key, kind="stable")
-            key, entry = key[order], entry[order]
-            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-            if not len(at):
-                continue
-            got = np.add.reduceat(weight[entry], at)
-            key = key[at][got >= need[key[at] % n_items]]
-            window, item = key // n_items, key % n_items
-            doc = np.searchsorted(first + count, window, side="right")
-            a = base[doc] + (window - first[doc]) * step
-            b = np.minimum(a + 2 * step, base[doc + 1])
-            near = np.einsum("ij,ij->i", unit((sums[b] - sums[a]).astype(np.float32)), vectors[item])
-            keep = np.flatnonzero(near >= cosine)
-            for w, i, d, c, x in zip(window[keep].tolist(), item[keep].tolist(), doc[keep].tolist(), near[keep].tolist(), starts[a[keep]].tolist(), strict=True):
-                m, begins = len(words[i]), int(offsets[d])
+            pair = key // len(which) * n_items + which[entry]
+            order = np.argsort(pair, kind="stable")
+            pair, entry = pair[order], entry[order]
+            at = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
+            got = np.add.reduceat(weight[entry], at) if len(at) else at
+            pair = pair[at]
+            pair = pair[got >= need[pair % n_items]]
+            window, item = pair // n_items, pair % n_items
+            mine = np.array([k for k, x in enumerate(items.scale) if x == s])
+            near = np.zeros(len(pair), np.float32)
+            for k in range(0, len(mine), max(1, ENTRIES // len(of))):
+                part = mine[k : k + max(1, ENTRIES // len(of))]
+                cosine_of = cosines(index, part, of, vectors)
+                here = np.flatnonzero(np.isin(item, part))
+                near[here] = cosine_of[window[here], np.searchsorted(part, item[here])]
+            for k in np.flatnonzero(near >= cosine):
+                w, i, d = int(window[k]), int(item[k]), int(of[window[k]])
+                words, begins = items.words[i], int(offsets[d])
+                x = int(starts[a[w]])
                 x, y = max(x - s // 2, begins), min(x + s + s // 2, int(offsets[d + 1]))
                 span = place[x:y].tolist()
-                length = T.lcs(words[i], span)
+                length, m = T.lcs(words.tolist(), span), len(words)
                 if length < LCS * m - 1e-9:
                     continue
-                tail = words[i][-items.answers[i] :]
+                tail = words[-items.answers[i] :].tolist()
                 answer = T.lcs(tail, span) / len(tail)
-                row = (length / m, answer, c, x - begins)
+                row = (length / m, answer, float(near[k]), x - begins)
                 if answer >= ANSWER - 1e-9 and ((d, i) not in best or row[:2] > best[d, i][:2]):
                     best[d, i] = row
         if not best:
@@ -276,17 +308,28 @@ def search(items: Items, table: np.ndarray, df: np.ndarray, cosine: float):
 SCHEMA = "doc_id long, item_id long, lcs double, answer double, cosine double, word long"
 
 
+def indexed(terms: DataFrame, items: Items) -> Index:
+    table, df = latent(terms, items)
+    table[items.places :] = 0  # windows are folded in by the words that items have
+    return Index(items, table, unit(np.stack([table[w].sum(0) for w in items.words])), rarest(items, df))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """doc_id, item_id, lcs and answer (shares of words found in order), cosine, word (where the span begins)."""
+    spark = docs.sparkSession
     docs = only(docs, doc_id="long", text="string").where("doc_id is not null")
-    items = Items([tuple(r) for r in only(benchmark, item_id="long", text="string").collect()])
-    if not items.ids:
-        return docs.sparkSession.createDataFrame([], SCHEMA)
-    terms = kept(docs, items)
-    return terms.mapInArrow(search(items, *latent(terms, items), cosine), SCHEMA).distinct()
+    asked = only(benchmark, item_id="long", text="string").where("item_id is not null and length(text) > 0").distinct()
+    shards = -(-asked.count() // SHARD)
+    found = spark.createDataFrame([], SCHEMA)
+    for k in range(shards):
+        items = Items([tuple(r) for r in asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).collect()])
+        if items.ids:
+            terms = kept(docs, items)
+            found = found.unionByName(terms.mapInArrow(search(spark.sparkContext.broadcast(indexed(terms, items)), cosine), SCHEMA))
+    return found.distinct()
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id leaks no item; rows with a null doc_id stay."""
-    gone = durable(leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return by_key(docs, gone, "doc_id", "left_anti")
+    """The rows of ``docs`` whose text leaks no item, each judged by its own text, with all their columns."""
+    keyed = docs.select(row_key().alias("doc_id"), "text")
+    return without(docs, durable(leaks(keyed, benchmark).select("doc_id").distinct(), "leaks"))
