@@ -45,6 +45,37 @@ def test_redact_names(spark):
     assert "Anna" not in x and "James" not in x and "Bob" not in x and x.startswith("hey there, I'm ")
 
 
+def test_redact_pinned(spark):
+    """A known name needs a capital and small letters; what the rules put between is theirs; accents are letters."""
+    import hashlib
+
+    pick = lambda name: surrogates.MINED[int(hashlib.md5(name.lower().encode()).hexdigest()[:8], 16) % len(surrogates.MINED)]
+    cases = [
+        ("the grace period", "the grace period"), ("then Grace said GRACE", f"then {pick('grace')} said GRACE"), ("dear\tOtto", f"dear {pick('otto')}"), ("bye —Eva Holm", f"bye - {pick('eva holm')}"),
+        ("hey there how are you", "hey there how are you"), ("mail josé.é@mañana.org now", "mail someone@example.com now"), ("call +1 (555) 123-4567", "call (555) 010-4321"), ("$ 1,200.50 at 12 N. Oak st", "$300k at a property nearby st"),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, t string")
+    got = [r["x"] for r in df.select("k", surrogates.redact(F.col("t"), ["grace"]).alias("x")).orderBy("k").collect()]
+    assert got == [w for _, w in cases]
+    loose = df.where("k = 4").select(surrogates.redact(F.col("t"), [], loose=True).alias("x")).first()["x"]
+    assert loose == f"hey {pick('there how')} are you"
+
+
+def test_leak_gate(spark):
+    df = spark.createDataFrame([("fine",), ("{NAME} here",), ("{NAME_1} slips by",)], "text string")
+    assert surrogates.leaks(df).first().asDict() == {"texts": 3, "leaking": 1}
+    assert surrogates.leaks(df, pattern=surrogates.WIDE_TOKEN).first()["leaking"] == 2
+    assert surrogates.require_no_leak(df.where("text = 'fine'")).count() == 1
+    with pytest.raises(Exception, match="survived"):
+        surrogates.require_no_leak(df).collect()
+
+
+def test_unicode_signatures(spark):
+    rows = [("agent", x) for x in ("- José", "thanks, — Zoë", "– Anna", "- José left", "ok - René", "\u2003- Åsa\u00a0")]
+    got = conversation.clean_sms(spark.createDataFrame(rows, "role string, text string")).collect()
+    assert [r["text"] for r in got] == ["- José left", "ok - René"]
+
+
 def test_head_and_sample_keeps_head(spark):
     rows = spark.createDataFrame([(1, k, k == 1, "x") for k in range(1, 12)] + [(2, 3, False, "y")], "conv_id int, turn_idx int, is_first boolean, gold_reply string")
     got = tasks.head_and_sample(rows, 3).collect()
@@ -79,14 +110,57 @@ def test_split_sizes(spark):
     assert sft.split(rows.limit(0), F.col("k")).count() == 0
 
 
+def test_only_strings_are_messages(spark):
+    """Numbers and truth values don't pass for texts; elements that are no objects are empty ones."""
+    raw = ['{"recommendations": [{"suggested_message": 5, "confidence": "high"}, 7, {"suggested_message": "a", "confidence": true}]}']
+    got = spark.createDataFrame([(r,) for r in raw], "r string").select(prompts.recommendations(F.col("r")).alias("x")).first()["x"]
+    assert [tuple(r) for r in got] == [(None, "high"), (None, None), ("a", None)]
+    rows = spark.createDataFrame([(1, [(None, "high"), ("a", "low"), ("b", "low")], "x", None, None, None)], f"id int, recommendations {prompts.RECS}, stage string, latest string, is_first string, mode string")
+    assert audit.audited(rows).first()["reject_reason"] == "empty suggested_message"
+
+
 def test_labelled_failures_are_rows(spark):
-    rows = spark.createDataFrame([(1, "p")], "id int, p string")
+    """One prompt that fails is one row with an error; the others of its batch are answered."""
+    rows = spark.createDataFrame([(1, "p"), (2, "bad"), (3, "q")], "id int, p string").coalesce(1)
+
+    def fails(asked):
+        if "bad" in asked:
+            raise TimeoutError("late")
+        return ['{"recommendations": []}' for _ in asked]
+
+    got = prompts.labelled(rows, F.col("p"), fails).orderBy("id").collect()
+    assert [(r["recommendations"], (r["error"] or "")[:12]) for r in got] == [([], ""), (None, "TimeoutError"), ([], "")]
+    flat = prompts.evaluation_rows(prompts.labelled(rows, F.col("p"), fails)).orderBy("idx").collect()
+    assert len(flat[0]) == 21 and [(r["ok"], r["error"], r["kind"]) for r in flat] == [(1, "", ""), (0, "TimeoutError: late", ""), (1, "", "")]
+
+
+def test_label_assembly_defaults(spark):
+    raw = '{"context": {"Stage": "eligible", "Agent name": "X", "Answers collected": "a=b"}, "recommendations": [{"suggested_message": "m", "confidence": "low"}]}'
+    rows = spark.createDataFrame([(1, "scenario", "confirming"), (2, None, "confirming"), (3, "situation", "qualifying")], "id int, kind string, stage string").withColumn("directive", F.lit("D"))
+    got = prompts.assembled(prompts.labelled(rows, F.lit("p"), lambda ps: [raw] * len(ps))).collect()
+    assert [(r["stage"], r["agent"], r["client"], r["answers"], r["directive"], tuple(r["meta"]), len(r["recommendations"])) for r in got] == [
+        ("confirming", None, None, None, None, ("scenario", None, "scenario", None), 1), ("eligible", "Alex", "there", "a=b", None, ("scenario", None, "convo", None), 1), ("qualifying", None, None, None, "D", ("scenario", None, "situation", None), 1),
+    ]
+
+
+def test_cleaner_counts_what_is_relabelled(spark):
+    """A relabelled record counts even where the cap on duplicates drops it; rates have a denominator of one at least."""
+    user = "--- CURRENT CONTEXT ---\nClient's latest message: my husband died\nClient name: Ann\n---"
+    reply = json.dumps({"recommendations": [{"suggested_message": m, "confidence": "low"} for m in ("Got it, so where?", "ok  then, Ann", "When is it?")]})
+    out = cleaner.clean(spark.createDataFrame([(k, user, reply) for k in range(5)], "id int, user string, reply string"), "id")
+    counts = {r["metric"]: r["value"] for r in cleaner.report(out).collect()}
+    assert (counts["grief_relabeled"], counts["dup_capped"], counts["kept"]) == (5, 2, 3)
+    rows = spark.createDataFrame([(["Got it, where?", "ok  then, Ann", "When?"], "Ann", "no"), (["Hi Ann", "a", "b"], "Ann", "yes")], "t array<string>, n string, f string")
+    got = cleaner.quality(rows, "t", "n", "f").first()
+    assert (got["filler_rate"], got["name_rate"], got["greeting_rate"], got["artifacts"]) == (1 / 6, 1.0, 0.0, 1)
+    assert cleaner.quality(rows.limit(0), "t", "n", "f").first()["filler_rate"] == 0.0
 
-    def fails(_):
-        raise TimeoutError("late")
 
-    r = prompts.labelled(rows, F.col("p"), fails).first()
-    assert r["recommendations"] is None and r["error"].startswith("TimeoutError")
+def test_not_now_contexts(spark):
+    for r in scenarios.situations(spark, 30, messages=scenarios.NOT_NOW).collect():
+        bad = r["answers"].split(", ")[1].removesuffix("=yes")
+        assert (r["stage"], r["next_key"], r["reason"]) == ("ineligible", "N/A", scenarios.REASONS[bad]) and r["latest"]
+    assert {r["mode"] for r in scenarios.situations(spark, 1).collect()} == set(scenarios.SITUATIONS)
 
 
 def test_teacher_retries():
@@ -126,8 +200,11 @@ def test_files(spark, tmp_path):
     assert [(r["role"], r["text"]) for r in lines] == [("agent", "hello there"), ("client", "Okay.")]
     (tmp_path / "l.jsonl").write_text('{"a": 1}\n\n{bad\n{"a": 2}\n')
     assert sorted(r["a"] for r in files.read_jsonl(spark, str(tmp_path / "l.jsonl"), "a int", tolerant=True).collect()) == [1, 2]
-    files.write_jsonl(spark.createDataFrame([("é",)], "x string"), str(tmp_path / "asc"), ascii_only=True)
-    assert '"\\u00e9"' in "".join(p.read_text() for p in (tmp_path / "asc").glob("part*"))
+    odd = 'é 𝄞 "q" \\ \u2028 a'
+    for name, plain in (("asc", True), ("uni", False)):
+        files.write_jsonl(spark.createDataFrame([(odd,)], "x string"), str(tmp_path / name), ascii_only=plain)
+        text = "".join(p.read_text() for p in (tmp_path / name).glob("part*"))
+        assert json.loads(text) == {"x": odd} and text.isascii() == plain
     m = tmp_path / "m"
     m.mkdir()
     head = json.dumps({"__metadata__": {}, "w": {"shape": [3, 4]}, "b": {"shape": [5]}}).encode()
@@ -137,10 +214,13 @@ def test_files(spark, tmp_path):
     for k in (5, 12):
         c = tmp_path / "t" / f"checkpoint-{k}"
         c.mkdir(parents=True)
-        (c / "trainer_state.json").write_text(json.dumps({"log_history": [{"step": 1, "loss": 2.0, "learning_rate": 0.1}, {"step": k, "loss": 1.0}, {"step": k, "eval_loss": float(k)}]}))
-    assert tuple(metrics.loss_summary(files.read_trainer_log(spark, str(tmp_path / "t"))).first()) == (2.0, 1.0, 12.0, 0.1)
+        (c / "trainer_state.json").write_text(json.dumps({"log_history": [{"step": 1, "loss": 2.0, "learning_rate": 0.1}, {"step": k, "loss": 1.0}, {"step": k, "eval_loss": float(k)}, {"step": k, "train_runtime": 3725.9, "train_samples_per_second": 8.5, "train_steps_per_second": 0.5}], "epoch": 1.996, "global_step": 100 * k}))
+    got = metrics.loss_summary(files.read_trainer_log(spark, str(tmp_path / "t"))).first().asDict()
+    assert got == dict(epochs=2.0, global_steps=1200, first_loss=2.0, last_loss=1.0, last_eval=12.0, max_rate=0.1, samples_per_second=8.5, steps_per_second=0.5, runtime="1h 2m 5s")
     files.write_csv(spark.createDataFrame([(2, 'say "hi"\nyou'), (1, "x")], "idx int, t string"), str(tmp_path / "csv"), "idx")
-    files.write_report(spark.createDataFrame([("kept", 3)], "metric string, value long"), str(tmp_path / "rep"))
+    assert "".join(p.read_text() for p in (tmp_path / "csv").glob("part*")) == '"idx","t"\n"1","x"\n"2","say ""hi""\nyou"\n'
+    files.write_report(spark.createDataFrame([("kept", 3), ("all", 5)], "metric string, value long"), str(tmp_path / "rep"))
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "rep").glob("part*"))) == {"kept": 3, "all": 5}
     calls = []
     for _ in range(2):
         assert files.memoised(spark, str(tmp_path / "memo"), lambda: calls.append(1) or spark.range(3)).count() == 3

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as X
 from threadloom.operators import cleaner
 
-FUZZ = st.lists(st.text(alphabet="ab .,!?;:-\n\t\xa0é—GotitOkay'", max_size=30), min_size=1, max_size=60)
+FUZZ = st.lists(st.text(alphabet="ab .,!?;:-\n\t\xa0\u2003\x1c\x85é—GotitOkay'", max_size=30), min_size=1, max_size=60)
 QUICK = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 
 
@@ -26,6 +26,14 @@ def test_strip_squeeze_words(spark, texts):
     assert [max(1, n) for n in through(spark, texts, X.sentence_count)] == want
 
 
+def test_pinned_spaces(spark):
+    """White space beyond ASCII ends sentences, as it does in Python."""
+    texts = ["a.\u00a0b", "One.\u2003Two!\u00a0Three?\x1cFour.", "a. b", " a.b "]
+    assert through(spark, texts, X.sentence_count) == [2, 4, 2, 1]
+    assert through(spark, ["\x1fÉté!\u00a0là", "\u2003Ok, so"], X.first_word) == ["été", "ok"]
+    assert through(spark, ["naïve rates", "5 %", "x"], lambda c: X.has(c, r"(?i)\bÏVE|\d\s%$")) == [False, True, False]
+
+
 @QUICK
 @given(FUZZ)
 def test_openers_are_a_fixpoint(spark, texts):

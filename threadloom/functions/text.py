@@ -1,7 +1,8 @@
 """Regular expressions and string helpers with Python's semantics, as Spark columns.
 
-Java's ``\\s``, ``\\w`` and case folding are ASCII unless ``(?U)``/``(?iu)`` is set, ``$`` matches before a
-final line break, and ``trim`` strips blanks only; the helpers here allow for that.
+Java's ``\\s``, ``\\w``, ``\\d``, ``\\b`` and case folding are ASCII unless ``(?U)`` is set, ``.`` and ``$`` know more line ends than a
+line feed unless ``(?d)`` is set, and ``trim`` strips blanks only; the helpers here allow for that. Four control characters
+(U+001C to U+001F) are white space to Python alone, so ``SPACE`` names them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Before a Java pattern: its classes, boundaries, case folding and line ends are those of a Python pattern for text.
+UNICODE = "(?Ud)"
+SPACE = r"[\s\x1C-\x1F]"
+
+
 def any_of(*phrases: str) -> str:
     """Alternation of literal phrases, longest first."""
     return "|".join(sorted({re.escape(p).replace("\\ ", " ") for p in phrases}, key=lambda p: (-len(p), p)))
@@ -19,17 +25,17 @@ def any_of(*phrases: str) -> str:
 
 def strip(c: Column) -> Column:
     """White space off both ends, Unicode included."""
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
 
 
 def squeeze(c: Column) -> Column:
     """Runs of two or more white-space characters become one blank; ends are stripped."""
-    return strip(F.regexp_replace(c, r"(?U)\s{2,}", " "))
+    return strip(F.regexp_replace(c, rf"(?U){SPACE}{{2,}}", " "))
 
 
 def one_line(c: Column) -> Column:
     """Every run of white space becomes one blank; ends are stripped."""
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(c, rf"(?U){SPACE}+", " "))
 
 
 def sms_text(c: Column) -> Column:
@@ -38,13 +44,13 @@ def sms_text(c: Column) -> Column:
 
 
 def has(c: Column, pattern: str) -> Column:
-    """Whether a pattern occurs; null counts as the empty string."""
-    return F.coalesce(c, F.lit("")).rlike(pattern)
+    """Whether a Python pattern occurs; null counts as the empty string."""
+    return F.coalesce(c, F.lit("")).rlike(UNICODE + pattern)
 
 
 def sentence_count(c: Column) -> Column:
     """Parts between sentence marks followed by white space."""
-    return F.regexp_count(strip(c), F.lit(r"[.!?]\s+")) + 1
+    return F.regexp_count(strip(c), F.lit(rf"(?U)[.!?]{SPACE}+")) + 1
 
 
 def word_count(c: Column) -> Column:
@@ -53,7 +59,7 @@ def word_count(c: Column) -> Column:
 
 def first_word(c: Column) -> Column:
     """First word, lower case, without marks around it."""
-    return F.regexp_replace(F.lower(F.regexp_extract(c, r"(?U)\A\s*(\S+)", 1)), r"\A[.,!?]+|[.,!?]+\z", "")
+    return F.regexp_replace(F.lower(F.regexp_extract(c, rf"(?U)\A{SPACE}*([^\s\x1C-\x1F]+)", 1)), r"\A[.,!?]+|[.,!?]+\z", "")
 
 
 def quoted(c: Column) -> Column:

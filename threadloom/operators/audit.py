@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import COMPANY
 from ..functions.text import any_of, first_word, has, sentence_count, strip
 from .surrogates import ANY_TOKEN
 
@@ -17,18 +18,17 @@ HARSH = r"(?i)\b(?:" + any_of("denied", "disqualified", "failed", "rejected") +
 HELLO = r"(?i)^\s*(?:hello|hey|hi)\b"
 SCREEN = r"(?i)\b(?:appl(?:y|ication)|bankruptc|foreclosur|how do you plan (?:to |on )?us|investment property|late (?:mortgage )?payment|pre-?approv|primary residence|property)"
 ACKNOWLEDGE = r"(?i)^\s*(?:hey\s+\w+[!,]?\s+)?(?:" + any_of("absolutely", "alright", "awesome", "glad to hear", "good to hear", "good to know", "got it", "gotcha", "great", "i understand", "makes sense", "no worries", "of course", "ok so", "okay so", "perfect", "sounds good") + r")\b"
-COMPANY = "New American Funding"
 
 
-def message_reason(message: Column, confidence: Column, typed: Column | None = None) -> Column:
-    blank = message.isNull() | (strip(message) == "")
+def message_reason(message: Column, confidence: Column) -> Column:
+    """First broken rule of one message. prompts.recommendations gives null for a message that isn't a string."""
     return (
-        F.when(blank if typed is None else blank | ~typed, F.lit("empty suggested_message"))
+        F.when(message.isNull() | (strip(message) == ""), F.lit("empty suggested_message"))
         .when(~F.coalesce(confidence.isin("high", "medium", "low"), F.lit(False)), F.concat(F.lit("bad confidence '"), F.coalesce(confidence, F.lit("")), F.lit("'")))
         .when(F.length(message) > 400, F.lit("message too long"))
         .when(sentence_count(message) > 3, F.lit("more than 3 sentences"))
         .when(has(message, RATE), F.lit("mentions rate/APR/$ amount"))
-        .when(has(message, TOKEN), F.lit("contains a redaction placeholder token " + "(e.g. {NAME})"))
+        .when(has(message, TOKEN), F.lit("contains a redaction placeholder token (e.g. {NAME})"))
     )
 
 

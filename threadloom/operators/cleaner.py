@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import any_of, has, quoted, strip, word_count
+from ..functions.text import UNICODE, any_of, has, quoted, strip, word_count
 from .prompts import FIELDS, recommendations
 
 _KIN = "brother child dad daughter father husband mom mother partner sister son spouse wife".split()
@@ -56,16 +56,21 @@ QUESTIONS = {
 }
 
 
+def _lines(c: Column) -> Column:
+    return F.split(c, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]")
+
+
 def context_value(user: Column, label: str) -> Column:
     """A field's value from a rendered context: of several lines with its key the last; null without one."""
-    lines = F.filter(F.split(user, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"), lambda x: x.contains(":") & ~x.startswith("---") & ~x.startswith("SITUATION"))
+    lines = F.filter(_lines(user), lambda x: x.contains(":") & ~x.startswith("---") & ~x.startswith("SITUATION"))
     mine = F.filter(lines, lambda x: strip(F.substring_index(x, ":", 1)) == label)
     last = F.get(mine, F.size(mine) - 1)
     return strip(F.regexp_replace(last, r"(?s)\A[^:]*:", ""))
 
 
 def situation(user: Column) -> Column:
-    return F.regexp_extract(user, r"(?m)^SITUATION.*$", 0)
+    """The first line that begins with SITUATION, else ''."""
+    return F.coalesce(F.get(F.filter(_lines(user), lambda x: x.startswith("SITUATION")), F.lit(0)), F.lit(""))
 
 
 def pick3(seed: Column, pool: list[str]) -> Column:
@@ -90,12 +95,12 @@ def _name_steps(name: Column) -> list:
         (F.concat(F.lit(r"\s+"), q, F.lit(r"\s*([.!?])\s*\z")), "$1"),
     ]
     # Few messages hold the name; only those pay for a pattern of their own.
-    step = lambda p, r: lambda m: F.when(F.lower(m).contains(F.lower(name)), F.regexp_replace(m, p, F.lit(r))).otherwise(m)
+    step = lambda p, r: lambda m: F.when(F.lower(m).contains(F.lower(name)), F.regexp_replace(m, F.concat(F.lit(UNICODE), p), F.lit(r))).otherwise(m)
     return [step(p, r) for p, r in cuts]
 
 
 def drop_openers(c: Column) -> Column:
-    return F.regexp_replace(c, OPENERS, "")
+    return F.regexp_replace(c, UNICODE + OPENERS, "")
 
 
 def _marks(c: Column) -> Column:
@@ -142,7 +147,7 @@ def circle_back(message: Column, key: Column) -> Column:
 
 
 def clean(records: DataFrame, order: str, user: str = "user", reply: str = "reply", least_words: int = 3, cap: int = 3) -> DataFrame:
-    """The rows with ``outcome``, ``messages_out`` (three cleaned messages, where kept), ``circled`` and ``modified``."""
+    """The rows with ``outcome``, ``messages_out`` (three cleaned messages, where kept), ``circled``, ``relabelled`` and ``modified``."""
     u, texts = F.col(user), F.col("_texts")
     value = lambda name: F.coalesce(context_value(u, FIELDS[name]), F.lit(""))
     df = records.withColumns({"_recs": recommendations(F.col(reply)), "_latest": value("latest"), "_name": value("client"), "_key": value("next_key"), "_first": F.lower(value("is_first")).isin("yes", "true"), "_sit": F.lower(situation(u))})
@@ -165,6 +170,7 @@ def clean(records: DataFrame, order: str, user: str = "user", reply: str = "repl
     late = F.when(F.exists("_new", lambda m: word_count(m) < least_words), "degenerate_after_strip").when(F.size(F.array_distinct("_out")) < 3, "collapsed_duplicates").otherwise("kept")
     df = df.withColumn("outcome", F.coalesce("_early", late)).withColumn("messages_out", F.when(F.col("outcome").isin("kept", "relabelled"), F.col("_out")))
     df = df.withColumn("modified", F.col("messages_out").isNotNull() & ~F.coalesce(F.col("messages_out") == F.col("_texts"), F.lit(False)))
+    df = df.withColumn("relabelled", F.coalesce(F.col("_early") == "relabelled", F.lit(False)))
     # Rows that don't go on are spread by their order column, so that null messages form no hot key.
     spread = F.when(F.col("messages_out").isNull(), F.col(order))
     rank = F.row_number().over(W.partitionBy(user, "messages_out", spread).orderBy(order))
@@ -182,18 +188,22 @@ def report(cleaned: DataFrame) -> DataFrame:
     o = F.col("outcome")
     routed = ("grief_mixed_logistics", "spec_sensitive", "guardrail_humanity", "degenerate_after_strip", "collapsed_duplicates")
     metrics = {"total": F.count("*"), "unparsable_dropped": F.count_if(o == "unparsable"), "records_modified": F.count_if("modified"), "circle_back_added": F.count_if("circled"), "dup_capped": F.count_if(o == "dup_capped"), "kept": F.count_if(o.isin("kept", "relabelled")), "routed_to_regen": F.count_if(o.isin(*routed))}
+    metrics["grief_relabeled"] = F.count_if("relabelled")
     metrics |= {name: F.count_if(o == name) for name in routed}
     row = cleaned.agg(*[c.cast("long").alias(k) for k, c in metrics.items()])
     return row.unpivot([], list(metrics), "metric", "value")
 
 
 def quality(records: DataFrame, texts: str, name: str, is_first: str) -> DataFrame:
-    """One row: records, suggestions, and how many hold fillers, artifacts, names or greetings (the latter two among records that aren't first)."""
+    """One row: records, suggestions, and how many hold fillers, artifacts, names or greetings (the latter two among records that aren't first);
+    and the rates of fillers a suggestion, of names and greetings a record that isn't first (0 where there is none)."""
     t, n = F.col(texts), F.lower(F.coalesce(F.col(name), F.lit("")))
     count = lambda p: F.size(F.filter(t, lambda m: p(m)))
     rest = ~F.coalesce(F.lower(F.col(is_first)).isin("yes", "true"), F.lit(False))
     named = (n != "") & (n != "n/a") & F.exists(t, lambda m: F.lower(m).contains(n))
-    return records.agg(
-        F.count("*").alias("records"), F.sum(F.size(t)).alias("suggestions"), F.sum(count(lambda m: has(m, FILLER))).alias("fillers"), F.sum(count(lambda m: has(m, r"\A[\s.,;:!?]") | m.contains("  "))).alias("artifacts"),
+    counts = records.agg(
+        F.count("*").alias("records"), F.coalesce(F.sum(F.size(t)), F.lit(0)).alias("suggestions"), F.coalesce(F.sum(count(lambda m: has(m, FILLER))), F.lit(0)).alias("fillers"), F.coalesce(F.sum(count(lambda m: has(m, r"\A[\s.,;:!?]") | m.contains("  "))), F.lit(0)).alias("artifacts"),
         F.count_if(rest).alias("not_first"), F.count_if(rest & named).alias("named"), F.count_if(rest & F.exists(t, lambda m: has(m, GREETING))).alias("greeted"),
     )
+    rate = lambda part, of: F.col(part) / F.greatest(F.col(of), F.lit(1))
+    return counts.withColumns({"filler_rate": rate("fillers", "suggestions"), "name_rate": rate("named", "not_first"), "greeting_rate": rate("greeted", "not_first")})

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import any_of, has, one_line, sms_text, strip
+from ..functions.text import UNICODE, any_of, has, one_line, sms_text, strip
 
 SMS_NOISE = r"(?i)^\s*(?:this is an automated|msg\s*&?\s*data rates|reply stop|unsubscribe)"
 SIGNATURE = r"(?i)^\s*(?:thanks[!,]*\s*)?[–—-]\s*\w+\s*$"
@@ -36,7 +36,7 @@ def clean_sms(turns: DataFrame, text: str = "text", role: str = "role") -> DataF
 def parse_call_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """role and text of stamped transcript lines, without notices and bare nods."""
     trimmed = strip(F.col(line))
-    out = lines.withColumns({"role": call_role(F.regexp_extract(trimmed, CALL_LINE, 1)), "text": one_line(F.regexp_extract(trimmed, CALL_LINE, 2))})
+    out = lines.withColumns({"role": call_role(F.regexp_extract(trimmed, UNICODE + CALL_LINE, 1)), "text": one_line(F.regexp_extract(trimmed, UNICODE + CALL_LINE, 2))})
     return out.where(F.col("role").isNotNull() & (F.col("text") != "") & ~has(F.col("text"), CALL_NOISE) & ~F.lower("text").isin(*NODS)).drop(line)
 
 

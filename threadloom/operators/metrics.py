@@ -21,9 +21,17 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
 
 
 def loss_summary(log: DataFrame) -> DataFrame:
-    """One row from a log of step, loss, eval_loss, learning_rate: first and last loss, last evaluation, highest rate."""
+    """One row from a log (sources.files.read_trainer_log): epochs (two digits) and global steps; first and last loss, last evaluation, highest
+    rate; of the last final entry the runtime ("1h 2m 3s") and samples and steps a second. What the log lacks is null."""
     step = lambda c: F.when(F.col(c).isNotNull(), F.col("step"))
-    return log.agg(F.min_by("loss", step("loss")).alias("first_loss"), F.max_by("loss", step("loss")).alias("last_loss"), F.max_by("eval_loss", step("eval_loss")).alias("last_eval"), F.max("learning_rate").alias("max_rate"))
+    last = lambda c: F.max_by(c, F.when(F.col("train_runtime").isNotNull(), F.col("step")))
+    s = F.col("_s").cast("long")
+    out = log.agg(
+        F.round(F.max("epoch"), 2).alias("epochs"), F.max("global_step").alias("global_steps"), F.min_by("loss", step("loss")).alias("first_loss"), F.max_by("loss", step("loss")).alias("last_loss"),
+        F.max_by("eval_loss", step("eval_loss")).alias("last_eval"), F.max("learning_rate").alias("max_rate"), last("train_runtime").alias("_s"),
+        last("train_samples_per_second").alias("samples_per_second"), last("train_steps_per_second").alias("steps_per_second"),
+    )
+    return out.withColumn("runtime", F.format_string("%dh %dm %ds", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)).withColumn("runtime", F.when(F.col("_s").isNotNull(), F.col("runtime"))).drop("_s")
 
 
 def sparkline(values: list[float], width: int = 60) -> str:

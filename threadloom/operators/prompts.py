@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -84,9 +84,23 @@ def json_object(c: Column) -> Column:
 
 
 def recommendations(c: Column) -> Column:
-    """The recommendations of a JSON text, null unless it is an object with a list of objects."""
-    listed = F.try_variant_get(F.try_parse_json(c), "$.recommendations", "array<variant>")
-    return F.when(listed.isNotNull() & c.rlike(r"\A\s*\{") & c.rlike(r"(?s)\}\s*\z"), F.from_json(c, f"recommendations {RECS}")["recommendations"])
+    """The recommendations of a JSON text, null unless it is an object with a list of them. A message or confidence that isn't a
+    string is null, as is all of an element that isn't an object."""
+    return F.transform(_listed(_object(c)), lambda r: F.struct(*[_string(r, k).alias(k) for k in ("suggested_message", "confidence")]))
+
+
+def _object(c: Column) -> Column:
+    """A JSON text as a variant, null unless it is one object and nothing else."""
+    return F.when(c.rlike(r"\A\s*\{") & c.rlike(r"(?s)\}\s*\z"), F.try_parse_json(c))
+
+
+def _listed(parsed: Column) -> Column:
+    return F.try_variant_get(parsed, "$.recommendations", "array<variant>")
+
+
+def _string(v: Column, key: str) -> Column:
+    value = F.try_variant_get(v, f"$.{key}", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(v, f"$.{key}", "string"))
 
 
 def _recs(*pairs: tuple[Column, str]) -> Column:
@@ -109,27 +123,64 @@ def dry_label(tasks: DataFrame) -> DataFrame:
     return tasks.withColumns({"kind": kind, "recommendations": F.when(kind == "situation", situation).otherwise(other), "latest": F.when(kind == "convo", said).otherwise(F.col("latest"))})
 
 
-def labelled(tasks: DataFrame, prompt: Column, call: Callable[[list[str]], list[str | None]], key: str = "id") -> DataFrame:
-    """Recommendations from an injected model: ``call`` answers a batch of prompts, null for a failure. Columns: key, raw, recommendations, error."""
-
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            try:
-                f["raw"], f["error"] = call(f["prompt"].tolist()), None
-            except Exception as e:  # a failed batch is data, not a failed job
-                f["raw"], f["error"] = None, f"{type(e).__name__}: {e}"
-            yield f[[key, "raw", "error"]]
-
-    kind = tasks.schema[key].dataType.simpleString()
-    raw = tasks.select(key, prompt.alias("prompt")).mapInPandas(ask, f"{key} {kind}, raw string, error string")
-    return raw.withColumn("recommendations", recommendations(json_object(F.col("raw"))))
-
-
-def evaluation_rows(answers: DataFrame) -> DataFrame:
-    """A flat row for each answered task: ok, n_suggestions, suggestion_1..3, confidence_1..3; empty strings where missing."""
-    size = F.coalesce(F.size("recommendations"), F.lit(0))
-    flat = {"ok": F.col("recommendations").isNotNull().cast("int"), "n_suggestions": F.greatest(size, F.lit(0))}
-    for i in range(3):
-        item = F.get("recommendations", F.lit(i))
-        flat |= {f"suggestion_{i + 1}": F.coalesce(item["suggested_message"], F.lit("")), f"confidence_{i + 1}": F.coalesce(item["confidence"], F.lit(""))}
-    return answers.withColumns(flat).drop("recommendations")
+def labelled(tasks: DataFrame, prompt: Column, call: Callable[[list[str]], list[str | None]]) -> DataFrame:
+    """The tasks with ``raw``, ``error`` and ``recommendations`` from an injected model: ``call`` answers a batch of prompts, null for a failure.
+    If a batch fails, its prompts are asked one by one, so that only those that fail have an error."""
+
+    def one(prompt: str) -> tuple[str | None, str | None]:
+        try:
+            return call([prompt])[0], None
+        except Exception as e:  # a failed call is data, not a failed job
+            return None, f"{type(e).__name__}: {e}"
+
+    def ask(prompts: pd.Series) -> pd.DataFrame:
+        asked = prompts.tolist()
+        try:
+            rows = [(raw, None) for raw in call(asked)]
+            if len(rows) != len(asked):
+                raise ValueError("not an answer for every prompt")
+        except Exception:
+            rows = [one(p) for p in asked]
+        return pd.DataFrame(rows, columns=["raw", "error"], dtype=object)
+
+    answered = tasks.withColumn("_answer", F.pandas_udf(ask, "raw string, error string").asNondeterministic()(prompt))
+    out = answered.withColumns({"raw": F.col("_answer.raw"), "error": F.col("_answer.error")}).drop("_answer")
+    return out.withColumn("recommendations", recommendations(json_object(F.col("raw"))))
+
+
+def assembled(answers: DataFrame) -> DataFrame:
+    """Labelled records from answered tasks: the eight context fields, recommendations, directive and mode (of situations only) and meta
+    (source, file, kind, case). Situations and scenarios keep their task's context; that of conversations is the answer's, except that
+    the names of agent and client are the task's. Columns that tasks lack may be missing; what nothing gives is null."""
+    text = lambda c, otherwise=None: F.coalesce(F.col(f"`{c}`").cast("string") if c in answers.columns else F.lit(None).cast("string"), F.lit(otherwise).cast("string"))
+    kind = text("kind", "convo")
+    convo = ~kind.isin("scenario", "situation")
+    context = F.from_json(json_object(F.col("raw")), "context map<string,string>")["context"]
+    given = {name: F.try_element_at(context, F.lit(label)) for name, label in FIELDS.items()}
+    given |= {"agent": text("agent_name", "Alex"), "client": text("client_name", "there")}
+    fields = {name: F.when(convo, given[name]).otherwise(text(name)) for name in FIELDS}
+    rest = {c: F.when(kind == "situation", text(c)) for c in ("directive", "mode")}
+    meta = F.struct(text("source", "scenario").alias("source"), text("file").alias("file"), kind.alias("kind"), text("case").alias("case"))
+    return answers.select(*[c.alias(k) for k, c in fields.items()], "recommendations", *[c.alias(k) for k, c in rest.items()], meta.alias("meta"))
+
+
+def evaluation_rows(answers: DataFrame, idx: str = "id") -> DataFrame:
+    """A flat row of 21 columns for each answered task, in the order of the model test's table; empty strings where something is missing.
+    ok is 1 where the answer holds a JSON object. An answer without one, recommendations that are no list, and an
+    element that is no object give an ``error``; the suggestions before such an element are kept."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in answers.columns else F.lit("")
+    names = {"kind": "kind", "case": "case", "stage": "stage", "next_key": "next_key", "answers_collected": "answers", "ineligibility_reason": "reason", "client_latest": "latest", "is_first": "is_first", "agent": "agent", "client": "client"}
+    parsed = _object(json_object(F.col("raw")))
+    any_ = F.try_variant_get(parsed, "$.recommendations", "variant")
+    listed = F.when(any_.isNull(), F.array().cast("array<variant>")).otherwise(_listed(parsed))
+    is_object = lambda r: F.schema_of_variant(r).startswith("OBJECT")
+    found = answers.withColumns({"_ok": parsed.isNotNull(), "_recs": F.when(parsed.isNotNull(), listed)})
+    first_bad = F.coalesce(F.array_position(F.transform(F.slice("_recs", 1, 3), lambda r: F.coalesce(is_object(r), F.lit(False))), False), F.lit(0))
+    found = found.withColumn("_bad", first_bad)
+    problem = F.when(F.col("error").isNotNull(), F.col("error")).when(~F.col("_ok"), F.lit("no JSON object in the answer")).when(F.col("_recs").isNull(), F.lit("recommendations is not a list")).when(F.col("_bad") > 0, F.lit("a recommendation is not an object"))
+    flat = {"ok": F.col("_ok").cast("int"), "n_suggestions": F.greatest(F.coalesce(F.size("_recs"), F.lit(0)), F.lit(0))}
+    for k in range(3):
+        here = (F.col("_bad") == 0) | (F.col("_bad") > k + 1)
+        value = lambda key, k=k, here=here: F.coalesce(F.when(here, F.try_variant_get(F.get("_recs", F.lit(k)), f"$.{key}", "string")), F.lit(""))
+        flat |= {f"suggestion_{k + 1}": value("suggested_message"), f"confidence_{k + 1}": value("confidence")}
+    return found.select(F.col(idx).alias("idx"), *[text(c).alias(k) for k, c in names.items()], *[c.alias(k) for k, c in flat.items()], F.coalesce("raw", F.lit("")).alias("raw_response"), F.coalesce(problem, F.lit("")).alias("error"))

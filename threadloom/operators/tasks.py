@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..config import COMPANY
 from ..functions.text import has
 
-TOPIC = (
-    r"(?i)\b(?:home (?:loan|equity)|mortgage|loan (?:amount|officer)|refinanc|\brefi\b|interest rate|pre-?approv|escrow|closing cost|"
-    r"down payment|underwrit|credit score|appraisal|(?:buy|purchase) a home|new american funding)\b"
-)
+
+def topic(company: str = COMPANY) -> str:
+    """Pattern of home lending, and the company's name."""
+    return (
+        r"(?i)\b(?:home (?:loan|equity)|mortgage|loan (?:amount|officer)|refinanc|\brefi\b|interest rate|pre-?approv|escrow|closing cost|"
+        r"down payment|underwrit|credit score|appraisal|(?:buy|purchase) a home|" + company.lower() + r")\b"
+    )
+
+
+TOPIC = topic()
 #: Its stems also match inflected forms, which the trailing word boundary above rules out.
 TOPIC_STEMS = TOPIC.replace("refinanc|", r"refinanc\w*|").replace("pre-?approv|", r"pre-?approv\w*|").replace("underwrit|", r"underwrit\w*|")
 
@@ -40,8 +47,10 @@ def candidates(turns: DataFrame, key: str = "conv_id") -> DataFrame:
 
 def with_history(tasks: DataFrame, folded: DataFrame, last: int | None = None, key: str = "conv_id") -> DataFrame:
     """The turns before each task (its last ``last`` ones), from conversations folded to arrays."""
-    out = tasks.join(folded, key).withColumn("history", F.slice("turns", F.lit(1), F.col("turn_idx"))).drop("turns")
-    return out if last is None else out.withColumn("history", F.when(F.size("history") > last, F.slice("history", -last, last)).otherwise(F.col("history")))
+    start, n = F.lit(1), F.col("turn_idx")
+    if last is not None:  # only what is wanted is copied, not every prefix
+        start, n = F.greatest(F.lit(1), n - last + 1), F.least(n, F.lit(last))
+    return tasks.join(folded, key).withColumn("history", F.slice("turns", start, n)).drop("turns")
 
 
 def head_and_sample(tasks: DataFrame, most: int, seed: int = 0, key: str = "conv_id") -> DataFrame:
@@ -56,9 +65,9 @@ def head_and_sample(tasks: DataFrame, most: int, seed: int = 0, key: str = "conv
 
 def on_topic(turns: DataFrame, pattern: str = TOPIC, key: str = "conv_id") -> DataFrame:
     """Turns of conversations whose joined text mentions the topic."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ")
-    good = turns.groupBy(key).agg(text.alias("_all")).where(has(F.col("_all"), pattern)).select(key)
-    return turns.join(good, key, "left_semi")
+    whole = W.partitionBy(key).orderBy("turn").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    text = F.array_join(F.collect_list("text").over(whole), " ")
+    return turns.withColumn("_all", text).where(has(F.col("_all"), pattern)).drop("_all")
 
 
 def intent(c: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import COMPANY
+
 #: latest, mode, stage, is_first, client, next_key, directive, (message, confidence) x 3
 _A = ("Shall we look at the figures together this week?", "Which town are you hoping to move to?", "Tell me a bit about your plans for the place.")
 
@@ -32,8 +34,8 @@ ROWS: list[tuple] = [
     _row(s=("Well, one thing here", "well! another thing here", "Well another one here")),
     _row(s=("Got it, so when would you move?", "Perfect, so where would you move?", _A[2])),
     _row(stage="ineligible", s=_with("The file was rejected for the moment")),
-    _row(latest="Hey there", first="yes", s=_with("Hi Grace, New American Funding here, how are you?")),
-    _row(latest="hello", first="yes", s=tuple(f"{x} I am with New American Funding" for x in ("Hi Grace!", "Good day!", "Nice to meet you."))),
+    _row(latest="Hey there", first="yes", s=_with(f"Hi Grace, {COMPANY} here, how are you?")),
+    _row(latest="hello", first="yes", s=tuple(f"{x} I am with {COMPANY}" for x in ("Hi Grace!", "Good day!", "Nice to meet you."))),
     _row(latest="I just lost my wife", mode="empathy", s=_with("How do you plan to use the property?")),
     _row(latest="stop", mode="stop", directive="SITUATION: the client asked to stop.", s=("Understood, take care now", "All right, bye for now", "Do you mean it?")),
     _row(latest="i'm driving right now", mode="logistics", s=_with("You can send the application later on", 2)),
@@ -48,6 +50,7 @@ ROWS: list[tuple] = [
     _row(raw="not json"),
     _row(raw='{"recommendations": [{"suggested_message": "just one here", "confidence": "high"}]}'),
     _row(raw='{"recommendations": "none"}'),
+    _row(s=_with("One.\u00a0Two!\u2003Three?\u00a0Four.", 2)),
     _row(client="N/A", s=_with("Hey N/A, where are you now?")),
     _row(latest="going with another lender", mode="other_lender", s=_with("Fair enough  , a second look may help ?")),
 ]
@@ -60,9 +63,20 @@ SAID = [
     "we want to refinance the home", "the interest rate matters most", "ok", "see www or https://a.example/x?y=1 for it", "mail me at ann.b+c@mail.example.org today", "call +1 (555) 123-4567 or 555 010 9999", "we paid $ 412,500.50 for it", "it is 12 N. Oakwood near the park", "stopped by the bank earlier",
 ]
 #: Texts of SMS threads and lines of transcripts with noise.
-SMS = ["  Reply STOP to end", "Msg & data rates may apply", "- Anna", "Thanks, - bob", "this is an automated note", "well   this\tis fine", "- two words stay", "unsubscribed people stay too", "so\rlong", "fine"]
+SMS = ["  Reply STOP to end", "Msg & data rates may apply", "- Anna", "Thanks, - bob", "this is an automated note", "well   this\tis fine", "- two words stay", "unsubscribed people stay too", "so\rlong", "fine", "- José", "thanks, — Zoë", "– René", "- José left"]
 LINES = ["yeah", "Okay.", "Thank you for calling us", "press 1 now", "mm hmm", "we  want   a house", "this call may be monitored", "OK", "right", "sure thing then"]
 SPEAKERS = ["Agent", "Customer", "Internal", "External", "Agent 1", "CLIENT", "Robot"]
+#: Raw answers of a model: types, lengths, fences, elements that are no objects.
+_SAY = '{"suggested_message": "%s", "confidence": "%s"}'
+_THREE = [_SAY % (m, c) for m, c in (("Which street is it on?", "high"), ("When would you move?", "low"), ("Shall we talk on Sunday?", "medium"))]
+RAWS = [
+    '{"recommendations": [%s]}' % ", ".join(_THREE), "```json\n{\"recommendations\": [%s]}\n```" % ", ".join(_THREE), '{"recommendations": [{"suggested_message": 5, "confidence": "high"}, %s]}' % ", ".join(_THREE[1:]),
+    '{"recommendations": [%s, {"suggested_message": true, "confidence": "low"}]}' % ", ".join(_THREE[:2]), '{"recommendations": [%s, 7]}' % ", ".join(_THREE[:2]), '{"recommendations": [%s]}' % _THREE[0],
+    '{"recommendations": "none"}', "{}", "no object", '{"recommendations": [{"suggested_message": "When?", "confidence": 3}, %s]}' % ", ".join(_THREE[1:]), '{"recommendations": [{"confidence": "low"}, %s]}' % ", ".join(_THREE[1:]),
+]
+#: Texts with one name at most, and names that redaction knows.
+NAMED = ["Hey Anna, are you there", "thank you Tom Reed for that", "hello there", "this is Vera Lind calling", "I'm Otto Karl Braun", "see you then - Bob", "all fine — Eva Holm ", "we saw James today", "the grace period is over", "Grace called", "JAMES called", "dear  Zoe"]
+KNOWN = ["james", "grace"]
 RESIDUE = ["no token", "hi {NAME} here", "{not a token}", "{NAME_1} slips by", "{MONEY}", "{A}"]
 
 
