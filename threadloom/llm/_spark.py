@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Rows of narrow keys that may be broadcast (about 16 bytes each); beyond it both sides are shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of narrow rows (counted at ROW_BYTES and COLUMN_BYTES a column, as hashed relations measure) that may be broadcast; beyond it both
+#: sides are shuffled.
+BROADCAST_BYTES, ROW_BYTES, COLUMN_BYTES = 64_000_000, 32, 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -63,10 +64,14 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return by_key(docs.withColumn(name, row_key()), gone.toDF(name), name, "left_anti").drop(name)
 
 
+def small_enough(rows: int, columns: int) -> bool:
+    return rows * (ROW_BYTES + COLUMN_BYTES * columns) <= BROADCAST_BYTES
+
+
 def by_key(df: DataFrame, small: DataFrame, on: list[str] | str, how: str) -> DataFrame:
     """Join a large table to a narrow one (already durable, so counting is cheap):
-    broadcast within BROADCAST_ROWS, shuffled beyond."""
-    few = small.count() <= BROADCAST_ROWS
+    broadcast within BROADCAST_BYTES, shuffled beyond."""
+    few = small_enough(small.count(), len(small.columns))
     return df.join(F.broadcast(small) if few else small, on, how)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import _text as T
-from ._spark import BROADCAST_ROWS, only
+from ._spark import only, small_enough
 
 K, GAP, COVER = 3, 3, 0.65
 
@@ -67,7 +67,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     docs = only(docs, doc_id="long", text="string").where("doc_id is not null")
     grams = docs.mapInArrow(T.per_slice(_rolling), "doc_id long, tie long, grams array<long>")
     grams = grams.select("doc_id", "tie", F.posexplode("grams").alias("p", "gram"))
-    votes = grams.join(F.broadcast(places) if len(rows) <= BROADCAST_ROWS else places, "gram").select("doc_id", "tie", "license", "size", "p", "t", (F.col("p") - F.col("t")).alias("diagonal"))
+    votes = grams.join(F.broadcast(places) if small_enough(len(rows), 4) else places, "gram").select("doc_id", "tie", "license", "size", "p", "t", (F.col("p") - F.col("t")).alias("diagonal"))
     diagonals = votes.groupBy("doc_id", "tie", "license", "size", "diagonal").agg(F.min("p").alias("p0"), F.max("p").alias("p1"), F.collect_set("t").alias("ts"))
     order = W.partitionBy("doc_id", "tie", "license", "size").orderBy("diagonal")
     apart = F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= GAP, 0).otherwise(1)
