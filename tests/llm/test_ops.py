@@ -162,6 +162,20 @@ def test_licenses(spark):
     assert licenses.scan(awkward(spark)).count() == 0 and licenses.scan(empty(spark)).count() == 0
 
 
+def test_licenses_awkward(spark):
+    """A found license in repeated rows, a null doc_id, one doc_id with two texts, a very long text, clashing columns; relatives of a license."""
+    one = "x y z " + licenses.TEMPLATES["cc0-1.0"]
+    rows = [(1, one), (1, one), (None, one), (1, "q " + licenses.TEMPLATES["zlib"]), (2, LONG + one + " " + LONG + one), (3, licenses.TEMPLATES["agpl"]), (4, licenses.TEMPLATES["lgpl"]), (5, licenses.TEMPLATES["gpl"]), (6, licenses.TEMPLATES["isc"])]
+    got = licenses.scan(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, p int, license string")).collect()
+    n = len(LONG.split())
+    size = len(licenses.TEMPLATES["cc0-1.0"].split())
+    want = [(1, "cc0-1.0", 3), (1, "zlib", 1), (2, "cc0-1.0", n + 3), (2, "cc0-1.0", 2 * n + 6 + size), (3, "agpl", 0), (4, "lgpl", 0), (5, "gpl", 0), (6, "isc", 0)]
+    assert sorted((r["doc_id"], r["license"], r["first_word"]) for r in got) == want
+    for name, text in licenses.TEMPLATES.items():  # every template is known by itself
+        found = licenses.scan(spark.createDataFrame([(1, f"some words before {text} and after")], "doc_id long, text string")).collect() if name in ("mit", "bsd-clauses", "0bsd") else []
+        assert all(r["license"] == name for r in found) and (len(found) == 1 or not found)
+
+
 # ---- 3 language ----------------------------------------------------------------------------
 
 
@@ -185,6 +199,23 @@ def test_language_kernel_is_ngram_overlap():
         assert bits[a] @ bits[b] == len(grams(texts[a]) & grams(texts[b]))
 
 
+def test_language_scores_by_hand(docs):
+    """Scores against sums over n-grams held in common, and weights against the normal equations written out."""
+    rows = [(r["text"], r["lang"]) for r in docs.where("length(text) between 40 and 400").orderBy("doc_id").limit(60).collect()]
+    model = language.fit(pa.array([t for t, _ in rows]), [x for _, x in rows])
+    held = [set(np.flatnonzero(b).tolist()) for b in language.presence(pa.array([t for t, _ in rows]))]
+    each = max(1, language.LANDMARKS // len(model.languages))
+    marks = [k for x in model.languages for k in [n for n, (_, y) in enumerate(rows) if y == x][:each]]
+    kernel = lambda a, b: len(held[a] & held[b]) / np.sqrt(len(held[a]) * len(held[b]))
+    outer, inner = (np.array([[kernel(a, b) for b in marks] for a in some]) for some in (range(len(rows)), marks))
+    for k, lang in enumerate(model.languages):
+        y = np.array([1.0 if x == lang else -1.0 for _, x in rows])
+        c = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y < 0).mean())
+        w = np.linalg.solve((outer * c[:, None]).T @ outer + language.RIDGE * len(rows) * inner + 1e-8 * np.eye(len(marks)), outer.T @ (c * y))
+        got = model.scores(language.presence(pa.array([t for t, _ in rows])))[:, k]
+        assert np.allclose(got, outer @ w, atol=2e-2)
+
+
 def test_language_awkward(spark):
     got = language.identify(awkward(spark)).collect()
     assert len(got) == 12 and all((r["predicted"] is None) == (r["doc_id"] in (3, 4, 6, 7) or (r["doc_id"] is None and r["lang"] is None)) for r in got)
@@ -225,7 +256,9 @@ def test_token_output(spark, docs):
         assert token_output.decode(r["codes"]).tolist() == enc.encode_ordinary(text[r["doc_id"]]) and counts[r["doc_id"]] == r["n_tokens"]
     odd = token_output.token_output(awkward(spark)).collect()
     assert len(odd) == 12 and {r["n_tokens"] for r in odd if r["doc_id"] in (3, 4)} == {0}
-    assert token_output.token_counts(empty(spark)).count() == 0
+    assert token_output.token_counts(empty(spark)).count() == 0 and token_output.token_output(empty(spark)).count() == 0
+    want = sorted((r["doc_id"] or 0, len(enc.encode_ordinary(r["text"] or ""))) for r in awkward(spark).collect())
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in token_output.token_counts(awkward(spark)).collect()) == want
 
 
 # ---- 5 decontamination ---------------------------------------------------------------------
@@ -314,6 +347,43 @@ def test_toxicity_held_out_accuracy():
     assert np.mean((p > limit) == np.array([r[3] for r in test])) > 0.98
 
 
+@pytest.mark.parametrize("informed", [True, False])
+def test_toxicity_score_by_direct_convolution(informed):
+    """Table look-ups and shifted sums against every filter laid over every place of every text."""
+    train = made_up(300, 4)
+    model = toxicity.fit(pa.array([r[1] for r in train]), np.array([r[3] for r in train]), [r[2] for r in train], informed=informed)
+    texts = [r[1] for r in made_up(40, 5)] + ["vile", "unseen words only", "!!", "", None, "Rotten? filthy; " * 30]
+    got = toxicity.score(model, pa.array(texts, pa.string()))
+    rows = {int(h): k + 1 for k, h in enumerate(model.known)}
+    for text, p in zip(texts, got, strict=True):
+        words = [w for w in ("".join(ch for ch in w if ch.isalnum()) for w in (text or "").lower().split()) if w]
+        vectors = [sum(model.embedding[rows.get(int(T.hash_strings(pa.array([x]))[0]), 0)] for x in ([w, "^" + w[: toxicity.PREFIX]] if len(w) > toxicity.PREFIX else [w])) for w in words]
+        vectors += [np.zeros(toxicity.DIM)] * toxicity.PAD
+        pooled = []
+        for width, filters in model.filters.items():
+            for f in range(toxicity.FILTERS):
+                pooled.append(max((sum(vectors[at + j] @ filters[j][:, f] for j in range(width) if at + j < len(vectors)) for at in range(len(vectors))), default=0.0))
+        z = np.maximum(np.array(pooled) + model.bias, 0) @ model.out + model.out_bias
+        assert np.isclose(p, 1 / (1 + np.exp(-z)) if words else 0.0, atol=1e-4)
+
+
+def test_thresholds_move_with_the_rows_of_a_language():
+    """No number of toxic rows switches a language's own threshold on; without any it leans on the others."""
+    rng = np.random.default_rng(0)
+    p, y, langs = [], [], []
+    for lang, n, cut in (("en", 400, 0.3), ("de", 30, 0.7), ("fr", 0, 0.0)):
+        for k in range(2 * n):
+            toxic = k % 2
+            p.append(rng.uniform(cut, 1) if toxic else rng.uniform(0, cut))
+            y.append(toxic)
+            langs.append(lang)
+    p, y, langs = [*p, 0.31, 0.9], [*y, 0, 0], [*langs, "fr", None]
+    got = toxicity.calibrate(np.array(p), np.array(y), langs)
+    assert abs(got[None] - 0.3) < 0.1 and abs(got["en"] - 0.3) < 0.05 and abs(got["de"] - 0.7) < 0.1 and got["fr"] > 0.3
+    few = [toxicity.calibrate(np.array(p[:800] + p[800 : 800 + 2 * n]), np.array(y[:800] + y[800 : 800 + 2 * n]), langs[: 800 + 2 * n])["de"] for n in (1, 5, 14, 15, 30)]
+    assert all(b >= a - 0.05 for a, b in zip(few[:-1], few[1:], strict=True)) and few[0] < 0.5 < few[-1] and abs(few[2] - few[3]) < 0.15
+
+
 def test_toxicity_awkward(spark):
     labels = spark.createDataFrame([(r[0] + 100, r[3], None) for r in made_up(300, 3)] + [(None, 1, 1), (1, None, 0), (9999, 1, 1)], "doc_id long, toxic int, quality int")
     text = spark.createDataFrame([(r[0] + 100, r[1], r[2], "s", None, "x", 1, 2, 3) for r in made_up(300, 3)], SCHEMA)
@@ -461,6 +531,9 @@ def test_mixing_awkward(spark):
     out = mixing.mixed(awkward(spark))
     assert out.columns == awkward(spark).columns and out.distinct().count() == awkward(spark).distinct().count()
     assert mixing.curriculum(empty(spark)).count() == 0
+    rows = mixing.curriculum(awkward(spark)).collect()
+    assert sorted({(r["doc_id"] or 0, r["source"], r["tokens"]) for r in rows}) == sorted({(r["doc_id"] or 0, r["source"] or "", len((r["text"] or "").replace("\u3000", "x").split())) for r in awkward(spark).collect()})
+    assert [r["position"] for r in rows] == sorted(r["position"] for r in rows) and sum(r["doc_id"] == 1 and r["copy"] == 0 for r in rows) == 2
     blank = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert {(r["doc_id"], r["copy"], r["tokens"]) for r in mixing.curriculum(blank).collect()} == {(1, 0, 0), (2, 0, 0)}
 

@@ -11,7 +11,8 @@ values against all landmarks are one matrix product for a batch, and so are the
 Defined results. Null or empty text, or one without letters: language null, margin 0. Rows without a
 label aren't trained on, but are classified like any row. A table with fewer than two languages gives
 that language (or null) for every text with letters. Ties go to the language first in order.
-Repeated rows get equal results; null doc_ids are kept.
+Repeated rows get equal results; null doc_ids are kept. Very long texts are read whole, but presence counts an n-gram once, however
+often it comes. Other columns may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -4,11 +4,14 @@ All rolling word k-grams of every text are joined in Spark to the positions wher
 same k-gram. A match votes for its diagonal (position in the text less position in the
 template). Diagonals of one template at most ``GAP`` apart merge, so that a few inserted or missing
 words don't split a license. A merged span is verified by the share of the template's words that its
-k-grams cover: at least ``COVER``.
+k-grams cover: at least ``COVER``. Of verified spans that begin inside or hold the beginning of one another the one with the greater coverage counts (an
+Affero notice isn't a General Public one), of equal ones the longer template, then the first by name.
+
+``TEMPLATES`` holds notices and the telling clauses of the common licenses, not their full texts: one of them is enough to know a license by.
 
 Defined results. Null or empty text, or of fewer than K words: no license. Rows with equal doc_id and
-text count once; null doc_ids are left out. A license repeated far apart in a text gives a row each time, one
-repeated within GAP words a single row. Templates of fewer than K words are left out. An empty table gives
+text count once; null doc_ids are left out. Very long texts are scanned whole. A license repeated far apart in a text gives a row each time, one
+repeated within GAP words a single row. Templates of fewer than K words are left out. Other columns may have any name. An empty table gives
 an empty result.
 """
 
@@ -39,6 +42,22 @@ TEMPLATES: dict[str, str] = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "mit-warranty": "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY",
+    "bsd-clauses": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-warranty": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
+    "apache-2.0-header": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software",
+    "zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "postgresql": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted",
+    "wtfpl": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "cc-by-nc-sa-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
@@ -75,7 +94,16 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     spans = spans.groupBy("doc_id", "tie", "license", "size", "span").agg(F.min("p0").alias("p0"), F.max("p1").alias("p1"), F.array_distinct(F.flatten(F.collect_list("ts"))).alias("ts"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("ts", lambda t: F.sequence(t, t + K - 1)))))
     spans = spans.withColumn("coverage", F.round(covered / F.col("size"), 4)).where(F.col("coverage") >= COVER)
-    return spans.select("doc_id", "license", F.col("p0").alias("first_word"), (F.col("p1") - F.col("p0") + K).alias("words"), F.size("ts").alias("votes"), "coverage")
+    found = F.struct("coverage", "size", "license", F.col("p0"), (F.col("p1") - F.col("p0") + K).alias("words"), F.size("ts").alias("votes"))
+    spans = spans.groupBy("doc_id", "tie").agg(F.collect_list(found).alias("xs"))
+
+    def beaten(x, y):
+        meet = ((x["p0"] >= y["p0"]) & (x["p0"] < y["p0"] + y["words"])) | ((y["p0"] >= x["p0"]) & (y["p0"] < x["p0"] + x["words"]))
+        better = (y["coverage"] > x["coverage"]) | ((y["coverage"] == x["coverage"]) & ((y["size"] > x["size"]) | ((y["size"] == x["size"]) & (y["license"] < x["license"]))))
+        return meet & better
+
+    kept = F.filter("xs", lambda x: ~F.exists("xs", lambda y: beaten(x, y)))
+    return spans.select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.license", F.col("x.p0").alias("first_word"), "x.words", "x.votes", "x.coverage")
 
 
 def oracle(words_sql: str, templates: dict[str, str] = TEMPLATES) -> str:
@@ -89,5 +117,7 @@ d AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY row, licen
       FROM (SELECT row, doc_id, license, size, diagonal, min(p) AS p0, max(p) AS p1, list(DISTINCT t) AS ts FROM v GROUP BY ALL)),
 s AS (SELECT *, sum(apart) OVER (PARTITION BY row, license ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM d),
 m AS (SELECT row, doc_id, license, size, span, min(p0) AS p0, max(p1) AS p1, list_distinct(flatten(list(ts))) AS ts FROM s GROUP BY ALL),
-c AS (SELECT *, round(len(list_distinct(flatten(list_transform(ts, lambda t: range(t, t + {K}))))) / size, 4) AS coverage FROM m)
-SELECT doc_id, license, p0::INTEGER AS first_word, (p1 - p0 + {K})::INTEGER AS words, len(ts)::INTEGER AS votes, coverage FROM c WHERE coverage >= {COVER}"""
+c AS (SELECT *, round(len(list_distinct(flatten(list_transform(ts, lambda t: range(t, t + {K}))))) / size, 4) AS coverage FROM m),
+x AS (SELECT *, p1 + {K} AS p2 FROM c WHERE coverage >= {COVER})
+SELECT doc_id, license, p0::INTEGER AS first_word, (p2 - p0)::INTEGER AS words, len(ts)::INTEGER AS votes, coverage FROM x
+WHERE NOT EXISTS (SELECT 1 FROM x AS y WHERE y.row = x.row AND y.p0 < x.p2 AND x.p0 < y.p2 AND (y.coverage, y.size) >= (x.coverage, x.size) AND ((y.coverage, y.size) > (x.coverage, x.size) OR y.license < x.license))"""

@@ -6,6 +6,9 @@ the first t of training it supplies, so with T tokens in all, a document that be
 tokens of its source belongs where T times that integral reaches c: a quadratic equation inside one
 segment. Documents are then range-sorted by position.
 
+A token is a word between white space here: sources in scripts without spaces, or of long unbroken strings, count less than a tokenizer
+would say, so weights are shares of words.
+
 T is the least number of tokens at which every source is used up once or more, so no document is
 lost; a source whose tokens fall short of its demand starts over (``copy`` counts from 0).
 
@@ -16,7 +19,8 @@ many tasks of the same size. The order doesn't depend on it.
 Defined results. A null source is a source of its own, named ''. Null or empty text counts 0
 tokens and is placed where the next document of its source begins, once in every pass. A null doc_id hashes
 as ''. Ties (repeated rows) are ordered by the text's hash; equal rows are interchangeable. Sources that the
-schedule doesn't name get the schedule of ``default_schedule``. An empty table gives an empty result.
+schedule doesn't name get the schedule of ``default_schedule``. A very long text is one document in one place. Other columns
+may have any name, and are kept by mixed(). An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -104,7 +104,8 @@ def token_output(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, place: str |
 
 def token_counts(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
     """doc_id, n_tokens of every row, by heap-and-linked-list merging. Null or empty text has 0 tokens;
-    repeated rows and null doc_ids are counted like any row; an empty table gives an empty result."""
+    repeated rows and null doc_ids are counted like any row, very long texts whole; ties between pairs of one rank are merged from the
+    left; other columns may have any name; an empty table gives an empty result."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([batch["doc_id"], pa.array(bpe.token_counts(batch["text"].cast(pa.string()), vocabulary))], ["doc_id", "n_tokens"])

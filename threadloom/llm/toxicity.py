@@ -9,12 +9,15 @@ Scoring never multiplies word vectors: each distinct word's products with all fi
 once per slice, and sliding a filter is a sum of shifted rows.
 
 The model is fitted on at most ``SAMPLE`` labelled documents, those with the least hashes of
-doc_id. A quarter of them is held out to calibrate one threshold for each language.
+doc_id. A quarter of them is held out to calibrate one threshold for each language: that with the greatest F1 over the language's own
+rows and all others, which together weigh as much as ``BORROWED`` toxic ones. So a language with few toxic rows leans on the others,
+one with many hardly does, and there is no number of rows at which it begins to count.
 
 Defined results. Null or empty text: score 0, not toxic. A null or unseen language uses the threshold
 of all languages. Labels without one of the two classes: nothing is toxic. Null labels and labels of
 unknown documents are left out; of repeated labels the highest counts. Repeated documents are
-scored alike. Every column of the input is kept, whatever its name.
+scored alike, and of a tie between score and threshold the text isn't toxic. Very long texts are scored whole: one toxic passage
+anywhere counts as much as in a short text. Every column of the input is kept, whatever its name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,8 +39,9 @@ SAMPLE = 8_000
 DIM, FILTERS, WIDTHS, PREFIX, LEAST = 8, 8, (1, 2, 3), 4, 3
 EPOCHS, RATE, BATCH = 3, 0.1, 32
 PAD = max(WIDTHS) - 1
-#: Held-out toxic rows of a language from which it gets a threshold of its own.
-OWN_THRESHOLD = 15
+#: Toxic rows that the other languages' held-out rows weigh as much as when a language is calibrated.
+BORROWED = 15
+
 
 @dataclass
 class Model:
@@ -79,20 +83,21 @@ def score(model: Model, texts: pa.Array) -> np.ndarray:
     if len(texts) == 0:
         return np.zeros(0)
     vectors = model.embedding[model.rows(table[:, 0])] + model.embedding[model.rows(table[:, 1])]
-    pooled = []
+    pooled, empty = [], ids == len(table) - 1
     for width, weights in model.filters.items():
         answer = np.zeros((len(ids), FILTERS), np.float32)
         for j in range(width):
             answer[: len(ids) - j] += (vectors @ weights[j])[ids[j:]]
+        answer[empty] = 0  # a filter that begins past a text's end would reach into the next text
         pooled.append(np.maximum.reduceat(answer, offsets[:-1]))
     z = np.maximum(np.concatenate(pooled, axis=1) + model.bias, 0) @ model.out + model.out_bias
     p = 1 / (1 + np.exp(-z.astype(np.float64)))
     return np.where(np.diff(offsets) > PAD, p, 0.0)
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, langs: list[str | None], seed: int = 0) -> Model:
-    """Train by adaptive gradient steps; the first embedding dimension starts from each hash's log-odds
-    (shrunk where few texts hold it), which the first filter of width 1 reads."""
+def fit(texts: pa.Array, toxic: np.ndarray, langs: list[str | None], seed: int = 0, informed: bool = True) -> Model:
+    """Train by adaptive gradient steps; if ``informed``, the first embedding dimension starts from each hash's log-odds
+    (shrunk where few texts hold it), which the first filter of width 1 reads; else all start at random."""
     rng = np.random.default_rng(seed)
     held = rng.permutation(len(toxic)) % 4 == 0
     ids, table, offsets = word_rows(texts)
@@ -112,11 +117,14 @@ def fit(texts: pa.Array, toxic: np.ndarray, langs: list[str | None], seed: int =
     odds *= count.sum(0) / (count.sum(0) + LEAST)
     E = np.zeros((len(known) + 1, DIM), np.float32)
     E[1:] = rng.normal(0, 0.02, (len(known), DIM))
-    E[1:, 0] = np.clip(odds, -2, 8) / 4
+    if informed:
+        E[1:, 0] = np.clip(odds, -2, 8) / 4
     Ws = {w: rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS}
-    Ws[WIDTHS[0]][0, 0, 0] = 1.0
+    if informed:
+        Ws[WIDTHS[0]][0, 0, 0] = 1.0
     model = Model(known, E, Ws, np.zeros(FILTERS * len(WIDTHS), np.float32), rng.normal(0, 0.1, FILTERS * len(WIDTHS)).astype(np.float32), -2.0, {})
-    model.out[0] = 1.0
+    if informed:
+        model.out[0] = 1.0
     rows = np.stack([model.rows(table[:, 0]), model.rows(table[:, 1])], 1)
     store = {"E": np.full_like(E, 1e-2), "b": np.full_like(model.bias, 1e-2), "o": np.full_like(model.out, 1e-2), "c": 1e-2} | {w: np.full_like(x, 1e-2) for w, x in Ws.items()}
     weight = np.sqrt(max(1, n[0, 0]) / max(1, n[1, 0]))
@@ -176,23 +184,25 @@ def fit(texts: pa.Array, toxic: np.ndarray, langs: list[str | None], seed: int =
 
 def calibrate(p: np.ndarray, toxic: np.ndarray, langs: list[str | None]) -> dict[str | None, float]:
     """For each language (None: all together) the threshold with the greatest F1 on held-out
-    rows; of several, the middle of the widest gap between scores."""
+    rows (see the module for their weights); of several, the middle of the widest gap between scores."""
+    order = np.argsort(-p, kind="stable")
+    p, y, langs = p[order], toxic[order], [langs[k] for k in order]
 
-    def best(p: np.ndarray, y: np.ndarray) -> float:
-        order = np.argsort(-p, kind="stable")
-        p, y = p[order], y[order]
-        f1 = 2 * np.cumsum(y) / (np.arange(1, len(y) + 1) + y.sum())
+    def best(weight: np.ndarray) -> float:
+        f1 = 2 * np.cumsum(weight * y) / (np.cumsum(weight) + (weight * y).sum())
         f1[:-1][p[:-1] == p[1:]] = -1
         gaps = np.append(p[:-1] - p[1:], p[-1])
         top = np.flatnonzero(f1 >= f1.max() - 1e-12)
         k = top[np.argmax(gaps[top])]
         return float((p[k] + (p[k + 1] if k + 1 < len(p) else 0)) / 2)
 
-    out: dict[str | None, float] = {None: best(p, toxic) if toxic.any() else 0.5}
+    if not y.any():
+        return {None: 0.5}
+    out: dict[str | None, float] = {None: best(np.ones(len(p)))}
     for lang in {x for x in langs if x is not None}:
         mine = np.array([x == lang for x in langs])
-        if toxic[mine].sum() >= OWN_THRESHOLD and not toxic[mine].all():
-            out[lang] = best(p[mine], toxic[mine])
+        rest = y[~mine].sum()
+        out[lang] = best(np.where(mine, 1.0, min(1.0, BORROWED / max(1, rest))))
     return out
 
 
