@@ -59,20 +59,21 @@ def by_key(df: DataFrame, small: DataFrame, on: list[str] | str, how: str) -> Da
     return df.join(F.broadcast(small) if few else small, on, how)
 
 
-def placed(df: DataFrame, name: str) -> DataFrame:
-    """The same rows with a column of their places in the order in which they were written: 0, 1, ... over the files by number, then
+def placed(df: DataFrame, name: str, *kept: str) -> DataFrame:
+    """The kept columns with one of the rows' places in the order in which they were written: 0, 1, ... over the files by number, then
     path, if ``df`` is a table that was just read; else increasing numbers in the order of its partitions."""
+    columns = [F.col(f"`{c}`") for c in kept]
     try:  # columns of files beneath joins or aggregates say nothing about the rows here
-        scan = df.select("*", "_metadata.file_path", "_metadata.row_index") if df._jdf.queryExecution().analyzed().children().isEmpty() else None
+        scan = df.select(*columns, "_metadata.file_path", "_metadata.row_index") if df._jdf.queryExecution().analyzed().children().isEmpty() else None
     except AnalysisException:
         scan = None
     if scan is None:
-        return df.withColumn(name, F.monotonically_increasing_id())
+        return df.select(*columns, F.monotonically_increasing_id().alias(name))
     number = lambda pattern: F.coalesce(F.regexp_extract("file_path", pattern, 1).try_cast("long"), F.lit(0))
     before = W.orderBy(number(r"part-(\d+)[^/]*$"), number(r"[-.]c(\d+)\.[^/]*$"), "file_path").rowsBetween(W.unboundedPreceding, -1)
     files = df.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.count("*").alias("n"))
     starts = durable(files.select("file_path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "files")
-    return by_key(scan, starts, "file_path", "inner").select(*[F.col(f"`{c}`") for c in df.columns], (F.col("start") + F.col("row_index")).alias(name))
+    return by_key(scan, starts, "file_path", "inner").select(*columns, (F.col("start") + F.col("row_index")).alias(name))
 
 
 #: Bytes of a batch that is sent to a Python worker; with the slices of _text it bounds a worker's memory.
