@@ -541,8 +541,9 @@ def test_mixing_awkward(spark):
 # ---- 10 embeddings -------------------------------------------------------------------------
 
 
-def test_embedding_recall(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "CELL", 60)
+@pytest.mark.parametrize(("top", "cell"), [(300, 60), (10_000, 50), (90, 1000)])
+def test_embedding_recall(spark, top, cell):
+    """Two levels of cells, one first cell with many second ones, many first ones with one each."""
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 48))
     x = centres[rng.integers(12, size=900)] * 0.6 + rng.normal(size=(900, 48))
@@ -553,11 +554,11 @@ def test_embedding_recall(spark, monkeypatch):
     i, j = np.nonzero(np.triu(unit @ unit.T >= 0.95, 1))
     want = set(zip(i.tolist(), j.tolist(), strict=True))
     table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(both)], "vec_id long, embedding array<float>")
-    got = {(r["a"], r["b"]) for r in embeddings.near_pairs(table).collect()}
+    got = {(r["a"], r["b"]) for r in embeddings.near_pairs(table, top=top, cell=cell).collect()}
     assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 3 and len(want) > 300
     parent = np.arange(1800)
     embeddings.unite(parent, *np.array(sorted(got)).T)
-    groups_of = {r["vec_id"]: r["keep"] for r in embeddings.dedup(table).collect()}
+    groups_of = {r["vec_id"]: r["keep"] for r in embeddings.dedup(table, top=top, cell=cell).collect()}
     assert groups_of == dict(enumerate(embeddings.roots(parent, np.arange(1800)).tolist()))
 
 

@@ -1,8 +1,12 @@
 """Embedding near-dedup: spherical k-means cells and blocked cosine products.
 
-Cells come from a few rounds of spherical k-means over all vectors: each task sends one sum per
-cell. A pair whose cosine is at least the threshold lies within the angle t = arccos(threshold); if x is at home in
-cell c, then by the triangle inequality y is no further from c than from its own centre plus 2 t. So a vector visits,
+Cells come in two levels. The few cells of the first hold ``TOP`` vectors on average; their centres come from rounds of spherical k-means over
+all vectors, in which each task sends one sum for each cell that it met. They alone are held by the driver and sent to every
+executor, within the bound of a broadcast (where more would be wanted, cells hold more). The vectors of a first cell come together in
+one task, which cuts them by the same k-means into cells of ``CELL`` residents and compares within these.
+
+A pair whose cosine is at least the threshold lies within the angle t = arccos(threshold); if x is at home in
+cell c, then by the triangle inequality y is no further from c than from its own centre plus 2 t. So on both levels a vector visits,
 beyond its home, the cells whose centres are hardly further than its own, and each cell compares its residents with
 residents and visitors in blocks, each against all.
 
@@ -10,12 +14,12 @@ Visiting every cell within 2 t is exact, but in many dimensions means visiting e
 near-duplicates to a centre differ by about t / sqrt(dimension) there, so ``MARGIN`` of 2 t is visited: in 64 dimensions nearly
 four standard deviations. Recall against brute force is tested (at least 0.9; 1.0 on all tables at hand).
 
-Groups are the connected components of the pairs; the least vec_id of each is kept. For groups a cell sends no
+Groups are the connected components of the pairs; the least vec_id of each is kept. For groups a first cell sends no
 pairs, only a star for each of its own components, so thousands of copies cost as many rows, not their square.
 
-Defined results. Null or empty embeddings, of another length than most, with a null or non-finite entry, or all zeros: no partner, kept.
-Null vec_ids are left out. Repeated rows of one vec_id are one vector (the first of equal ids in order of its values).
-An empty table gives an empty result.
+Defined results. Null or empty embeddings, of another length than most (of lengths that are equally common, the least counts), with a null or non-finite
+entry, or all zeros: no partner, kept. Null vec_ids are left out. Repeated rows of one vec_id are one vector (the first of equal ids in
+order of its values). A pair just at the threshold (a tie) is a pair. Other columns may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded, durable
+from . import _text as T
+from ._spark import BROADCAST_BYTES, bounded, durable
 from .components import groups, roots, unite
 
 THRESHOLD = 0.95
-#: Vectors in a cell on average, rounds of k-means, share of the exact visiting margin that is used, rows in a block,
-#: entries of a matrix of cosines to centres.
-CELL, ROUNDS, MARGIN, ROWS, ENTRIES = 1000, 4, 0.35, 1024, 4_000_000
+#: Vectors in a cell of the first and of the second level on average, rounds of k-means, share of the exact visiting margin that is used,
+#: rows in a block, entries of a matrix of cosines to centres.
+TOP, CELL, ROUNDS, MARGIN, ROWS, ENTRIES = 10_000, 1000, 4, 0.35, 1024, 4_000_000
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -48,32 +53,58 @@ def _parts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
             yield batch.slice(at, rows)
 
 
-def _assign(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    cos = np.clip(x @ centres.T, -1, 1)
-    return cos, cos.argmax(1)
+def _visits(x: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which cells each vector visits, and which is its home."""
+    angle = np.arccos(np.clip(x @ centres.T, -1, 1))
+    home = angle.argmin(1)
+    return angle <= angle[np.arange(len(x)), home][:, None] + reach, home
+
+
+def _moved(centres: np.ndarray, cells: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The centres with those of some cells moved to their vectors' mean direction; cells without vectors, or whose cancel out, stay."""
+    norm = np.linalg.norm(sums, axis=1, keepdims=True)
+    new = centres.copy()
+    new[cells] = np.where(norm > 0, sums / np.maximum(norm, 1e-300), centres[cells])
+    return new
+
+
+def _sums(x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells that vectors are at home in, and their sums."""
+    order = np.argsort(home, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(home[order]) > 0])
+    return home[order][starts], np.add.reduceat(x[order].astype(np.float64), starts, axis=0)
 
 
-def cells(vectors: DataFrame, dim: int, n: int, seed: int = 0) -> np.ndarray:
-    """Unit centres of spherical k-means, from sums over all vectors; cells grow with the table."""
-    k = max(1, n // CELL)
+def tops(vectors: DataFrame, dim: int, n: int, top: int, seed: int = 0) -> np.ndarray:
+    """Unit centres of the first level, from sums over all vectors."""
+    k = max(1, min(n // top, BROADCAST_BYTES // (4 * dim)))
     rows = vectors.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(k).select("embedding").toArrow()["embedding"].combine_chunks()
     centres = matrix(rows, dim)
-    for _ in range(ROUNDS):
+    spark = vectors.sparkSession
+    for _ in range(ROUNDS if k > 1 else 0):
+        shared = spark.sparkContext.broadcast(centres)
 
-        def local(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(centres.shape)
-            for part in _parts(batches, len(centres)):
+        def local(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for part in _parts(batches, len(shared.value)):
                 x = matrix(part["embedding"], dim)
-                np.add.at(sums, _assign(x, centres)[1], x)
-            yield pa.record_batch([pa.array(range(len(sums)), pa.int32()), pa.array(list(sums), pa.list_(pa.float64()))], ["cell", "sum"])
-
-        found = vectors.mapInArrow(local, "cell int, sum array<double>").groupBy("cell").agg(F.array(*[F.sum(F.col("sum")[d]) for d in range(dim)]).alias("sum")).collect()
-        new = centres.copy()
-        for r in found:
-            s = np.array(r["sum"])
-            if np.linalg.norm(s) > 0:
-                new[r["cell"]] = s / np.linalg.norm(s)
-        centres = new
+                for cell, s in zip(*_sums(x, (x @ shared.value.T).argmax(1)), strict=True):
+                    total[int(cell)] = total[int(cell)] + s if int(cell) in total else s
+            if total:
+                yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.list_(pa.float64()))], ["cell", "sum"])
+
+        found = vectors.mapInArrow(local, "cell int, sum array<double>").groupBy("cell").agg(F.array(*[F.sum(F.col("sum")[d]) for d in range(dim)]).alias("sum")).orderBy("cell").collect()
+        centres = _moved(centres, np.array([r["cell"] for r in found]), np.array([r["sum"] for r in found])).astype(np.float32)
+    return centres
+
+
+def cells(x: np.ndarray, order: np.ndarray, cell: int) -> np.ndarray:
+    """Unit centres of the second level for the residents x of a first cell; ``order`` says which begin."""
+    centres = x[order[: max(1, len(x) // cell)]]
+    step = max(1, ENTRIES // len(centres))
+    for _ in range(ROUNDS if len(centres) > 1 else 0):
+        home = np.concatenate([(x[a : a + step] @ centres.T).argmax(1) for a in range(0, len(x), step)])
+        centres = _moved(centres, *_sums(x, home)).astype(np.float32)
     return centres
 
 
@@ -91,58 +122,64 @@ def clean(table: DataFrame) -> tuple[DataFrame, int, int]:
     return rows.where(F.size("embedding") == dims[0]["dim"]), dims[0]["dim"], dims[0]["count"]
 
 
-def near_pairs(table: DataFrame, threshold: float = THRESHOLD, stars: bool = False) -> DataFrame:
-    """a < b (vec_ids) and their cosine, at least the threshold. With ``stars``: of every component inside a cell, only
+def near_pairs(table: DataFrame, threshold: float = THRESHOLD, stars: bool = False, top: int = TOP, cell: int = CELL) -> DataFrame:
+    """a < b (vec_ids) and their cosine, at least the threshold. With ``stars``: of every component inside a first cell, only
     the pairs of its least vec_id with the others (the cosine is then null)."""
     vectors, dim, n = clean(table)
     if n == 0:
         return table.sparkSession.createDataFrame([], "a long, b long, cosine double")
-    shared = table.sparkSession.sparkContext.broadcast(cells(vectors, dim, n))
+    shared = table.sparkSession.sparkContext.broadcast(tops(vectors, dim, n, top))
     reach = 2 * np.arccos(threshold) * MARGIN
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches, len(shared.value)):
-            x = matrix(batch["embedding"], dim)
-            cos, home = _assign(x, shared.value)
-            angle = np.arccos(cos)
-            row, cell = np.nonzero(angle <= angle[np.arange(len(x)), home][:, None] + reach)
-            yield pa.record_batch([pa.array(cell, pa.int32()), pa.array(home[row] == cell), batch["vec_id"].take(pa.array(row)), batch["embedding"].take(pa.array(row))], ["cell", "home", "vec_id", "embedding"])
+            visits, home = _visits(matrix(batch["embedding"], dim), shared.value, reach)
+            row, at = np.nonzero(visits)
+            yield pa.record_batch([pa.array(at, pa.int32()), pa.array(home[row] == at), batch["vec_id"].take(pa.array(row)), batch["embedding"].take(pa.array(row))], ["cell", "home", "vec_id", "embedding"])
 
     def compare(key: tuple, part: pa.Table) -> pa.Table:
-        ids, home, x = part["vec_id"].to_numpy(), part["home"].to_numpy(), matrix(part["embedding"].combine_chunks(), dim)
-        if stars:
-            order = np.argsort(ids, kind="stable")
-            ids, home, x = ids[order], home[order], x[order]
-            parent = np.arange(len(ids))
-        residents = np.flatnonzero(home)
+        ids, resident, x = part["vec_id"].to_numpy(), part["home"].to_numpy(), matrix(part["embedding"].combine_chunks(), dim)
+        order = np.argsort(ids, kind="stable")
+        ids, resident, x = ids[order], resident[order], x[order]
+        parent = np.arange(len(ids))
         left, right, cosine = [], [], []
-        for a in range(0, len(residents), ROWS):
-            r = residents[a : a + ROWS]
-            for b in range(0, len(x), ROWS):
-                cos = x[r] @ x[b : b + ROWS].T
-                i, j = np.nonzero(cos >= threshold - 1e-6)
-                if stars:
-                    exact = np.einsum("ij,ij->i", x[r[i]].astype(np.float64), x[b + j].astype(np.float64)) >= threshold
-                    unite(parent, r[i][exact], b + j[exact])
-                    continue
-                left.append(ids[r[i]])
-                right.append(ids[b + j])
-                cosine.append(np.einsum("ij,ij->i", x[r[i]].astype(np.float64), x[b + j].astype(np.float64)))
+        if resident.any():
+            centres = cells(x[resident], np.argsort(T.mix(ids[resident].view(T.U64)), kind="stable"), cell)
+            step = max(1, ENTRIES // len(centres))
+            parts = [_visits(x[a : a + step], centres, reach) for a in range(0, len(x), step)]
+            visits, home = np.concatenate([v for v, _ in parts]), np.concatenate([h for _, h in parts])
+            for c in range(len(centres)):
+                members = np.flatnonzero(visits[:, c])
+                mine = members[resident[members] & (home[members] == c)]
+                for a in range(0, len(mine), ROWS):
+                    r = mine[a : a + ROWS]
+                    for b in range(0, len(members), ROWS):
+                        m = members[b : b + ROWS]
+                        i, j = np.nonzero(x[r] @ x[m].T >= threshold - 1e-6)
+                        u, v = r[i], m[j]
+                        u, v = u[u != v], v[u != v]
+                        exact = np.einsum("ij,ij->i", x[u].astype(np.float64), x[v].astype(np.float64))
+                        u, v, exact = u[exact >= threshold], v[exact >= threshold], exact[exact >= threshold]
+                        if stars:
+                            unite(parent, u, v)
+                        else:
+                            left.append(np.minimum(ids[u], ids[v]))
+                            right.append(np.maximum(ids[u], ids[v]))
+                            cosine.append(exact)
         if stars:
             root = roots(parent, np.arange(len(ids)))
             ok = ids != ids[root]
             return pa.table({"a": ids[root][ok], "b": ids[ok], "cosine": pa.nulls(int(ok.sum()), pa.float64())})
         u, v, c = (np.concatenate([np.zeros(0, k), *y]) for k, y in ((np.int64, left), (np.int64, right), (np.float64, cosine)))
-        ok = (u != v) & (c >= threshold)
-        return pa.table({"a": np.minimum(u, v)[ok], "b": np.maximum(u, v)[ok], "cosine": np.round(c[ok], 6)})
+        return pa.table({"a": u, "b": v, "cosine": np.round(c, 6)})
 
     visits = vectors.mapInArrow(visit, "cell int, home boolean, vec_id long, embedding array<float>")
     pairs = visits.groupBy("cell").applyInArrow(compare, "a long, b long, cosine double")
     return pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
-def dedup(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def dedup(table: DataFrame, threshold: float = THRESHOLD, top: int = TOP, cell: int = CELL) -> DataFrame:
     """vec_id and keep (the representative of its group, itself where it has no partner) of every vector."""
-    label = groups(near_pairs(table, threshold, stars=True).select("a", "b"))
+    label = groups(near_pairs(table, threshold, True, top, cell).select("a", "b"))
     ids = table.select(F.col("`vec_id`").cast("long").alias("vec_id")).where("vec_id is not null").distinct()
     return ids.join(label, ids.vec_id == label.node, "left").select("vec_id", F.coalesce("label", "vec_id").alias("keep")).withColumn("kept", F.col("keep") == F.col("vec_id"))
