@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 #: Before a Java pattern: its classes, boundaries, case folding and line ends are those of a Python pattern for text.
 UNICODE = "(?Ud)"
 SPACE = r"[\s\x1C-\x1F]"
+#: All white space that Python knows.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def any_of(*phrases: str) -> str:
@@ -25,7 +27,7 @@ def any_of(*phrases: str) -> str:
 
 def strip(c: Column) -> Column:
     """White space off both ends, Unicode included."""
-    return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
@@ -40,7 +42,14 @@ def one_line(c: Column) -> Column:
 
 def sms_text(c: Column) -> Column:
     """Carriage returns become blanks, ends are stripped, runs of blanks and tabs become one; line feeds stay."""
-    return F.regexp_replace(strip(F.translate(F.coalesce(c, F.lit("")), "\r", " ")), r"[ \t]+", " ")
+    return F.regexp_replace(strip(F.replace(F.coalesce(c, F.lit("")), F.lit("\r"), F.lit(" "))), r"[ \t]{2,}|\t", " ")
+
+
+def kept(df: DataFrame, column: str, value: Column, test) -> DataFrame:
+    """The rows whose ``value`` passes ``test``, with it as ``column`` (in its place, or last). A filter above a projection is pushed below it
+    with a copy of the expression for every use; generated rows are not, so the value is computed once."""
+    one = F.explode(F.filter(F.array(value), test)).alias(column)
+    return df.select(*[one if c == column else F.col(f"`{c}`") for c in df.columns], *([] if column in df.columns else [one]))
 
 
 def has(c: Column, pattern: str) -> Column:

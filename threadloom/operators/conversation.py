@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import UNICODE, any_of, has, one_line, sms_text, strip
+from ..functions.text import UNICODE, any_of, has, kept, one_line, sms_text, strip
 
 SMS_NOISE = r"(?i)^\s*(?:this is an automated|msg\s*&?\s*data rates|reply stop|unsubscribe)"
 SIGNATURE = r"(?i)^\s*(?:thanks[!,]*\s*)?[–—-]\s*\w+\s*$"
@@ -29,15 +29,17 @@ def call_role(c: Column) -> Column:
 
 def clean_sms(turns: DataFrame, text: str = "text", role: str = "role") -> DataFrame:
     """Normalised texts and roles without empty turns, other roles, opt-out notices and signatures."""
-    out = turns.withColumns({role: sms_role(F.col(role)), text: sms_text(F.col(text))})
-    return out.where(F.col(role).isNotNull() & (F.col(text) != "") & ~has(F.col(text), SMS_NOISE) & ~has(F.col(text), SIGNATURE))
+    out = turns.withColumn(role, sms_role(F.col(role))).where(F.col(role).isNotNull())
+    return kept(out, text, sms_text(F.col(text)), lambda m: (m != "") & ~has(m, SMS_NOISE) & ~has(m, SIGNATURE))
 
 
 def parse_call_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """role and text of stamped transcript lines, without notices and bare nods."""
     trimmed = strip(F.col(line))
-    out = lines.withColumns({"role": call_role(F.regexp_extract(trimmed, UNICODE + CALL_LINE, 1)), "text": one_line(F.regexp_extract(trimmed, UNICODE + CALL_LINE, 2))})
-    return out.where(F.col("role").isNotNull() & (F.col("text") != "") & ~has(F.col("text"), CALL_NOISE) & ~F.lower("text").isin(*NODS)).drop(line)
+    said = F.struct(call_role(F.regexp_extract(trimmed, UNICODE + CALL_LINE, 1)).alias("role"), one_line(F.regexp_extract(trimmed, UNICODE + CALL_LINE, 2)).alias("text"))
+    good = lambda x: x["role"].isNotNull() & (x["text"] != "") & ~has(x["text"], CALL_NOISE) & ~F.lower(x["text"]).isin(*NODS)
+    out = kept(lines, "_said", said, good)
+    return out.select(*[F.col(f"`{c}`") for c in lines.columns if c not in (line, "role", "text")], "_said.role", "_said.text")
 
 
 def merge_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
