@@ -194,14 +194,14 @@ def report(cleaned: DataFrame) -> DataFrame:
     return row.unpivot([], list(metrics), "metric", "value")
 
 
-def quality(records: DataFrame, texts: str, name: str, is_first: str) -> DataFrame:
-    """One row: records, suggestions, and how many hold fillers, artifacts, names or greetings (the latter two among records that aren't first);
+def quality(records: DataFrame, texts: str, name: str, is_first: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (of each value of ``by``, if given): records, suggestions, and how many hold fillers, artifacts, names or greetings (the latter two among records that aren't first);
     and the rates of fillers a suggestion, of names and greetings a record that isn't first (0 where there is none)."""
     t, n = F.col(texts), F.lower(F.coalesce(F.col(name), F.lit("")))
     count = lambda p: F.size(F.filter(t, lambda m: p(m)))
     rest = ~F.coalesce(F.lower(F.col(is_first)).isin("yes", "true"), F.lit(False))
     named = (n != "") & (n != "n/a") & F.exists(t, lambda m: F.lower(m).contains(n))
-    counts = records.agg(
+    counts = records.groupBy(*by).agg(
         F.count("*").alias("records"), F.coalesce(F.sum(F.size(t)), F.lit(0)).alias("suggestions"), F.coalesce(F.sum(count(lambda m: has(m, FILLER))), F.lit(0)).alias("fillers"), F.coalesce(F.sum(count(lambda m: has(m, r"\A[\s.,;:!?]") | m.contains("  "))), F.lit(0)).alias("artifacts"),
         F.count_if(rest).alias("not_first"), F.count_if(rest & named).alias("named"), F.count_if(rest & F.exists(t, lambda m: has(m, GREETING))).alias("greeted"),
     )

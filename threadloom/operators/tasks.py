@@ -37,12 +37,17 @@ INTENTS: list[tuple[str, str]] = [
 MODE_OF = {"busy": "logistics", "life_event": "empathy", "not_interested": "objection"}
 
 
-def candidates(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Agent turns with a client turn before them: turn_idx, is_first, gold_reply."""
-    before = W.partitionBy(key).orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
-    asked = F.max(F.when(F.col("role") == "client", 1).otherwise(0)).over(before)
-    out = turns.withColumn("_asked", asked).where((F.col("role") == "agent") & (F.col("_asked") == 1))
-    return out.select(key, F.col("turn").alias("turn_idx"), (F.col("turn") == 1).alias("is_first"), F.col("text").alias("gold_reply"))
+def candidates(turns: DataFrame, key: str = "conv_id", last: int | None = None) -> DataFrame:
+    """Agent turns with a client turn before them: turn_idx, is_first, gold_reply; and with ``last`` their history, that many turns before
+    them at most, from the same shuffle."""
+    order = W.partitionBy(key).orderBy("turn")
+    asked = F.max(F.when(F.col("role") == "client", 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, -1))
+    out = turns.withColumn("_asked", asked)
+    also = []
+    if last is not None:
+        out, also = out.withColumn("history", F.collect_list(F.struct("role", "text")).over(order.rowsBetween(-last, -1))), ["history"]
+    out = out.where((F.col("role") == "agent") & (F.col("_asked") == 1))
+    return out.select(key, F.col("turn").alias("turn_idx"), (F.col("turn") == 1).alias("is_first"), F.col("text").alias("gold_reply"), *also)
 
 
 def with_history(tasks: DataFrame, folded: DataFrame, last: int | None = None, key: str = "conv_id") -> DataFrame:

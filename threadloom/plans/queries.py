@@ -146,8 +146,7 @@ h AS (SELECT c.conv_id, turn_idx, list(line ORDER BY turn) AS ls FROM candidates
 SELECT conv_id, turn_idx, array_to_string(CASE WHEN len(ls) > 3 THEN ls[len(ls) - 2:] ELSE ls END, chr(10)) AS history FROM h"""
 )
 def history_render(spark, sf_dir):
-    m = merged(spark, sf_dir)
-    out = tasks.with_history(tasks.candidates(m), conversation.fold(m), last=3)
+    out = tasks.candidates(merged(spark, sf_dir), last=3)
     return out.select("conv_id", "turn_idx", prompts.history(F.col("history")).alias("history"))
 
 
@@ -453,8 +452,7 @@ def token_budget(spark, sf_dir):
 
 @query(f"WITH {CANDIDATES}, l AS (SELECT c.*, m.text AS said FROM candidates c JOIN merged m ON m.conv_id = c.conv_id AND m.turn = turn_idx - 1) SELECT conv_id, turn_idx, said[1:60] AS latest, gold_reply[1:160] AS first_suggestion, 'convo' AS kind FROM l")
 def dry_label(spark, sf_dir):
-    m = merged(spark, sf_dir)
-    out = prompts.dry_label(tasks.with_history(tasks.candidates(m), conversation.fold(m), last=30))
+    out = prompts.dry_label(tasks.candidates(merged(spark, sf_dir), last=30))
     return out.select("conv_id", "turn_idx", "latest", F.get("recommendations", F.lit(0))["suggested_message"].alias("first_suggestion"), "kind")
 
 
@@ -592,9 +590,10 @@ count(*) FILTER ({rest} AND len(list_filter({texts}, lambda x: {has(cleaner.GREE
 @query(f"WITH {CLEANED} {_quality_sql('before', '[t1, t2, t3]', 'outcome <> ' + q('unparsable'))} UNION ALL {_quality_sql('after', 'messages_out', 'outcome IN (' + q('kept') + ', ' + q('relabelled') + ')')}")
 def before_after_metrics(spark, sf_dir):
     out = cleaner.clean(chats(spark, sf_dir), "id").withColumn("texts", F.transform("recommendations", lambda r: strip(r["suggested_message"])))
-    before = cleaner.quality(out.where("outcome <> 'unparsable'"), "texts", "client", "is_first").withColumn("phase", F.lit("before"))
-    after = cleaner.quality(out.where("outcome IN ('kept', 'relabelled')"), "messages_out", "client", "is_first").withColumn("phase", F.lit("after"))
-    return before.unionByName(after)
+    phase = lambda name, when, texts: F.struct(F.lit(name).alias("phase"), F.when(F.expr(when), F.col(texts)).alias("texts"))
+    phases = F.explode(F.array(phase("before", "outcome <> 'unparsable'", "texts"), phase("after", "outcome IN ('kept', 'relabelled')", "messages_out")))
+    rows = out.select("client", "is_first", phases.alias("p")).select("client", "is_first", "p.*").where("texts IS NOT NULL")
+    return cleaner.quality(rows, "texts", "client", "is_first", by=("phase",))
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) <= 3")
@@ -742,9 +741,8 @@ SELECT conv_id, turn_idx, CASE WHEN row_number() OVER (ORDER BY md5('0|' || conv
 )
 def conversations_to_chat(spark, sf_dir) -> DataFrame:
     """Flagship: conversations cleaned and merged, tasks built and capped, labelled by the dry labeler, audited, rendered, split."""
-    m = merged(spark, sf_dir)
-    capped = tasks.head_and_sample(tasks.candidates(m), 6)
-    dry = prompts.dry_label(tasks.with_history(capped, conversation.fold(m), last=30))
+    capped = tasks.head_and_sample(tasks.candidates(merged(spark, sf_dir), last=30), 6)
+    dry = prompts.dry_label(capped)
     ctx = dry.withColumns({"stage": F.lit("qualifying"), "next_key": F.lit("N/A"), "answers": F.lit("N/A"), "reason": F.lit("N/A"), "agent": F.lit("Alex"), "client": F.lit("there"), "is_first": F.when(F.col("is_first"), "yes").otherwise("no"), "mode": F.lit(None).cast("string"), "directive": F.lit(None).cast("string")})
     passed = audit.audited(ctx).where("reject_reason IS NULL")
     rows = sft.split(sft.chat(passed, "Follow the rules."), F.concat_ws("-", "conv_id", "turn_idx"))
