@@ -25,18 +25,25 @@ HUMAN = r"(?i)\b(?:100% real|a human being|a real person|i am (?:a )?real|i am h
 ROUTED = ("complaint", "compliance", "inappropriate", "legal", "opt out", "opt-out", "stop")
 CIRCLE = ("asked a mortgage question", "off topic", "off-topic", "small talk", "small-talk")
 
+#: Openers that go whatever follows them, and those that go before a mark only.
 HARD = [
-    "understood", "thanks for the update", "thanks for the info", "thanks for that", "thanks for sharing", "thanks for reaching out", "thanks for letting us know", "thanks for letting me know",
-    "thank you for confirming", "sure thing", "thanks for confirming", "sounds good", "of course", "not a problem at all", "not a problem", "no worries at all", "no worries", "no problem at all", "no problem", "makes sense",
-    "lol", "i understand", "i totally get it", "i hear you", "i get it", "i feel you", "haha", "i appreciate it", "gotcha", "got it", "i appreciate that", "good to know", "good to hear", "glad to hear", "for sure", "appreciate you", "appreciate that",
+    "appreciate that", "appreciate you", "for sure", "glad to hear", "good to hear", "good to know", "got it", "gotcha", "haha", "i appreciate it", "i appreciate that",
+    "i feel you", "i get it", "i hear you", "i totally get it", "i understand", "lol", "makes sense", "no problem", "no problem at all", "no worries",
+    "no worries at all", "not a problem", "not a problem at all", "of course", "sounds good", "sure thing", "thank you for confirming", "thanks for confirming",
+    "thanks for letting me know", "thanks for letting us know", "thanks for reaching out", "thanks for sharing", "thanks for that", "thanks for the info",
+    "thanks for the update", "understood",
 ]
-SOFT = sorted("yup yep yeah wonderful well totally sure so right perfect okay ok nice great fantastic cool awesome alright absolutely".split()) + ["love it", "love that"]
-_KIND, _ACT = any_of(*"lovely excellent amazing perfect wonderful happy glad good awesome nice great".split()), any_of(*"catch up,chat,connect,meet,see,talk,know,hear".split(","))
+SOFT = [
+    "absolutely", "alright", "awesome", "cool", "fantastic", "great", "love it", "love that", "nice", "ok", "okay", "perfect", "right", "so", "sure", "totally", "well",
+    "wonderful", "yeah", "yep", "yup",
+]
+_KIND = any_of("amazing", "awesome", "excellent", "glad", "good", "great", "happy", "lovely", "nice", "perfect", "wonderful")
+_ACT = any_of("catch up", "chat", "connect", "hear", "know", "meet", "see", "talk")
 _OPENER = rf"[—\s,.;:?!-]*(?:(?:{any_of(*HARD)})\b[,\s]*[—-]?\s*|(?:{any_of(*SOFT)})\b\s*[—!,.?-]+\s*|(?:{_KIND})\s+to\s+(?:{_ACT})\b[^!.?]{{0,20}}[!,.]+\s*)"
 #: All openers at once: the same as taking one off until none is left.
 OPENERS = rf"(?i)\A(?:{_OPENER})+"
 GREETING = r"(?i)^\s*(?:heya|hello|hiya|hey|hi)\b"
-FILLER = r"(?i)^\s*(?:" + any_of(*"absolutely,awesome,good to,got it,gotcha,great,i understand,makes sense,nice,no problem,no worries,of course,perfect,sounds good,sure thing,thanks for,totally,understood,yeah".split(",")) + r")\b"
+FILLER = r"(?i)^\s*(?:" + any_of("absolutely", "awesome", "good to", "got it", "gotcha", "great", "i understand", "makes sense", "nice", "no problem", "no worries", "of course", "perfect", "sounds good", "sure thing", "thanks for", "totally", "understood", "yeah") + r")\b"
 
 COMFORT = [
     "I am very sorry for your loss. Take all the time you need, and write when you feel ready.",
