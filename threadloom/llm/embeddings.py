@@ -5,14 +5,15 @@ all vectors, in which each task sends one sum for each cell that it met. They al
 executor, within the bound of a broadcast (where more would be wanted, cells hold more). The vectors of a first cell come together in
 one task, which cuts them by the same k-means into cells of ``CELL`` residents and compares within these.
 
-A pair whose cosine is at least the threshold lies within the angle t = arccos(threshold); if x is at home in
-cell c, then by the triangle inequality y is no further from c than from its own centre plus 2 t. So on both levels a vector visits,
+A pair whose cosine is at least the threshold lies within the angle t = arccos(threshold). On both levels a vector visits,
 beyond its home, the cells whose centres are hardly further than its own, and each cell compares its residents with
-residents and visitors in blocks, each against all.
+residents and visitors in blocks, each against all. From x at home in c to y at home in d the difference of the angles to c and to d
+changes by 2 t at most (the triangle inequality), so x visits d or y visits c if both visit what is no more than t further.
 
-Visiting every cell within 2 t is exact, but in many dimensions means visiting everywhere. The angles of two
-near-duplicates to a centre differ by about t / sqrt(dimension) there, so ``MARGIN`` of 2 t is visited: in 64 dimensions nearly
-four standard deviations. Recall against brute force is tested (at least 0.9; 1.0 on all tables at hand).
+Visiting every cell within t is exact, but in many dimensions means visiting everywhere. The angles of two
+near-duplicates to a centre differ by about t / sqrt(dimension) there, and that difference by sqrt(2) times as much, so ``MARGIN`` of t is
+visited: in 64 dimensions a pair is lost beyond four standard deviations. What visits a first cell visits twice as far in it, because there it
+can't be visited. Recall against brute force is tested (at least 0.9; 1.0 on all tables at hand).
 
 Groups are the connected components of the pairs; the least vec_id of each is kept. For groups a first cell sends no
 pairs, only a star for each of its own components, so thousands of copies cost as many rows, not their square.
@@ -53,11 +54,11 @@ def _parts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
             yield batch.slice(at, rows)
 
 
-def _visits(x: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+def _visits(x: np.ndarray, centres: np.ndarray, reach: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which cells each vector visits, and which is its home."""
     angle = np.arccos(np.clip(x @ centres.T, -1, 1))
     home = angle.argmin(1)
-    return angle <= angle[np.arange(len(x)), home][:, None] + reach, home
+    return angle <= angle[np.arange(len(x)), home][:, None] + np.reshape(reach, (-1, 1)), home
 
 
 def _moved(centres: np.ndarray, cells: np.ndarray, sums: np.ndarray) -> np.ndarray:
@@ -129,7 +130,7 @@ def near_pairs(table: DataFrame, threshold: float = THRESHOLD, stars: bool = Fal
     if n == 0:
         return table.sparkSession.createDataFrame([], "a long, b long, cosine double")
     shared = table.sparkSession.sparkContext.broadcast(tops(vectors, dim, n, top))
-    reach = 2 * np.arccos(threshold) * MARGIN
+    reach = np.arccos(threshold) * MARGIN
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches, len(shared.value)):
@@ -146,7 +147,8 @@ def near_pairs(table: DataFrame, threshold: float = THRESHOLD, stars: bool = Fal
         if resident.any():
             centres = cells(x[resident], np.argsort(T.mix(ids[resident].view(T.U64)), kind="stable"), cell)
             step = max(1, ENTRIES // len(centres))
-            parts = [_visits(x[a : a + step], centres, reach) for a in range(0, len(x), step)]
+            far = np.where(resident, reach, 2 * reach)
+            parts = [_visits(x[a : a + step], centres, far[a : a + step]) for a in range(0, len(x), step)]
             visits, home = np.concatenate([v for v, _ in parts]), np.concatenate([h for _, h in parts])
             for c in range(len(centres)):
                 members = np.flatnonzero(visits[:, c])
