@@ -384,6 +384,17 @@ def test_thresholds_move_with_the_rows_of_a_language():
     assert all(b >= a - 0.05 for a, b in zip(few[:-1], few[1:], strict=True)) and few[0] < 0.5 < few[-1] and abs(few[2] - few[3]) < 0.15
 
 
+def test_models_do_not_depend_on_the_layout(spark, docs):
+    """Also where doc_ids repeat with other texts and languages."""
+    labels = spark.createDataFrame([(k, k % 3 % 2) for k in range(150)], "doc_id long, toxic int")
+    some = docs.where("doc_id < 150").unionByName(docs.where("doc_id between 200 and 240").withColumn("doc_id", F.col("doc_id") - 190)).unionByName(docs.where("doc_id < 5"))
+    layouts = [some, some.repartition(7, "text"), some.orderBy(F.desc("text")).coalesce(1)]
+    one, *rest = [(toxicity.train(x, labels, 100), language.train(x, 80)) for x in layouts]
+    for tox, lang in rest:
+        assert np.array_equal(tox.embedding, one[0].embedding) and tox.thresholds == one[0].thresholds
+        assert lang.languages == one[1].languages and np.array_equal(lang.weights, one[1].weights)
+
+
 def test_toxicity_awkward(spark):
     labels = spark.createDataFrame([(r[0] + 100, r[3], None) for r in made_up(300, 3)] + [(None, 1, 1), (1, None, 0), (9999, 1, 1)], "doc_id long, toxic int, quality int")
     text = spark.createDataFrame([(r[0] + 100, r[1], r[2], "s", None, "x", 1, 2, 3) for r in made_up(300, 3)], SCHEMA)

@@ -22,12 +22,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import only
+from ._spark import only, row_key
 
 #: Labelled texts to fit on, landmarks among them, hashed n-gram places, ridge.
 SAMPLE, LANDMARKS, PLACES, RIDGE = 2_000, 96, 1 << 13, 1e-3
@@ -96,17 +95,16 @@ def fit(texts: pa.Array, langs: list[str]) -> Model:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on at most ``sample`` labelled texts, drawn evenly over the languages: those with the least hashes
-    of doc_id, of each language. None where no row has a language and letters."""
-    rows = only(docs, doc_id="long", text="string", lang="string").where("lang is not null and length(text) > 0").select("lang", F.xxhash64("doc_id").alias("h"), "text")
+    of doc_id and text, each once, of each language. None where no row has a language and letters."""
+    rows = only(docs, doc_id="long", text="string", lang="string").where("lang is not null and length(text) > 0").select("lang", row_key().alias("h"), "text")
     counts = rows.groupBy("lang").count().collect()
     if not counts:
         return None
     each = max(1, sample // len(counts))
     # Hashes are uniform, so a bound on them takes hardly more rows than wanted from a table of any size.
     bound = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], 1.5 * each / r["count"] + 10 / r["count"])])
-    mine = rows.where(F.col("h").cast("double") / 2.0**64 + 0.5 <= bound[F.col("lang")]).toPandas()
-    mine["t"] = [xxhash.xxh64_intdigest(x) for x in mine["text"]]
-    mine = mine.sort_values(["h", "t"]).groupby("lang").head(each)
+    mine = rows.where(F.col("h").cast("double") / 2.0**64 + 0.5 <= bound[F.col("lang")]).dropDuplicates(["lang", "h"]).toPandas()
+    mine = mine.sort_values(["h", "lang"]).groupby("lang").head(each)
     return fit(pa.array(mine["text"], pa.string()), mine["lang"].tolist())
 
 

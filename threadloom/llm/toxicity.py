@@ -210,11 +210,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     """Fit on at most ``sample`` labelled documents; None where the labels lack a class."""
     known = only(labels, doc_id="long", toxic="int").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = only(docs, doc_id="long", text="string", lang="string").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).drop("doc_id").toArrow()
+    rows = only(docs, doc_id="long", text="string", lang="string").join(F.broadcast(known), "doc_id")
+    # Of several rows of a document the first by text, so that the model is the same however the table is laid out.
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("text", "lang")).alias("x")).select("x.text", "x.lang", "toxic").toArrow()
     toxic = (rows["toxic"].to_numpy() > 0).astype(np.int64)
     if not 0 < toxic.sum() < len(toxic):
         return None
-    order = np.argsort([xxhash.xxh64_intdigest(x or "") for x in rows["text"].to_pylist()], kind="stable")
+    key = [(xxhash.xxh64_intdigest(x or ""), lang or "", y) for x, lang, y in zip(*(rows[c].to_pylist() for c in ("text", "lang", "toxic")), strict=True)]
+    order = np.array(sorted(range(len(key)), key=key.__getitem__))
     rows = rows.take(order)
     return fit(rows["text"].combine_chunks().cast(pa.string()), toxic[order], rows["lang"].to_pylist())
 
