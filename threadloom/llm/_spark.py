@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,16 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def settle() -> None:
+    """Give the memory that a fit on the driver used back to the system, as the driver lives on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another allocator than glibc's
+        pass
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a durable table that nothing will read again."""
     spark = df.sparkSession
