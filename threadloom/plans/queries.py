@@ -624,7 +624,7 @@ def loss_summary(spark, sf_dir):
     return metrics.loss_summary(log)
 
 
-#: What the model test makes of the answers of bank.RAWS, read off the reference: n_suggestions, ok, error, then messages and confidences.
+#: What the model test makes of the answers of bank.RAWS, written out by hand: n_suggestions, ok, error, then messages and confidences.
 _Q1, _Q2, _Q3 = ("Which street is it on?", "high"), ("When would you move?", "low"), ("Shall we talk on Sunday?", "medium")
 _E = ("", "")
 _JUDGED = [
