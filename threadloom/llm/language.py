@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import only, row_key
+from ._spark import only, row_key, settle
 
 #: Labelled texts to fit on, landmarks among them, hashed n-gram places, ridge.
 SAMPLE, LANDMARKS, PLACES, RIDGE = 2_000, 96, 1 << 13, 1e-3
@@ -105,7 +105,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     bound = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], 1.5 * each / r["count"] + 10 / r["count"])])
     mine = rows.where(F.col("h").cast("double") / 2.0**64 + 0.5 <= bound[F.col("lang")]).dropDuplicates(["lang", "h"]).toPandas()
     mine = mine.sort_values(["h", "lang"]).groupby("lang").head(each)
-    return fit(pa.array(mine["text"], pa.string()), mine["lang"].tolist())
+    model = fit(pa.array(mine["text"], pa.string()), mine["lang"].tolist())
+    del mine
+    settle()
+    return model
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import only, row_key
+from ._spark import only, row_key, settle
 
 #: Documents fitted on; documents among which those with key words are looked for; words of a training stretch; stretches; gradient steps.
 SAMPLE, POOL, STRETCH, STRETCHES, STEPS = 2_000, 20_000, 20, 4_800, 120
@@ -358,7 +358,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> Model:
     many = lambda k: (k + 6 * k**0.5) / total
     some = rows.where(F.col("h") <= many(pool)).withColumn("likely", likely).where((F.col("h") <= many(half)) | F.col("likely"))
     found = some.orderBy("h").limit(pool).toPandas()
-    return fit(found["text"][:half].tolist() + found["text"][found["likely"]][:half].tolist())
+    model = fit(found["text"][:half].tolist() + found["text"][found["likely"]][:half].tolist())
+    del found
+    settle()
+    return model
 
 
 def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from . import _text as T
-from ._spark import bounded, only
+from ._spark import bounded, only, settle
 
 SAMPLE = 8_000
 DIM, FILTERS, WIDTHS, PREFIX, LEAST = 8, 8, (1, 2, 3), 4, 3
@@ -77,6 +77,17 @@ def word_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return padded, table, offsets + PAD * np.arange(n + 1)
 
 
+def all_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_rows of very many texts, made part by part."""
+    parts = [word_rows(texts.slice(k, 500)) for k in range(0, len(texts), 500)]
+    tables = np.concatenate([t[:-1] for _, t, _ in parts])
+    forms, first = np.unique(tables[:, 0], return_index=True)
+    number = lambda t: np.append(np.searchsorted(forms, t[:-1, 0]), len(forms)).astype(np.int32)
+    ids = np.concatenate([number(t)[i] for i, t, _ in parts])
+    sizes = np.concatenate([np.diff(o) for _, _, o in parts])
+    return ids, np.concatenate([tables[first], np.zeros((1, 2), T.U64)]), np.concatenate([[0], np.cumsum(sizes)])
+
+
 def score(model: Model, texts: pa.Array) -> np.ndarray:
     """Probability of toxicity of each text."""
     ids, table, offsets = word_rows(texts)
@@ -100,8 +111,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, langs: list[str | None], seed: int =
     (shrunk where few texts hold it), which the first filter of width 1 reads; else all start at random."""
     rng = np.random.default_rng(seed)
     held = rng.permutation(len(toxic)) % 4 == 0
-    ids, table, offsets = word_rows(texts)
-    count = np.zeros((2, 0))
+    ids, table, offsets = all_rows(texts)
     both = np.unique(table)
     both = both[both != 0]
     place = np.searchsorted(both, table)
@@ -219,7 +229,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     key = [(xxhash.xxh64_intdigest(x or ""), lang or "", y) for x, lang, y in zip(*(rows[c].to_pylist() for c in ("text", "lang", "toxic")), strict=True)]
     order = np.array(sorted(range(len(key)), key=key.__getitem__))
     rows = rows.take(order)
-    return fit(rows["text"].combine_chunks().cast(pa.string()), toxic[order], rows["lang"].to_pylist())
+    model = fit(rows["text"].combine_chunks().cast(pa.string()), toxic[order], rows["lang"].to_pylist())
+    del rows, key
+    settle()
+    return model
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
