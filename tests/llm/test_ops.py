@@ -131,6 +131,25 @@ def test_jaccard_awkward(spark):
     assert sorted((r["doc_id"] or 0, r["text"][:1]) for r in jaccard.drop_near_copies(odd).collect()) == [(0, "q"), (1, "a"), (1, "z"), (3, "l")]
 
 
+def test_texts_are_not_shuffled(spark, monkeypatch):
+    """Where more sets meet than may be broadcast, they are met in slices; no exchange holds texts, and none is left of slices that are over."""
+    texts, kept = [], []
+    durable = jaccard.durable
+
+    def watch(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        texts.append("Exchange hashpartitioning(row" in plan and "text" in plan)
+        kept.append(name)
+        return durable(df, name)
+
+    monkeypatch.setattr(jaccard, "durable", watch)
+    monkeypatch.setattr(jaccard, "BROADCAST_BYTES", 3000)
+    monkeypatch.setattr("threadloom.llm._spark.BROADCAST_BYTES", 3000)
+    rows = [(k, f"{' '.join(f'w{k // 2}x{j}' for j in range(30))} {k % 2}") for k in range(200)]
+    gone = jaccard.copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert gone.count() == 100 and not any(texts) and kept.count("slice") >= 8
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(400, 460)]
