@@ -131,6 +131,50 @@ def test_jaccard_awkward(spark):
     assert sorted((r["doc_id"] or 0, r["text"][:1]) for r in jaccard.drop_near_copies(odd).collect()) == [(0, "q"), (1, "a"), (1, "z"), (3, "l")]
 
 
+def brute_classes(rows, n=3, t=0.5):
+    """doc_id, class_id, links of rows without repetitions."""
+    h, o = T.words(pa.array([x for _, x in rows], pa.string()))
+    sets = [set(T.gram_set(h[a:b], n).tolist()) for a, b in zip(o[:-1], o[1:], strict=True)]
+    near = [[j for j, y in enumerate(sets) if j != i and x and y and len(x & y) >= t * len(x | y)] for i, x in enumerate(sets)]
+    out = []
+    for i, (k, _) in enumerate(rows):
+        seen, new = {i}, {i}
+        while new:
+            new = {j for m in new for j in near[m]} - seen
+            seen |= new
+        out.append((k, min((rows[m][0] for m in seen if rows[m][0] is not None), default=None), len(near[i])))
+    return sorted(out, key=str)
+
+
+def test_classes_grow_with_documents_not_pairs(spark, monkeypatch):
+    """A row for each document; links as by all pairs, also where bins have many blocks, residents meet visitors in many parts and slices are many."""
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(300)}" for _ in range(rng.randint(30, 60))] for _ in range(25)]
+    rows = [(k, list(base[k % 25 if k % 3 else 4])) for k in range(400)]
+    for _, text in rows:
+        for _ in range(rng.randint(0, 4)):
+            text[rng.randrange(len(text))] = rng.choice("abc")
+    rows = [(k, " ".join(t)) for k, t in rows] + [(900, "a"), (901, "a b c d"), (902, "b c d"), (903, None), (904, "?!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows)
+    pairs = jaccard.jaccard_join(df)
+    for small in (False, True):
+        if small:
+            for name, value in (("BIN", 7), ("MEET", 500), ("BROADCAST_BYTES", 60_000), ("SLICE_BYTES", 100_000)):
+                monkeypatch.setattr(jaccard, name, value)
+            assert jaccard.slices(1000, 10_000) > 1
+        got = sorted(((r["doc_id"], r["class_id"], r["links"]) for r in jaccard.classes(df).collect()), key=str)
+        assert got == want and sum(x[2] for x in got) == 2 * pairs.count() > 4000
+
+
+def test_classes_awkward(spark):
+    rows = list(dict.fromkeys((r["doc_id"], r["text"]) for r in awkward(spark).collect()))
+    show = lambda df: sorted(((r["doc_id"], r["class_id"], r["links"]) for r in df.collect()), key=str)
+    assert show(jaccard.classes(awkward(spark))) == brute_classes(rows) and jaccard.classes(empty(spark)).count() == 0
+    rows = [(1, "a b c d e"), (1, "a b c d e f"), (1, "z y x w"), (2, "a b c d e g"), (None, "q r s t u"), (None, "q r s t u v"), (3, LONG), (4, LONG + "x y z")]
+    assert show(jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_classes(rows)
+
+
 def test_texts_are_not_shuffled(spark, monkeypatch):
     """Where more sets meet than may be broadcast, they are met in slices; no exchange holds texts, and none is left of slices that are over."""
     texts, kept = [], []
