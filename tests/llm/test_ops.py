@@ -131,6 +131,41 @@ def test_jaccard_awkward(spark):
     assert sorted((r["doc_id"] or 0, r["text"][:1]) for r in jaccard.drop_near_copies(odd).collect()) == [(0, "q"), (1, "a"), (1, "z"), (3, "l")]
 
 
+
+def copies_of_one_text(seed, many):
+    """Rows of a block for open_bins: near copies of one text and a few others, two thirds of them residents; and its sets."""
+    rng = np.random.default_rng(seed)
+    base = np.unique(rng.integers(1, 1 << 63, 60).astype(np.uint64) * 2)
+    spare = rng.integers(1, 1 << 63, 40).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(len(base)) < rng.choice([0.02, 0.1, 0.2, 0.3, 0.8], p=[0.3, 0.3, 0.25, 0.1, 0.05]), rng.choice(spare, len(base)), base)) for _ in range(many)]
+    sets = list({x.tobytes(): x for x in sets}.values())
+    resident = np.arange(len(sets)) < 2 * len(sets) // 3
+    columns = {"home": pa.array([1] * len(sets)), "block": pa.array([0] * len(sets), pa.int32()), "resident": pa.array(resident), "whole": pa.array(range(len(sets))), "n": pa.array([k % 3 + 1 for k in range(len(sets))])}
+    return pa.record_batch(columns | {"grams": T.ragged(T.signed(np.concatenate(sets)), np.cumsum([0, *map(len, sets)]), pa.int64())}), sets, resident
+
+
+@pytest.mark.parametrize("columns", [jaccard.COLUMNS, 5])
+def test_near_copies_are_not_compared_one_by_one(monkeypatch, columns):
+    """Links of a block of near copies are those of all pairs, and few entries of the token-group matrix are added up for them."""
+    monkeypatch.setattr(jaccard, "COLUMNS", columns, raising=False)
+    entries, hits = [], jaccard.hits
+    monkeypatch.setattr(jaccard, "hits", lambda table, place, offsets: entries.append(len(place) * table.shape[1]) or hits(table, place, offsets))
+    batch, sets, resident = copies_of_one_text(3, 500)
+    got = {}
+    for out in jaccard.open_bins(0.5, True)(iter([batch])):
+        for a, links in zip(out["a"].to_pylist(), out["links"].to_pylist(), strict=True):
+            got[a] = got.get(a, 0) + links
+    tables = [set(x.tolist()) for x in sets]
+    want = [0] * len(sets)
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if resident[a] and len(tables[a] & tables[b]) >= 0.5 * len(tables[a] | tables[b]):
+            want[a] += b % 3 + 1
+            want[b] += a % 3 + 1
+    assert [got.get(k, 0) for k in range(len(sets))] == want and sum(want) > 50_000
+    pairs = int(resident.sum()) * len(sets)
+    assert sum(entries) < 20 * pairs  # 43 if groups are opened for all
+
+
 def brute_classes(rows, n=3, t=0.5):
     """doc_id, class_id, links of rows without repetitions."""
     h, o = T.words(pa.array([x for _, x in rows], pa.string()))
