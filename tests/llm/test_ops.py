@@ -166,6 +166,20 @@ def test_near_copies_are_not_compared_one_by_one(monkeypatch, columns):
     assert sum(entries) < 20 * pairs  # 43 if groups are opened for all
 
 
+def test_components_of_near_copies_need_no_links(monkeypatch):
+    """Where only components count, near copies of one text aren't compared with each other at all."""
+    batch, sets, resident = copies_of_one_text(4, 300)
+    whole = {}
+    for count in (True, False):
+        if not count:
+            monkeypatch.setattr(jaccard, "near_links", None)
+        parent = np.arange(len(sets))
+        for out in jaccard.open_bins(0.5, True, count)(iter([batch])):
+            jaccard.unite(parent, out["a"].to_numpy(), out["b"].to_numpy())
+        whole[count] = jaccard.roots(parent, np.arange(len(sets))).tolist()
+    assert whole[True] == whole[False] and 1 < len(set(whole[True])) < len(sets) / 2
+
+
 def brute_classes(rows, n=3, t=0.5):
     """doc_id, class_id, links of rows without repetitions."""
     h, o = T.words(pa.array([x for _, x in rows], pa.string()))
